@@ -255,8 +255,10 @@ def fit_prep(df: DataFrame, train_filter: Column, key: str = "CustomerID", label
     net = {r["feature"]: r["median"] for r in R.exact_median(long2, ["feature"], "v").collect()}
     net_medians = {c: float(net[c]) if net.get(c) is not None else 0.0 for c in feats}
     filled = train2.select(*[F.coalesce(F.col(c), F.lit(net_medians[c])).alias(c) for c in feats])
-    st = _one_row(filled, [e for c in feats for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
-    scale_mean = {c: float(st[f"m_{c}"]) for c in feats}
+    st = _one_row(filled, [e for c in feats for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"),
+                                                      F.min(c).alias(f"lo_{c}"))])
+    # zero variance: the column is constant on train, so centre on that exact value (its min)
+    scale_mean = {c: float(st[f"m_{c}"] if st[f"s_{c}"] else st[f"lo_{c}"]) for c in feats}
     scale_std = {c: (float(st[f"s_{c}"]) if st[f"s_{c}"] else 1.0) for c in feats}
 
     return FittedPrep(key=key, label=label, categories=cats, onehot_source=onehot_src, te_global=te_global,

@@ -8,12 +8,15 @@ its work grows with the data.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.numeric import sig_col, sig_sql
+from ..session import ensure_checkpoint_dir
 from .customer360 import build_customer360
 from .customer360_sql import with_c360
 
@@ -30,8 +33,38 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+_WRITTEN: set[str] = set()
+_SOURCES = ("customer", "orders", "lineitem", "nation", "region", "events")
+
+
+def _fingerprint(sf_dir: str) -> str:
+    parts = [os.path.abspath(sf_dir)]
+    for t in _SOURCES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        try:
+            st = os.stat(p)
+            parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            parts.append(f"{t}:?")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
 def c360(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_customer360(spark, sf_dir)
+    """Customer-360 table for ``sf_dir``.
+
+    Built once per input fingerprint and written as Parquet under the shared
+    ``spark.checkpoint.dir`` (lineage cut by a written table, survives executor
+    loss); later analyses read it back with column pruning and pushdown.  Set
+    ``custaris.c360.materialize=false`` to always rebuild from the raw tables.
+    """
+    if spark.conf.get("custaris.c360.materialize", "true").lower() != "true":
+        return build_customer360(spark, sf_dir)
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/custaris-c360-{_fingerprint(sf_dir)}"
+    if path not in _WRITTEN:
+        build_customer360(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
 
 
 def finish(df: DataFrame) -> DataFrame:

@@ -1 +1,20 @@
-"""Registered queries."""
+"""Registered source queries (S1-S7): the customer-360 builder and round trips."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.numeric import sig_col
+from .catalog import oracle, register
+from .customer360 import build_customer360
+
+
+@register("s01_customer360_table", oracle("SELECT * FROM c360", "MonetaryStd"))
+def s01(spark, sf):
+    """Customer-360 builder over the raw tables (always rebuilt, never cached).
+
+    Every column is exact (decimal money, integer counts, correctly rounded
+    ratios) except the per-customer standard deviation, which is rounded.
+    """
+    df = build_customer360(spark, sf)
+    return df.withColumn("MonetaryStd", sig_col(F.col("MonetaryStd")))
