@@ -1 +1,84 @@
-"""Registered queries."""
+"""Registered drift-monitoring queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import drift as D
+from ..operators import split as E
+from .catalog import c360, finish, oracle, register
+from .customer360 import NUMERIC_FEATURES
+from .q_metrics import BASELINE_SCORE_SQL, baseline_score_col
+from .q_split import DUCK_SPLIT, duck_hash
+
+MONITORED = NUMERIC_FEATURES[:20]
+DUCK_HALF = f"CASE WHEN {duck_hash('half42')} < {E.HASH_SPACE // 2} THEN 'reference' ELSE 'current' END"
+
+
+def halves(spark, sf):
+    return E.time_or_hash_halves(c360(spark, sf), "CustomerID")
+
+
+def _duck_ks(side_expr: str, ref: str, cur: str) -> str:
+    sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MONITORED)
+    return f"""
+WITH l AS (SELECT side, feature, value FROM (SELECT {side_expr} AS side, {sel} FROM c360)
+           UNPIVOT (value FOR feature IN ({', '.join(MONITORED)}))),
+c AS (SELECT feature, value, count_if(side = '{ref}') AS r, count_if(side = '{cur}') AS c FROM l GROUP BY feature, value),
+cum AS (SELECT feature, value,
+               sum(r) OVER (PARTITION BY feature ORDER BY value) AS cr, sum(c) OVER (PARTITION BY feature ORDER BY value) AS cc,
+               sum(r) OVER (PARTITION BY feature) AS rt, sum(c) OVER (PARTITION BY feature) AS ct FROM c),
+d AS (SELECT feature, max(abs(cr / rt - cc / ct)) AS ks_stat, CAST(max(rt) AS BIGINT) AS n_ref, CAST(max(ct) AS BIGINT) AS n_cur
+      FROM cum GROUP BY feature),
+m AS (SELECT feature, avg(CASE WHEN side = '{ref}' THEN value END) AS ref_mean,
+             avg(CASE WHEN side = '{cur}' THEN value END) AS cur_mean FROM l GROUP BY feature)
+SELECT d.feature, ks_stat, n_ref, n_cur, ref_mean, cur_mean FROM d JOIN m USING (feature)
+WHERE n_ref >= 5 AND n_cur >= 5"""
+
+
+@register("d01_ks_two_sample", oracle(_duck_ks(DUCK_HALF, "reference", "current"), "ks_stat ref_mean cur_mean"))
+def d01(spark, sf):
+    return finish(D.ks_statistics(halves(spark, sf), "side", MONITORED))
+
+
+@register("d02_drift_table")
+def d02(spark, sf):
+    """Drifted features with asymptotic KS p-values (p on the ≤20 feature rows)."""
+    return D.drift_table(D.ks_statistics(halves(spark, sf), "side", MONITORED))
+
+
+@register("d03_auc_degradation", oracle(f"""
+WITH s AS (SELECT {DUCK_HALF} AS side, Churn, {BASELINE_SCORE_SQL} AS score FROM c360),
+c AS (SELECT side, score, count_if(Churn = 1) AS pos, count_if(Churn <> 1) AS neg FROM s GROUP BY side, score),
+a AS (SELECT side, pos, neg, score,
+             coalesce(sum(neg) OVER (PARTITION BY side ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM c),
+u AS (SELECT side, sum(pos * (nb + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc FROM a GROUP BY side),
+w AS (SELECT max(CASE WHEN side = 'reference' THEN auc END) AS auc_ref, max(CASE WHEN side = 'current' THEN auc END) AS auc_cur FROM u)
+SELECT auc_ref, auc_cur, (auc_ref - auc_cur) * 100 AS degradation_pct,
+       CASE WHEN (auc_ref - auc_cur) * 100 > 5.0 THEN 'DEGRADED' ELSE 'STABLE' END AS status FROM w""",
+    "auc_ref auc_cur degradation_pct"))
+def d03(spark, sf):
+    df = halves(spark, sf).withColumn("score", baseline_score_col())
+    return finish(D.auc_degradation(df, "side", "Churn", "score"))
+
+
+@register("d05_quality_by_side", oracle(f"""
+SELECT side, feature, CAST(count(*) AS BIGINT) AS n, CAST(count_if(value IS NULL) AS BIGINT) AS n_missing,
+       avg(value) AS mean, stddev_samp(value) AS std
+FROM (SELECT {DUCK_HALF} AS side, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in MONITORED)} FROM c360)
+     UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(MONITORED)}))
+GROUP BY side, feature""", "mean std"))
+def d05q(spark, sf):
+    return finish(D.quality_by_side(halves(spark, sf), "side", MONITORED))
+
+
+@register("d05_dataset_drift_share")
+def d05(spark, sf):
+    """Share of drifted monitored features and the dataset-drift flag."""
+    return finish(D.dataset_drift(D.ks_statistics(halves(spark, sf), "side", MONITORED)))
+
+
+@register("d07_ks_train_vs_test", oracle(_duck_ks(DUCK_SPLIT, "train", "test"), "ks_stat ref_mean cur_mean"))
+def d07(spark, sf):
+    df = E.hash_split(c360(spark, sf), "CustomerID")
+    return finish(D.ks_statistics(df, "split", MONITORED, ref="train", cur="test"))
