@@ -1 +1,156 @@
-"""Registered queries."""
+"""Registered segmentation queries.
+
+One segmentation run per input (K scan, silhouette scan, final model) is
+kept for the session, like the reference's fitted-model cache; each query
+then runs its own Spark aggregation over the assigned customers.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from ..operators import features as FE
+from ..operators import segment as SG
+from ..operators import split as E
+from .catalog import _fingerprint, c360, finish, register
+
+_RUNS: dict[str, tuple] = {}
+K_SCAN = range(2, 11)
+SIL_SCAN = range(2, 8)
+
+
+def prepared(spark, sf):
+    """Train+test rows through the fitted R1 transform (fit on train only)."""
+    df = E.hash_split(c360(spark, sf), "CustomerID")
+    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    return prep, prep.transform(df, keep=["split"])
+
+
+def run(spark, sf):
+    key = _fingerprint(sf)
+    if key in _RUNS:
+        return _RUNS[key]
+    prep, x = prepared(spark, sf)
+    cols = [c for c in SG.CLUSTERING_FEATURES if c in prep.features]
+    x = x.fillna(0.0, subset=cols)
+    x = FE.drop_z_outliers(x, cols, 4.0)                        # F29
+    vec = SG.assemble(x, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    models, inertias, sils = {}, {}, {}
+    for k in K_SCAN:
+        m = SG.fit_kmeans(vec, k, seeds=(42,))
+        models[k], inertias[k] = m, float(m.summary.trainingCost)
+        if k in SIL_SCAN:
+            sils[k] = SG.silhouette_squared(m.transform(vec))
+    _, elbow_k = SG.elbow(spark, inertias)
+    k = SG.final_k(elbow_k, sils)
+    model = models[k]
+    assigned = model.transform(vec)
+    res = (prep, cols, vec, models, inertias, sils, elbow_k, k, assigned)
+    _RUNS[key] = res
+    return res
+
+
+@register("m07_kmeans_centers")
+def m07(spark, sf):
+    """M7: centres of the final K-Means model (long: cluster, feature, centre) and its cost."""
+    prep, cols, vec, models, inertias, sils, elbow_k, k, assigned = run(spark, sf)
+    m = models[k]
+    rows = [(i, c, float(v)) for i, ctr in enumerate(m.clusterCenters()) for c, v in zip(cols, ctr)]
+    return finish(spark.createDataFrame(rows, "Cluster int, feature string, center double")
+                  .withColumn("training_cost", F.lit(inertias[k])))
+
+
+@register("m17_elbow")
+def m17(spark, sf):
+    """Inertia for K = 2..10 and the elbow K."""
+    _, _, _, _, inertias, _, _, _, _ = run(spark, sf)
+    return finish(SG.elbow(spark, inertias)[0])
+
+
+@register("m18_silhouette_by_k")
+def m18(spark, sf):
+    """Mean squared-Euclidean silhouette for K = 2..7."""
+    _, _, _, _, _, sils, _, k, _ = run(spark, sf)
+    best = max(sils, key=sils.get)
+    return finish(spark.createDataFrame([(kk, v, kk == best) for kk, v in sorted(sils.items())],
+                                        "k int, silhouette double, is_best boolean"))
+
+
+@register("m19_silhouette_per_cluster")
+def m19(spark, sf):
+    """Per-row silhouette (squared Euclidean), distribution per cluster."""
+    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    s = SG.silhouette_per_row(assigned)
+    return finish(s.groupBy("Cluster").agg(F.count("*").cast("long").alias("n"), F.avg("silhouette").alias("mean"),
+                                           F.min("silhouette").alias("min"), F.max("silhouette").alias("max"),
+                                           F.count_if(F.col("silhouette") < 0).cast("long").alias("n_negative")))
+
+
+@register("m20_final_k")
+def m20(spark, sf):
+    """The K choice rule over the elbow and silhouette tables."""
+    _, _, _, _, _, sils, elbow_k, k, _ = run(spark, sf)
+    best = max(sils, key=sils.get)
+    return finish(spark.createDataFrame([(elbow_k, best, sils[best], k)],
+                                        "elbow_k int, best_silhouette_k int, max_silhouette double, final_k int"))
+
+
+@register("m21_cluster_sizes")
+def m21(spark, sf):
+    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    return finish(SG.cluster_sizes(assigned))
+
+
+def _profile(spark, sf):
+    prep, cols, _, _, _, _, _, _, assigned = run(spark, sf)
+    return SG.profile(assigned, cols, "Churn", prep.scale_mean, prep.scale_std)
+
+
+@register("m22_cluster_profile")
+def m22(spark, sf):
+    """Cluster means in unscaled units (logged columns stay logged), 3 digits."""
+    return finish(_profile(spark, sf))
+
+
+@register("m23_churn_by_cluster")
+def m23(spark, sf):
+    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    return finish(SG.churn_by_cluster(assigned, "Churn"))
+
+
+def _names(spark, sf):
+    rows = [r.asDict() for r in _profile(spark, sf).collect()]  # ≤ K rows
+    return SG.name_clusters(rows)
+
+
+@register("m24_cluster_names")
+def m24(spark, sf):
+    """Greedy business names over the profile rows."""
+    names = _names(spark, sf)
+    prof = _profile(spark, sf)
+    tab = spark.createDataFrame([(int(k), v[0], v[1]) for k, v in names.items()],
+                                "Cluster int, ClusterName string, ClusterLabel string")
+    return finish(prof.select("Cluster", "Churn", "Frequency", "MonetaryTotal").join(tab, "Cluster"))
+
+
+@register("m25_cluster_assignments")
+def m25(spark, sf):
+    """Every kept customer with its cluster id, name and churn label."""
+    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    named = SG.assign_names(assigned, _names(spark, sf))
+    return named.select("CustomerID", "Cluster", "ClusterName", "Churn")
+
+
+@register("m26_legacy_cluster_names")
+def m26(spark, sf):
+    """Legacy naming from churn % and mean recency (raw days) per cluster."""
+    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    raw = c360(spark, sf).select("CustomerID", "Recency")
+    g = assigned.join(raw, "CustomerID").groupBy("Cluster").agg(
+        (F.avg(F.col("Churn").cast("double")) * 100).alias("churn_pct"),
+        F.avg(F.col("Recency").cast("double")).alias("recency"),
+        F.avg("Frequency").alias("frequency"))
+    return finish(g.select("Cluster", "churn_pct", "recency",
+                           SG.legacy_name(F.col("Cluster"), F.col("churn_pct"), F.col("recency"),
+                                          F.col("frequency")).alias("ClusterName")))
