@@ -1 +1,354 @@
-"""Registered queries."""
+"""Registered model queries: churn (M1-M3, M8-M16), revenue (M4-M6), C8-C10, D4.
+
+One training run per input is kept for the session (fitted models are the
+state the reference saves and reloads); every query then derives its table
+with Spark from that run.  Model outputs depend on MLlib's numerics, so
+these queries have no DuckDB twin; tests check their properties.
+"""
+
+from __future__ import annotations
+
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from ..operators import association as A
+from ..operators import drift as D
+from ..operators import features as FE
+from ..operators import metrics as X
+from ..operators import models as M
+from ..operators import split as E
+from ..session import ensure_checkpoint_dir
+from .catalog import _fingerprint, c360, finish, register
+
+_CHURN: dict[str, dict] = {}
+_REV: dict[str, dict] = {}
+N_RANDOM_TRIALS = 10  # reference uses 30 (operator default in models.random_points); 10 keeps the run bounded
+THRESHOLD_FLOOR = 0.40
+SUSPECTS = ["AccountStatus_Closed", "AccountStatus_Suspended", "AccountStatus_Pending", "CustomerType_Perdu",
+            "CustomerType_Régulier", "CustomerType_Hyperactif", "CustomerType_Occasionnel", "CustomerType_Nouveau"]
+
+
+def churn_run(spark, sf) -> dict:
+    key = _fingerprint(sf)
+    if key in _CHURN:
+        return _CHURN[key]
+    df = E.hash_split(c360(spark, sf), "CustomerID")
+    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    x = E.hash_folds(prep.transform(df, keep=["split"]), "CustomerID")
+    x = E.hash_split(x, "CustomerID", salt="calib42", col="calib_split")          # E4 inside train
+    feats = prep.features
+    vec = M.assemble(x, feats).persist(StorageLevel.MEMORY_AND_DISK)
+    train = E.balanced_weights(vec.where(F.col("split") == "train"), "Churn").persist(StorageLevel.MEMORY_AND_DISK)
+    test = vec.where(F.col("split") == "test")
+    n_w = float(train.agg(F.sum("weight")).first()[0])
+
+    # CV of the three reference models on raw features
+    cands = {n: M.classifier(n, p, n_w) for n, p in M.CHURN_MODELS.items()}
+    cands = {n: e.setLabelCol("Churn") for n, e in cands.items()}
+    folds = M.cross_validate(train, cands).persist()
+    summary = M.cv_summary(folds)
+    srows = {r["model"]: r.asDict() for r in summary.collect()}                # 3 rows
+    best_name = max(srows, key=lambda n: (srows[n]["pr_auc_mean"], n))
+
+    params = dict(M.CHURN_MODELS[best_name])
+    # final fit on the fit rows, isotonic calibration + F2 threshold on the calibration rows
+    fit_rows = train.where(F.col("calib_split") == "train")
+    cal_rows = train.where(F.col("calib_split") == "test")
+    model = M.classifier(best_name, params, n_w).setLabelCol("Churn").fit(fit_rows)
+    cal_pred = M.positive_probability(model.transform(cal_rows))
+    iso = M.fit_isotonic(cal_pred)
+    cal_scored = iso.transform(cal_pred)
+    thr_row = X.f2_threshold(cal_scored, "Churn", "p_cal", THRESHOLD_FLOOR).first()
+    threshold = float(thr_row["threshold"])
+    test_pred = iso.transform(M.positive_probability(model.transform(test))) \
+        .withColumn("prediction_cal", (F.col("p_cal") >= threshold).cast("int"))
+
+    res = dict(prep=prep, feats=feats, train=train, test=test, folds=folds, summary=summary, best_name=best_name,
+               srows=srows, params=params, model=model, iso=iso, threshold=threshold,
+               cal_scored=cal_scored, test_pred=test_pred, n_w=n_w, cands=cands)
+    _CHURN[key] = res
+    return res
+
+
+_TUNE: dict[str, dict] = {}
+
+
+def tuning_run(spark, sf) -> dict:
+    """M11-M14 for the model chosen by M10: raw vs PCA, grid and random search."""
+    key = _fingerprint(sf)
+    if key in _TUNE:
+        return _TUNE[key]
+    r = churn_run(spark, sf)
+    train, best_name, n_w = r["train"], r["best_name"], r["n_w"]
+    pca, explained = M.pca_fit(train, "features", min(len(r["feats"]), 40))
+    ptrain = pca.transform(train).drop("features").withColumnRenamed("pca", "features")
+    pfolds = M.cross_validate(ptrain, {best_name: r["cands"][best_name]})
+    pca_ap = float(pfolds.agg(F.avg("pr_auc")).first()[0])
+    raw_ap = float(r["srows"][best_name]["pr_auc_mean"])
+    grid_res, grid_best = M.search(train, best_name, M._grid_points(M.GRIDS[best_name]), n_w)
+    rnd_res, rnd_best = M.search(train, best_name, M.random_points(M.SEARCH_SPACES[best_name], N_RANDOM_TRIALS), n_w)
+    g_score, r_score = max(s for _, s in grid_res), max(s for _, s in rnd_res)
+    tuner = "random" if r_score > g_score else "grid"
+    out = dict(best_name=best_name, pca_k=pca.getK(), explained=explained, pca_ap=pca_ap, raw_ap=raw_ap,
+               use_pca=pca_ap > raw_ap, grid=grid_res, random=rnd_res, tuner=tuner,
+               params=rnd_best if tuner == "random" else grid_best)
+    _TUNE[key] = out
+    return out
+
+
+@register("m10_cv_fold_metrics")
+def m10f(spark, sf):
+    """M1-M3 + M10: per model and fold PR-AUC, ROC-AUC, F1, recall (hash folds)."""
+    return finish(churn_run(spark, sf)["folds"])
+
+
+@register("m10_cv_summary")
+def m10(spark, sf):
+    """Mean and population std over the five folds per model."""
+    return finish(churn_run(spark, sf)["summary"])
+
+
+@register("m11_raw_vs_pca")
+def m11(spark, sf):
+    r = tuning_run(spark, sf)
+    return finish(spark.createDataFrame(
+        [(r["best_name"], r["raw_ap"], r["pca_ap"], int(r["pca_k"]), "pca" if r["use_pca"] else "raw")],
+        "model string, pr_auc_raw double, pr_auc_pca double, pca_components int, chosen string"))
+
+
+@register("f27_explained_variance")
+def f27(spark, sf):
+    """explained variance ratio and cumulative share of the first ≤ 40 components."""
+    ev = tuning_run(spark, sf)["explained"]
+    rows, cum = [], 0.0
+    for i, v in enumerate(ev[:40]):
+        cum += v
+        rows.append((i + 1, float(v), float(cum)))
+    return finish(spark.createDataFrame(rows, "component int, ratio double, cumulative double"))
+
+
+def _trials(res, tuner):
+    return [(tuner, i, str(sorted(p.items())), float(s)) for i, (p, s) in enumerate(res)]
+
+
+@register("m12_grid_search")
+def m12(spark, sf):
+    r = tuning_run(spark, sf)
+    return finish(spark.createDataFrame(_trials(r["grid"], "grid"), "tuner string, trial int, params string, pr_auc double"))
+
+
+@register("m13_random_search")
+def m13(spark, sf):
+    r = tuning_run(spark, sf)
+    return finish(spark.createDataFrame(_trials(r["random"], "random"), "tuner string, trial int, params string, pr_auc double"))
+
+
+@register("m14_tuner_choice")
+def m14(spark, sf):
+    r = tuning_run(spark, sf)
+    g = max(s for _, s in r["grid"])
+    q = max(s for _, s in r["random"])
+    return finish(spark.createDataFrame([(r["best_name"], g, q, r["tuner"], str(sorted(r["params"].items())))],
+                                        "model string, grid_best double, random_best double, chosen string, params string"))
+
+
+@register("m09_calibration_moments")
+def m09(spark, sf):
+    """M9 + X14: probability mean/std before and after isotonic calibration (test rows)."""
+    t = churn_run(spark, sf)["test_pred"]
+    return finish(t.agg(F.avg("p").alias("mean_before"), F.stddev_pop("p").alias("std_before"),
+                        F.avg("p_cal").alias("mean_after"), F.stddev_pop("p_cal").alias("std_after")))
+
+
+@register("x07_model_f2_threshold")
+def x07m(spark, sf):
+    """X7 on the calibration rows (not the test rows) for the final model (reference parameters of the CV winner)."""
+    r = churn_run(spark, sf)
+    return finish(X.f2_threshold(r["cal_scored"], "Churn", "p_cal", THRESHOLD_FLOOR))
+
+
+@register("x01_x05_model_test_metrics")
+def xtest(spark, sf):
+    """X1-X5 of the calibrated model on the test rows at the tuned threshold."""
+    r = churn_run(spark, sf)
+    t = r["test_pred"]
+    auc = X.roc_auc(t, "Churn", "p_cal").select("auc").scalar()
+    ap = X.pr_areas(t, "Churn", "p_cal")
+    cm = X.prf(X.threshold_counts(t, "Churn", "p_cal", r["threshold"]))
+    return finish(cm.crossJoin(ap).withColumn("auc", auc).withColumn("threshold", F.lit(r["threshold"])))
+
+
+@register("x08_model_calibration_curve")
+def x08m(spark, sf):
+    t = churn_run(spark, sf)["test_pred"]
+    return finish(X.calibration_curve(t, "Churn", "p").withColumn("stage", F.lit("before")).unionByName(
+        X.calibration_curve(t, "Churn", "p_cal").withColumn("stage", F.lit("after"))))
+
+
+@register("m15_feature_importance")
+def m15(spark, sf):
+    r = churn_run(spark, sf)
+    pairs = M.importances(r["model"], r["feats"], top=20)
+    return finish(spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double"))
+
+
+def _surrogate(spark, sf):
+    r = churn_run(spark, sf)
+    t = r["test_pred"].select("features", "prediction_cal")
+    tree = M.surrogate_tree(t, "prediction_cal", 3)
+    return r, t, tree
+
+
+@register("m08_surrogate_tree_fidelity")
+def m08(spark, sf):
+    """M8: depth-3 surrogate of the thresholded calibrated model; fidelity on test rows."""
+    r, t, tree = _surrogate(spark, sf)
+    p = tree.transform(t)
+    return finish(p.agg(F.avg((F.col("prediction") == F.col("prediction_cal")).cast("double")).alias("fidelity"),
+                        F.count("*").cast("long").alias("n")))
+
+
+@register("m16_tree_rules")
+def m16(spark, sf):
+    """Surrogate tree nodes with split features, thresholds in scaled and
+    original units (x·std + mean), class weights and majority label."""
+    r, t, tree = _surrogate(spark, sf)
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    nodes = M.tree_nodes(spark, tree, r["feats"], f"{root}/custaris-tree-{_fingerprint(sf)}")
+    prep = r["prep"]
+    mean = F.create_map(*[x for k, v in prep.scale_mean.items() for x in (F.lit(k), F.lit(v))])
+    std = F.create_map(*[x for k, v in prep.scale_std.items() for x in (F.lit(k), F.lit(v))])
+    orig = F.col("threshold") * F.try_element_at(std, F.col("feature")) + F.try_element_at(mean, F.col("feature"))
+    return finish(nodes.select("id", "feature", "threshold", orig.alias("threshold_original"),
+                               "leftChild", "rightChild", "prediction",
+                               F.when(F.col("prediction") == 1, "Churn").otherwise("Fidèle").alias("majority"),
+                               F.col("class_weights")[0].alias("weight_class0"),
+                               F.col("class_weights")[1].alias("weight_class1")))
+
+
+@register("c09_forest_importance_check")
+def c09(spark, sf):
+    """50-tree depth-5 forest importances; dominant feature warning above 0.30."""
+    r = churn_run(spark, sf)
+    rf = M.RandomForestClassifier(numTrees=50, maxDepth=5, seed=42, labelCol="Churn").fit(r["train"])
+    pairs = M.importances(rf, r["feats"])
+    df = spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double")
+    return finish(df.withColumn("dominant", F.col("importance") > 0.30))
+
+
+def _target_corr(spark, sf):
+    r = churn_run(spark, sf)
+    return r, A.target_correlations(r["train"], r["feats"], "Churn")
+
+
+@register("c08_suspect_check")
+def c08(spark, sf):
+    """Named one-hot suspects (or the first three columns sharing their base name)."""
+    r, tc = _target_corr(spark, sf)
+    return finish(A.suspect_check(tc, r["feats"], SUSPECTS))
+
+
+@register("c10_recommended_drops")
+def c10(spark, sf):
+    """High-tier ∪ leaky suspect variants ∪ dominant-importance variants, sorted."""
+    r, tc = _target_corr(spark, sf)
+    tiers = A.leak_tiers(tc)
+    sus = A.suspect_check(tc, r["feats"], SUSPECTS)
+    rf = M.RandomForestClassifier(numTrees=50, maxDepth=5, seed=42, labelCol="Churn").fit(r["train"])
+    imp = spark.createDataFrame([(f, float(v)) for f, v in M.importances(rf, r["feats"])],
+                                "feature string, importance double")
+    return A.recommended_drops(tiers, sus, r["feats"], imp)
+
+
+@register("d04_drift_top_features")
+def d04(spark, sf):
+    """KS drift (train vs test) on the top-15 important features, the target and the prediction."""
+    r = churn_run(spark, sf)
+    top = [f for f, _ in M.importances(r["model"], r["feats"], top=15)]
+    tr = M.positive_probability(r["model"].transform(r["train"])).select(*top, "Churn", F.col("p").alias("prediction"),
+                                                                          F.lit("train").alias("side"))
+    te = r["test_pred"].select(*top, "Churn", F.col("p").alias("prediction"), F.lit("test").alias("side"))
+    return finish(D.ks_statistics(tr.unionByName(te), "side", [*top, "Churn", "prediction"], ref="train", cur="test"))
+
+
+# ------------------------------------------------------------------ revenue (M4-M6)
+REVENUE_DROP = ["MonetaryTotal", "MonetaryAvg", "MonetaryMax", "AvgBasketValue", "RevenueIndex"]
+
+
+def revenue_run(spark, sf) -> dict:
+    key = _fingerprint(sf)
+    if key in _REV:
+        return _REV[key]
+    df = E.hash_split(c360(spark, sf), "CustomerID")
+    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    raw = df.select("CustomerID", F.col("MonetaryTotal").alias("target_raw"))
+    x = E.hash_folds(prep.transform(df, keep=["split"]).join(raw, "CustomerID"), "CustomerID")
+    x, cap = FE.cap_at_quantile(x, "target_raw", F.col("split") == "train", 0.99, out="target_capped")  # F28
+    x = x.withColumn("label", F.log1p(F.greatest(F.col("target_capped"), F.lit(0.0))))
+    feats = [f for f in prep.features if f not in REVENUE_DROP]
+    vec = M.assemble(x, feats).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
+    n = float(train.count())
+    ystd = float(train.agg(F.stddev_pop("label")).first()[0])
+    specs = {"Ridge": {"alpha": 1.0}, "Random Forest": {"n_estimators": 200, "max_depth": 8},
+             "Gradient Boosting": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05}}
+    jobs = {name: M.regressor(name, p, n, ystd) for name, p in specs.items()}
+    tasks = [(name, est, f) for name, est in jobs.items() for f in range(5)]
+
+    def one(t):
+        name, est, f = t
+        m = est.fit(train.where(F.col("fold") != f))
+        return m.transform(train.where(F.col("fold") == f)).select(
+            F.lit(name).alias("model"), F.lit(f).alias("fold"), "label", "prediction")
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        parts = list(pool.map(one, tasks))
+    preds = parts[0]
+    for pr in parts[1:]:
+        preds = preds.unionByName(pr)
+    cv = X.regression_metrics(preds, "label", "prediction", by=["model", "fold"]).persist()
+    summ = cv.groupBy("model").agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
+                                   F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
+    best = max(summ.collect(), key=lambda r: (r["r2_mean"], r["model"]))["model"]
+    model = M.regressor(best, specs[best], n, ystd).fit(train)
+    tp = model.transform(test).withColumn("pred_raw", F.expm1(F.greatest(F.col("prediction"), F.lit(0.0))))
+    res = dict(prep=prep, cap=cap, cv=cv, summary=summ, best=best, model=model, test_pred=tp, feats=feats)
+    _REV[key] = res
+    return res
+
+
+@register("m04_m06_revenue_cv")
+def m04(spark, sf):
+    """M4-M6 + M10 (regression): 5-fold R² and MAE of ridge, forest and boosting (log target)."""
+    return finish(revenue_run(spark, sf)["summary"])
+
+
+@register("f28_revenue_cap")
+def f28(spark, sf):
+    """train p99 cap and the number of rows above it per split."""
+    r = revenue_run(spark, sf)
+    df = E.hash_split(c360(spark, sf), "CustomerID")
+    return finish(df.groupBy("split").agg(F.count_if(F.col("MonetaryTotal") > r["cap"]).cast("long").alias("n_above_cap"),
+                                          F.count("*").cast("long").alias("n"))
+                  .withColumn("cap", F.lit(float(r["cap"]))))
+
+
+@register("x09_model_revenue_metrics")
+def x09m(spark, sf):
+    """X9/X12 for the chosen revenue model: capped, uncapped and log scale on test."""
+    r = revenue_run(spark, sf)
+    t = r["test_pred"].withColumn("target_log", F.col("label"))
+    parts = [X.regression_metrics(t, a, p).select(F.lit(s).alias("scale"), "*")
+             for a, p, s in [("target_capped", "pred_raw", "capped"), ("target_raw", "pred_raw", "uncapped"),
+                             ("target_log", "prediction", "log")]]
+    return finish(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("model", F.lit(r["best"])))
+
+
+@register("m15_revenue_importance")
+def m15r(spark, sf):
+    r = revenue_run(spark, sf)
+    pairs = M.importances(r["model"], r["feats"], top=20)
+    return finish(spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double"))
