@@ -98,9 +98,16 @@ class FittedPrep:
         x = (x.join(te, "Country", "left")
              .withColumn("Country_TargetEnc", F.coalesce("Country_TargetEnc", F.lit(self.te_global)))
              .drop("Country"))
+        # absent optional inputs become typed nulls, then the fitted fills apply
+        for c in [*self.medians, "IsPrivateIP", "AvgDaysBetweenPurchases"]:
+            if c not in x.columns:
+                x = x.withColumn(c, F.lit(None).cast("double"))
         x = impute(x, self.medians, self.ip_mode)
         x = engineer(x, self.rr_mean, self.rr_std, self.ct_mean, self.ct_std, self.revenue_mean)
         x = log_columns(x)
+        for c in self.features:
+            if c not in x.columns:
+                x = x.withColumn(c, F.lit(None).cast("double"))
         x = x.select(*[c for c in x.columns if c not in self.features],
                      *[F.coalesce(F.col(c).cast("double"), F.lit(self.net_medians.get(c))).alias(c)
                        for c in self.features])

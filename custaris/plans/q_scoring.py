@@ -1 +1,72 @@
-"""Registered queries."""
+"""Registered scoring queries (R2-R8, S8) — batch and streaming share R1."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalar as SF
+from ..operators import models as M
+from ..sources import requests as RQ
+from ..streaming import scoring as ST
+from .catalog import c360, finish, register
+from .q_models import churn_run, revenue_run
+
+
+def score_batch(spark, sf, rows):
+    """Raw customer rows → probability (4 digits), prediction, label, risk band, threshold (3 digits)."""
+    r = churn_run(spark, sf)
+    x = r["prep"].transform(rows)
+    p = r["iso"].transform(M.positive_probability(r["model"].transform(M.assemble(x, r["feats"]))))
+    thr = r["threshold"]
+    return p.select("CustomerID", F.bround("p_cal", 4).alias("probability"),
+                    (F.col("p_cal") >= thr).cast("int").alias("prediction"),
+                    SF.churn_label((F.col("p_cal") >= thr).cast("int")).alias("label"),
+                    SF.risk_band(F.col("p_cal")).alias("risk_level"),
+                    F.lit(round(thr, 3)).alias("threshold_used"))
+
+
+@register("r03_batch_predictions")
+def r03(spark, sf):
+    """Every customer scored by the calibrated churn model."""
+    return finish(score_batch(spark, sf, c360(spark, sf)))
+
+
+@register("r07_prediction_summary")
+def r07(spark, sf):
+    """Counts per predicted label."""
+    return score_batch(spark, sf, c360(spark, sf)).groupBy("label").agg(F.count("*").cast("long").alias("n"))
+
+
+@register("s08_r02_request_scoring")
+def r02(spark, sf):
+    """S8 + R2: request bodies (built from the customer table) parsed with
+    defaults, then scored through the same R1 transform and model."""
+    bodies = RQ.request_json(c360(spark, sf))
+    parsed = RQ.parse_requests(bodies)
+    return finish(score_batch(spark, sf, parsed.drop("_corrupt")))
+
+
+@register("r05_revenue_scoring")
+def r05(spark, sf):
+    """Revenue model → expm1(max(pred, 0)), high-spender flag (> cap), tier."""
+    r = revenue_run(spark, sf)
+    x = r["prep"].transform(c360(spark, sf))
+    p = r["model"].transform(M.assemble(x, r["feats"]))
+    cap = float(r["cap"])
+    rev = F.expm1(F.greatest(F.col("prediction"), F.lit(0.0)))
+    return finish(p.select("CustomerID", F.bround(rev, 2).alias("predicted_revenue"),
+                           (rev > cap).alias("high_spender"),
+                           SF.revenue_tier(rev, F.lit(cap)).alias("tier")))
+
+
+@register("r08_stream_scoring")
+def r08(spark, sf):
+    """Request files arriving on a stream, scored per micro-batch (== batch result)."""
+    r = churn_run(spark, sf)
+    return finish(ST.score_stream(spark, sf, c360(spark, sf), r))
+
+
+@register("d06_stream_drift_monitor")
+def d06(spark, sf):
+    """KS drift of each arriving micro-batch against the stored reference half."""
+    return finish(ST.monitor_stream(spark, sf, c360(spark, sf)))
