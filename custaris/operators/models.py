@@ -66,7 +66,7 @@ def classifier(name: str, params: dict, n_weight: float, weight_col: str | None
     w = {"weightCol": weight_col} if weight_col else {}
     if name == "Logistic Regression":
         return LogisticRegression(regParam=1.0 / (params.get("C", 1.0) * n_weight), elasticNetParam=0.0,
-                                  standardization=False, maxIter=1000, **w)
+                                  standardization=False, maxIter=1000, tol=1e-4, **w)  # sklearn lbfgs default tol
     if name == "Random Forest":
         depth = params.get("max_depth", 6)
         return RandomForestClassifier(numTrees=params.get("n_estimators", 100),
