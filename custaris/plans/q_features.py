@@ -236,3 +236,27 @@ def r01(spark, sf):
     prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
     out = prep.transform(df, keep=["split"])
     return finish(out.unpivot(["CustomerID", "split"], prep.features, "feature", "value"))
+
+
+# ------------------------------------------------------------------ F19 legacy ratios, F36 no-null check
+@register("f19_legacy_ratios", oracle("""
+SELECT CustomerID, MonetaryTotal / (Recency + 1) AS MonetaryPerDay,
+       CAST(Recency AS DOUBLE) / (CustomerTenureDays + 1) AS TenureRatio FROM c360""",
+    "MonetaryPerDay TenureRatio"))
+def f19(spark, sf):
+    """F19 (legacy variant): MonetaryPerDay = total/(Recency+1); TenureRatio = Recency/(Tenure+1)."""
+    df = c360(spark, sf)
+    return finish(df.select("CustomerID",
+                            (F.col("MonetaryTotal") / (F.col("Recency") + 1)).alias("MonetaryPerDay"),
+                            (F.col("Recency").cast("double") / (F.col("CustomerTenureDays") + 1)).alias("TenureRatio")))
+
+
+@register("f36_no_null_check")
+def f36(spark, sf):
+    """one-pass null count over the model matrix (must be 0 before training)."""
+    df = with_split(spark, sf)
+    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    x = prep.transform(df)
+    return x.agg(F.count("*").cast("long").alias("n_rows"),
+                 sum(F.count_if(F.col(c).isNull()) for c in prep.features).cast("long").alias("n_nulls")) \
+        .withColumn("ok", F.col("n_nulls") == 0)

@@ -376,3 +376,37 @@ def p29(spark, sf):
         F.avg("MonetaryTotal").alias("mean_monetary"),
         F.avg(F.col("Churn").cast("double")).alias("churn_rate"),
         F.count("*").cast("long").alias("n")))
+
+
+# ---------------------------------------------------------------- P30 findings summary
+@register("p30_findings_summary", oracle(f"""
+WITH tc AS (SELECT * FROM ({__import__('custaris.plans.sqlfrag', fromlist=['pairs_sql']).pairs_sql([(c, 'Churn') for c in NUM])})),
+     pc AS (SELECT * FROM ({__import__('custaris.plans.sqlfrag', fromlist=['pairs_sql']).pairs_sql(
+        [(NUM[i], NUM[j]) for i in range(len(NUM)) for j in range(i + 1, len(NUM))])})),
+     sk AS (SELECT feature, {fix_sql('skewness(value)')} AS skew FROM {duck_long(NUM)} GROUP BY feature)
+SELECT 'churn_rate' AS finding, (SELECT avg(CAST(Churn AS DOUBLE)) FROM c360) AS value
+UNION ALL SELECT 'n_leaky_features_abs_r_gt_0.5', CAST(count_if(abs(r) > 0.5) AS DOUBLE) FROM tc
+UNION ALL SELECT 'n_redundant_pairs_abs_r_gt_0.8', CAST(count_if(abs(r) > 0.8) AS DOUBLE) FROM pc
+UNION ALL SELECT 'n_log_candidates', CAST(count_if(abs(skew) > 1) AS DOUBLE) FROM sk
+UNION ALL SELECT 'n_countries', CAST(count(DISTINCT Country) AS DOUBLE) FROM c360""", "value"))
+def p30(spark, sf):
+    """One (finding, value) table unioned from P6, C2, C5, P14 and P8."""
+    from ..operators import association as A
+    df = c360(spark, sf)
+    tc = A.target_correlations(df, NUM, "Churn")
+    pc = A.correlation_matrix(df, NUM)
+    sk = P.skewness_table(df, NUM)
+    parts = [
+        df.agg(F.avg(F.col("Churn").cast("double")).alias("value")).select(F.lit("churn_rate").alias("finding"), "value"),
+        tc.agg(F.count_if(F.abs("r") > 0.5).cast("double").alias("value"))
+          .select(F.lit("n_leaky_features_abs_r_gt_0.5").alias("finding"), "value"),
+        pc.agg(F.count_if(F.abs("r") > 0.8).cast("double").alias("value"))
+          .select(F.lit("n_redundant_pairs_abs_r_gt_0.8").alias("finding"), "value"),
+        sk.agg(F.count_if(F.col("log_candidate")).cast("double").alias("value"))
+          .select(F.lit("n_log_candidates").alias("finding"), "value"),
+        df.agg(F.count_distinct("Country").cast("double").alias("value")).select(F.lit("n_countries").alias("finding"), "value"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return finish(out)

@@ -70,3 +70,30 @@ def r08(spark, sf):
 def d06(spark, sf):
     """KS drift of each arriving micro-batch against the stored reference half."""
     return finish(ST.monitor_stream(spark, sf, c360(spark, sf)))
+
+
+@register("r04_churn_with_cluster")
+def r04(spark, sf):
+    """Churn result plus the customer's segment from the K-Means model (unknown id → 'Segment i')."""
+    from . import q_segment as QS
+    from ..operators import segment as SG
+    prep, cols, _, models, _, _, _, k, _ = QS.run(spark, sf)
+    names = QS._names(spark, sf)
+    feats = prep.transform(c360(spark, sf)).fillna(0.0, subset=cols)
+    clus = models[k].transform(SG.assemble(feats, cols)).select("CustomerID", "Cluster")
+    named = SG.assign_names(clus, names).withColumn(
+        "ClusterName", F.coalesce("ClusterName", F.concat(F.lit("Segment "), F.col("Cluster").cast("string"))))
+    churn = score_batch(spark, sf, c360(spark, sf)).withColumn("probability_pct", F.bround(F.col("probability") * 100, 1))
+    return finish(churn.join(named.select("CustomerID", "Cluster", "ClusterName"), "CustomerID"))
+
+
+@register("r06_scoring_trace")
+def r06(spark, sf):
+    """Received fields, key scaled features and the churn / revenue results per customer."""
+    r = churn_run(spark, sf)
+    raw = c360(spark, sf).select("CustomerID", "Frequency", "MonetaryTotal", "CustomerTenureDays", "ReturnRatio")
+    x = r["prep"].transform(c360(spark, sf)).select(
+        "CustomerID", *[F.col(c).alias(f"{c}_scaled") for c in ["Frequency", "MonetaryTotal", "EngagementScore"]])
+    churn = score_batch(spark, sf, c360(spark, sf)).select("CustomerID", "probability", "label")
+    rev = r05(spark, sf).select("CustomerID", "predicted_revenue", "tier")
+    return finish(raw.join(x, "CustomerID").join(churn, "CustomerID").join(rev, "CustomerID"))

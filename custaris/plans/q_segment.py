@@ -154,3 +154,27 @@ def m26(spark, sf):
     return finish(g.select("Cluster", "churn_pct", "recency",
                            SG.legacy_name(F.col("Cluster"), F.col("churn_pct"), F.col("recency"),
                                           F.col("frequency")).alias("ClusterName")))
+
+
+@register("f37_profile_minmax")
+def f37(spark, sf):
+    """min-max normalised cluster profile, (x - min)/(max - min + 1e-9) per feature."""
+    prof = _profile(spark, sf)
+    cols = [c for c in prof.columns if c not in ("Cluster", "Churn")]
+    long = prof.unpivot(["Cluster"], cols, "feature", "value")
+    # one row per (cluster, feature): the grouped profile is K × features rows
+    mm = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return finish(long.join(F.broadcast(mm), "feature").select(
+        "Cluster", "feature", ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)).alias("normalised")))
+
+
+@register("f26_pca_projection_2d")
+def f26(spark, sf):
+    """2-D PCA projection of the clustered customers with cluster and churn, plus PC1/PC2 variance share."""
+    from ..operators import models as M
+    _, _, vec, _, _, _, _, _, assigned = run(spark, sf)
+    model, ev = M.pca_fit(assigned, "features", 2, threshold=2.0)
+    from pyspark.ml.functions import vector_to_array
+    pts = model.transform(assigned).select("CustomerID", "Cluster", "Churn", vector_to_array("pca").alias("pc"))
+    return finish(pts.select("CustomerID", "Cluster", "Churn", F.col("pc")[0].alias("PC1"), F.col("pc")[1].alias("PC2"))
+                  .withColumn("pc1_var_pct", F.lit(float(ev[0]) * 100)).withColumn("pc2_var_pct", F.lit(float(ev[1]) * 100)))
