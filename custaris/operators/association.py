@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import fix_col
+
 
 
 def _q(c: str) -> str:
@@ -53,10 +55,66 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     return one.selectExpr(f"inline(array({structs}))")
 
 
+def _gram_partials(cols: Sequence[str]):
+    """mapInPandas body: per partition, the pairwise-complete sum matrices
+    N = MᵀM, SX = XᵀM, SXX = (X²)ᵀM, SXY = XᵀX (X: values with nulls as 0,
+    M: non-null mask), flattened into one row of (pos, value) pairs."""
+    k = len(cols)
+
+    def run(batches):
+        n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
+        for pdf in batches:
+            v = pdf[list(cols)].to_numpy(dtype="float64", na_value=np.nan)
+            m = (~np.isnan(v)).astype("float64")
+            x = np.nan_to_num(v, nan=0.0)
+            n += m.T @ m
+            sx += x.T @ m
+            sxx += (x * x).T @ m
+            sxy += x.T @ x
+        flat = np.concatenate([n.ravel(), sx.ravel(), sxx.ravel(), sxy.ravel()])
+        yield pd.DataFrame({"pos": np.arange(flat.size, dtype="int64"), "v": flat})
+    return run
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Lower triangle (a before b in the given order) of the Pearson matrix."""
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    return pair_correlations(df, pairs)
+    """Lower triangle (a before b in the given order) of the Pearson matrix.
+
+    One scan: each task reduces its rows to four k×k sum matrices with BLAS
+    (numpy inside the task), Spark sums the partials by position (4k² rows
+    per task, independent of the data size) and the r of every pair follows
+    from the pairwise-complete sums.
+    """
+    cols = list(cols)
+    k = len(cols)
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    part = typed.mapInPandas(_gram_partials(cols), "pos long, v double")
+    tot = part.groupBy("pos").agg(F.sum("v").alias("v"))
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    spark = df.sparkSession
+    idx = spark.createDataFrame(
+        [(cols[i], cols[j], i * k + j, j * k + i, i * k + i, j * k + j) for i, j in pairs],
+        "feature_a string, feature_b string, ij long, ji long, ii long, jj long")
+    # the pair index and the summed matrices are bounded by the column list (k² rows)
+    t = tot.select(F.col("pos"), F.col("v"))
+    kk = k * k
+
+    def pick(name, off, col):
+        return t.select((F.col("pos") - off).alias(col), F.col("v").alias(name)).where(
+            (F.col("pos") >= off) & (F.col("pos") < off + kk))
+    n_ = pick("n", 0, "ij")
+    sx_ = pick("sx", kk, "ij")        # Σ x_i over rows where x_j present  (i, j)
+    sy_ = pick("sy", kk, "ji")        # Σ x_j over rows where x_i present  (j, i)
+    sxx_ = pick("sxx", 2 * kk, "ij")
+    syy_ = pick("syy", 2 * kk, "ji")
+    sxy_ = pick("sxy", 3 * kk, "ij")
+    j = (idx.join(F.broadcast(n_), "ij").join(F.broadcast(sx_), "ij").join(F.broadcast(sy_), "ji")
+         .join(F.broadcast(sxx_), "ij").join(F.broadcast(syy_), "ji").join(F.broadcast(sxy_), "ij"))
+    n = F.col("n")
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    r = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    return j.select("feature_a", "feature_b", fix_col(r).alias("r"), n.cast("long").alias("n"))
 
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
