@@ -79,6 +79,22 @@ def classifier(name: str, params: dict, n_weight: float, weight_col: str | None
     raise ValueError(name)
 
 
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def size_partitions(df: DataFrame, n_rows: int, n_features: int,
+                    target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
+    """Repartition a model-input frame to ~``target_bytes`` of feature data per
+    partition: iterative learners run one job per iteration over every
+    partition, so tiny partitions only add scheduling cost, while at scale
+    the count grows with the data (15e9 rows × 50 doubles → ~90k partitions)."""
+    want = max(1, math.ceil(n_rows * max(1, n_features) * 8 / target_bytes))
+    have = df.rdd.getNumPartitions()
+    if want == have:
+        return df
+    return df.coalesce(want) if want < have else df.repartition(want)
+
+
 def positive_probability(pred: DataFrame, out: str = "p") -> DataFrame:
     return pred.withColumn(out, vector_to_array("probability")[1])
 

@@ -41,9 +41,11 @@ def churn_run(spark, sf) -> dict:
     x = E.hash_split(x, "CustomerID", salt="calib42", col="calib_split")          # E4 inside train
     feats = prep.features
     vec = M.assemble(x, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    train = E.balanced_weights(vec.where(F.col("split") == "train"), "Churn").persist(StorageLevel.MEMORY_AND_DISK)
+    train = E.balanced_weights(vec.where(F.col("split") == "train"), "Churn")
+    st = train.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
+    n_w = float(st["w"])
+    train = M.size_partitions(train, int(st["n"]), len(feats)).persist(StorageLevel.MEMORY_AND_DISK)
     test = vec.where(F.col("split") == "test")
-    n_w = float(train.agg(F.sum("weight")).first()[0])
 
     # CV of the three reference models on raw features
     cands = {n: M.classifier(n, p, n_w) for n, p in M.CHURN_MODELS.items()}
@@ -88,8 +90,10 @@ def tuning_run(spark, sf) -> dict:
     pfolds = M.cross_validate(ptrain, {best_name: r["cands"][best_name]})
     pca_ap = float(pfolds.agg(F.avg("pr_auc")).first()[0])
     raw_ap = float(r["srows"][best_name]["pr_auc_mean"])
-    grid_res, grid_best = M.search(train, best_name, M._grid_points(M.GRIDS[best_name]), n_w)
-    rnd_res, rnd_best = M.search(train, best_name, M.random_points(M.SEARCH_SPACES[best_name], N_RANDOM_TRIALS), n_w)
+    with ThreadPoolExecutor(max_workers=2) as pool:  # the two tuners run side by side
+        g = pool.submit(M.search, train, best_name, M._grid_points(M.GRIDS[best_name]), n_w)
+        q = pool.submit(M.search, train, best_name, M.random_points(M.SEARCH_SPACES[best_name], N_RANDOM_TRIALS), n_w)
+        (grid_res, grid_best), (rnd_res, rnd_best) = g.result(), q.result()
     g_score, r_score = max(s for _, s in grid_res), max(s for _, s in rnd_res)
     tuner = "random" if r_score > g_score else "grid"
     out = dict(best_name=best_name, pca_k=pca.getK(), explained=explained, pca_ap=pca_ap, raw_ap=raw_ap,
@@ -292,6 +296,7 @@ def revenue_run(spark, sf) -> dict:
     vec = M.assemble(x, feats).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
     n = float(train.count())
+    train = M.size_partitions(train, int(n), len(feats)).persist(StorageLevel.MEMORY_AND_DISK)
     ystd = float(train.agg(F.stddev_pop("label")).first()[0])
     specs = {"Ridge": {"alpha": 1.0}, "Random Forest": {"n_estimators": 200, "max_depth": 8},
              "Gradient Boosting": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05}}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import segment as SG
+from ..operators import models as M
 from ..operators import split as E
 from .catalog import _fingerprint, c360, finish, register
 
@@ -35,7 +36,8 @@ def run(spark, sf):
     cols = [c for c in SG.CLUSTERING_FEATURES if c in prep.features]
     x = x.fillna(0.0, subset=cols)
     x = FE.drop_z_outliers(x, cols, 4.0)                        # F29
-    vec = SG.assemble(x, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = SG.assemble(x, cols)
+    vec = M.size_partitions(vec, vec.count(), len(cols)).persist(StorageLevel.MEMORY_AND_DISK)
     models, inertias, sils = {}, {}, {}
     for k in K_SCAN:
         m = SG.fit_kmeans(vec, k, seeds=(42,))
