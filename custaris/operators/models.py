@@ -103,24 +103,30 @@ def positive_probability(pred: DataFrame, out: str = "p") -> DataFrame:
 
 def grouped_binary_metrics(df: DataFrame, by: Sequence[str], label: str = "Churn", score: str = "p",
                            threshold: float = 0.5) -> DataFrame:
-    """ROC-AUC, average precision, F1 and recall per group (e.g. model × fold)."""
+    """ROC-AUC, average precision, F1 and recall per group (e.g. model × fold).
+
+    One count aggregation per (group, score), one distributed prefix-sum pass
+    (ascending); descending cumulative counts are ``total − before`` and the
+    threshold counts are conditional sums over the same per-score rows.
+    """
     y = F.col(label)
     counts = (df.groupBy(*by, F.col(score).cast("double").alias("score"))
               .agg(F.count_if(y == 1).cast("long").alias("pos"), F.count_if(y != 1).cast("long").alias("neg")))
     asc = R.prefix_sums(counts, list(by), "score", ["pos", "neg"])
-    auc = asc.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
-                                / (F.max("pos_total").cast("double") * F.max("neg_total"))).alias("roc_auc"))
-    desc = R.prefix_sums(counts, list(by), "score", ["pos", "neg"], descending=True)
-    tp = F.col("pos_before") + F.col("pos")
-    prec = tp / (tp + F.col("neg_before") + F.col("neg"))
-    ap = desc.groupBy(*by).agg(F.sum(F.col("pos") / F.col("pos_total") * prec).alias("pr_auc"))
-    pr = df.withColumn("__pred", (F.col(score) >= threshold).cast("int")).groupBy(*by).agg(
-        F.count_if((y == 1) & (F.col("__pred") == 1)).alias("tp"), F.count_if((y == 0) & (F.col("__pred") == 1)).alias("fp"),
-        F.count_if((y == 1) & (F.col("__pred") == 0)).alias("fn"))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    pre = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
-    pr = pr.select(*by, rec.alias("recall"), F.coalesce(F.try_divide(2 * pre * rec, pre + rec), F.lit(0.0)).alias("f1"))
-    return auc.join(ap, list(by)).join(pr, list(by))
+    tp = F.col("pos_total") - F.col("pos_before")          # positives with score ≥ this score
+    fp = F.col("neg_total") - F.col("neg_before")
+    at = F.col("score") >= threshold
+    g = asc.groupBy(*by).agg(
+        (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
+         / (F.max("pos_total").cast("double") * F.max("neg_total"))).alias("roc_auc"),
+        F.sum(F.col("pos") / F.col("pos_total") * (tp / (tp + fp))).alias("pr_auc"),
+        F.sum(F.when(at, F.col("pos")).otherwise(0)).cast("double").alias("__tp"),
+        F.sum(F.when(at, F.col("neg")).otherwise(0)).cast("double").alias("__fp"),
+        F.max("pos_total").cast("double").alias("__P"))
+    rec = F.coalesce(F.try_divide(F.col("__tp"), F.col("__P")), F.lit(0.0))
+    pre = F.coalesce(F.try_divide(F.col("__tp"), F.col("__tp") + F.col("__fp")), F.lit(0.0))
+    return g.select(*by, "roc_auc", "pr_auc", rec.alias("recall"),
+                    F.coalesce(F.try_divide(2 * pre * rec, pre + rec), F.lit(0.0)).alias("f1"))
 
 
 def fit_predict_folds(df: DataFrame, jobs: dict[str, Estimator], fold_col: str = "fold", k: int = 5,

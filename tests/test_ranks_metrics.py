@@ -90,3 +90,19 @@ def test_ks_identical_and_small(spark):
 def test_ks_pvalue_reasonable():
     assert D.ks_pvalue(0.0, 100, 100) == 1.0
     assert D.ks_pvalue(0.5, 100, 100) < 1e-8
+
+
+def test_grouped_metrics_equal_single_group_metrics(spark):
+    from custaris.operators import models as M
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"fold": rng.integers(0, 3, 600), "Churn": rng.integers(0, 2, 600)})
+    pdf["p"] = np.round(rng.random(600) * 0.6 + 0.3 * pdf.Churn, 3)
+    pdf["model"] = "m"
+    g = M.grouped_binary_metrics(spark.createDataFrame(pdf), ["model", "fold"]).toPandas()
+    for f, sub in pdf.groupby("fold"):
+        d = spark.createDataFrame(sub)
+        r = g[g.fold == f].iloc[0]
+        assert abs(r.roc_auc - X.roc_auc(d, "Churn", "p").first()[0]) < 1e-12
+        assert abs(r.pr_auc - X.pr_areas(d, "Churn", "p").first()[0]) < 1e-12
+        c = X.prf(X.threshold_counts(d, "Churn", "p", 0.5)).first()
+        assert abs(r.recall - c["recall"]) < 1e-12 and abs(r.f1 - c["f1"]) < 1e-12
