@@ -233,7 +233,10 @@ def fit_prep(df: DataFrame, train_filter: Column, key: str = "CustomerID", label
     train = x.where(train_filter)
 
     te = target_encoding(train, "Country", label)
-    te_rows = [(r["Country"], float(r["Country_TargetEnc"])) for r in te.collect()]  # one row per country
+    n_te = te.limit(MAX_CATEGORIES + 1).count()
+    if n_te > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} Country values; target-encoding map is not bounded")
+    te_rows = [(r["Country"], float(r["Country_TargetEnc"])) for r in te.collect()]  # ≤ MAX_CATEGORIES rows
     te_global = float(train.agg(F.avg(F.col(label).cast("double"))).first()[0])
 
     med_cols = [c for c in MEDIAN_FILL if c in train.columns]

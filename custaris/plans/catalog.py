@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ def register(name: str, oracle: str | None = None):
 
 
 _WRITTEN: set[str] = set()
+_LOCK = threading.RLock()
 _SOURCES = ("customer", "orders", "lineitem", "nation", "region", "events")
 
 
@@ -61,9 +63,10 @@ def c360(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build_customer360(spark, sf_dir)
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/custaris-c360-{_fingerprint(sf_dir)}"
-    if path not in _WRITTEN:
-        build_customer360(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _WRITTEN.add(path)
+    with _LOCK:  # one writer per input even if queries are started from several threads
+        if path not in _WRITTEN:
+            build_customer360(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _WRITTEN.add(path)
     return spark.read.parquet(path)
 
 

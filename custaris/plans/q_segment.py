@@ -7,6 +7,8 @@ then runs its own Spark aggregation over the assigned customers.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import models as M
 from ..operators import split as E
 from .catalog import _fingerprint, c360, finish, register
 
+_RUN_LOCK = threading.RLock()
 _RUNS: dict[str, tuple] = {}
 K_SCAN = range(2, 11)
 SIL_SCAN = range(2, 8)
@@ -28,7 +31,7 @@ def prepared(spark, sf):
     return prep, prep.transform(df, keep=["split"])
 
 
-def run(spark, sf):
+def _run_impl(spark, sf):
     key = _fingerprint(sf)
     if key in _RUNS:
         return _RUNS[key]
@@ -180,3 +183,9 @@ def f26(spark, sf):
     pts = model.transform(assigned).select("CustomerID", "Cluster", "Churn", vector_to_array("pca").alias("pc"))
     return finish(pts.select("CustomerID", "Cluster", "Churn", F.col("pc")[0].alias("PC1"), F.col("pc")[1].alias("PC2"))
                   .withColumn("pc1_var_pct", F.lit(float(ev[0]) * 100)).withColumn("pc2_var_pct", F.lit(float(ev[1]) * 100)))
+
+
+def run(spark, sf):
+    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
+    with _RUN_LOCK:
+        return _run_impl(spark, sf)
