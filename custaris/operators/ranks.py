@@ -19,7 +19,9 @@ Here the work is split in two levels instead:
    are joined back (AQE broadcasts them when the runtime size is small).
 
 The result is exact; only the bucket boundaries are approximate, and they
-influence only how the work is spread.
+influence only how the work is spread.  When the reduced input is proven
+small (a LIMIT-count check), one window per group does the same exact work
+with fewer stages.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import is_bounded
+
 _G = "__grp"
+SMALL_ROWS = 200_000  # reduced inputs up to this size use one window per group (checked)
 
 
 def _group_cols(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -40,7 +45,8 @@ def _group_cols(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, li
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
                 weight_cols: Sequence[str], *, descending: bool = False,
-                n_buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+                n_buckets: int = 256, accuracy: int = 10_000,
+                small_rows: int = SMALL_ROWS) -> DataFrame:
     """Exclusive prefix sums of ``weight_cols`` along ``order_col`` per group.
 
     ``df`` must hold one row per distinct ``(group, order_col)`` value (use
@@ -51,6 +57,15 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
     ocol = F.col(order_col)
     key = (-ocol) if descending else ocol
     df = df.withColumn("__ord", key.cast("double"))
+    if small_rows and is_bounded(df, small_rows):
+        # size-checked fast path: the whole reduced input has ≤ small_rows rows,
+        # so one window per group is bounded; sums are the same exact counts
+        w_run = Window.partitionBy(*g).orderBy("__ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w_all = Window.partitionBy(*g)
+        out = df
+        for w in weight_cols:
+            out = out.withColumns({f"{w}_before": F.sum(w).over(w_run) - F.col(w), f"{w}_total": F.sum(w).over(w_all)})
+        return out.drop("__ord", *([] if group_cols else [_G]))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.groupBy(*g).agg(F.percentile_approx("__ord", probs, accuracy).alias("__bounds"))
     tagged = (df.join(bounds, g, "inner")
@@ -83,7 +98,7 @@ def value_counts(df: DataFrame, group_cols: Sequence[str], value_col: str, weigh
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], *, n_buckets: int = 256) -> DataFrame:
+                    probs: Sequence[float], *, n_buckets: int = 256, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Linear-interpolated quantiles (numpy default, DuckDB ``quantile_cont``).
 
     Returns ``group_cols + [prob, quantile]``; groups with no non-null value
@@ -91,7 +106,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     g = list(group_cols)
     vc = value_counts(df, g, value_col)
-    cum = prefix_sums(vc, g, value_col, ["__c"], n_buckets=n_buckets)
+    cum = prefix_sums(vc, g, value_col, ["__c"], n_buckets=n_buckets, small_rows=small_rows)
     gtot = cum.select(*g, F.col("__c_total").alias("__n")).distinct() if g else \
         cum.select(F.col("__c_total").alias("__n")).distinct()
     h = F.col("prob") * (F.col("__n") - 1)

@@ -17,20 +17,22 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
     pdf = pd.DataFrame({"g": groups, "v": vals})
     df = spark.createDataFrame(pdf)
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
-    got = R.exact_quantiles(df, ["g"], "v", probs, n_buckets=16).toPandas()
-    for g, sub in pdf.groupby("g"):
-        exp = np.quantile(sub["v"].to_numpy(), probs)
-        res = got[got.g == g].sort_values("prob")["quantile"].to_numpy()
-        assert np.allclose(res, exp, rtol=0, atol=1e-12)
+    for small in (0, 1_000_000):  # two-level path forced, then the size-checked window path
+        got = R.exact_quantiles(df, ["g"], "v", probs, n_buckets=16, small_rows=small).toPandas()
+        for g, sub in pdf.groupby("g"):
+            exp = np.quantile(sub["v"].to_numpy(), probs)
+            res = got[got.g == g].sort_values("prob")["quantile"].to_numpy()
+            assert np.allclose(res, exp, rtol=0, atol=1e-12)
 
 
 def test_prefix_sums_exact(spark):
     pdf = pd.DataFrame({"v": np.arange(200) % 37, "w": 1})
     vc = R.value_counts(spark.createDataFrame(pdf), [], "v")
-    out = R.prefix_sums(vc, [], "v", ["__c"], n_buckets=8).toPandas().sort_values("v")
     exp = pdf.groupby("v").size().cumsum().shift(fill_value=0).to_numpy()
-    assert (out["__c_before"].to_numpy() == exp).all()
-    assert (out["__c_total"] == 200).all()
+    for small in (0, 1_000_000):
+        out = R.prefix_sums(vc, [], "v", ["__c"], n_buckets=8, small_rows=small).toPandas().sort_values("v")
+        assert (out["__c_before"].to_numpy() == exp).all()
+        assert (out["__c_total"] == 200).all()
 
 
 def test_mode_smallest_on_ties(spark):
