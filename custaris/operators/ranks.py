@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .joins import is_bounded
 
 _G = "__grp"
-SMALL_ROWS = 200_000  # reduced inputs up to this size use one window per group (checked)
+SMALL_ROWS = 1_000_000  # reduced inputs up to this size use one window per group (checked)
 
 
 def _group_cols(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
