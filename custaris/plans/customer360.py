@@ -7,6 +7,8 @@ TPC-H-style tables instead.  This plan derives the same wide layout
 * lineitem ⟕ orders on the order key (one shuffle of both sides on the key);
 * per-order aggregates grouped on (order key, customer key) reuse that
   partitioning — no second exchange;
+* distinct parts per customer come from a second join of the same two
+  tables, pruned to (order key, customer key, part key);
 * per-customer aggregates are map-side combined before their shuffle;
 * weekday / month modes come from fixed-width count arrays inside the same
   aggregation, so no extra shuffle or window is needed;
