@@ -64,10 +64,12 @@ def request_json(df: DataFrame, key: str = "CustomerID") -> DataFrame:
 def parse_requests(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     """JSON bodies → typed rows: every field ``coalesce(try_cast(v), default)``;
     unparseable bodies keep a ``_corrupt`` flag instead of failing the job."""
-    j = F.from_json(F.col(body_col), REQUEST_SCHEMA)
+    schema = T.StructType(REQUEST_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+    j = F.from_json(F.col(body_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     x = bodies.select(j.alias("r"), F.col(body_col))
     cols: list[Column] = [F.col("r.customer_id").alias("CustomerID")]
     for f, col, typ, default in REQUEST_FIELDS:
         cols.append(F.coalesce(F.col(f"r.{f}").try_cast(typ), F.lit(default).cast(typ)).alias(col))
-    cols.append(F.col("r").isNull().alias("_corrupt"))
+    # permissive parsing yields an all-null struct for a bad body; the raw text lands in _corrupt_record
+    cols.append((F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()).alias("_corrupt"))
     return x.select(*cols)
