@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: str = "text", limit: int
     """Cut Arrow batches so that each piece holds about ``limit`` bytes of text (one longer text stands alone)."""
     for b in batches:
         at = size = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(text_col)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > limit:
                 yield b.slice(at, i - at)

@@ -115,11 +115,11 @@ def thresholds(counts: DataFrame) -> DataFrame:
     sk = materialize(sketch(counts), "sketch")
     own = _fences(_quartiles(sk, ["lang", "source"]), ["lang", "source"], "s")
     lang = _fences(_quartiles(sk, ["lang"]), ["lang"], "l").withColumnRenamed("lang", "__lang")
-    every = _fences(_quartiles(sk.withColumn("one", F.lit(1)), ["one"]), ["one"], "a")
-    t = own.join(lang, own["lang"].eqNullSafe(lang["__lang"]), "left").withColumn("one", F.lit(1)).join(every, "one", "left")
-    names = [c[2:] for c in every.columns if c.startswith("a_") and c != "a_n"]
+    every = _fences(_quartiles(sk, []), [], "a").first().asDict()     # one row of a few numbers
+    t = own.join(lang, own["lang"].eqNullSafe(lang["__lang"]), "left")
+    names = [c[2:] for c in every if c != "a_n"]
     pick = lambda c: F.when(F.col("s_n") >= MIN_GROUP, F.col(f"s_{c}")).when(
-        F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
+        F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.lit(every[f"a_{c}"]).cast("double"))
     return t.select(F.col("lang").alias("__tl"), F.col("source").alias("__ts"), *[pick(c).alias(f"__t_{c}") for c in names])
 
 

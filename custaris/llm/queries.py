@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, pieces, quality
 
 QUERIES = {
     "op5_quality": quality.op5_quality,
+    "op7_pieces": pieces.op7_pieces,
     "op10_mixing": mixing.op10_mixing,
 }
 
