@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +26,26 @@ from pyspark.sql import types as T
 from .common import documents, slices
 
 SPACE = "▁"
-CACHE_PARTS = 300_000      # parts remembered in a worker; beyond it the memory starts anew (speed only)
+CACHE_PARTS = 500_000      # parts remembered in a worker; beyond it the memory starts anew (speed only)
+SHORT_PART = 64            # up to here the agenda is a list, beyond it a heap; both give the same merges
+NO_PIECE = float("inf")
 LONG_PART = 64             # longer parts aren't remembered
 
 
+class Memory(dict):
+    """Remembers ``of(key)``; starts anew when full."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        if len(self) >= CACHE_PARTS:
+            self.clear()
+        got = self[key] = self.of(key)
+        return got
+
+
 class PieceModel:
     """Vocabulary, agenda encoder and decoder for one model file."""
 
@@ -42,26 +59,57 @@ class PieceModel:
         own = [i for i in range(len(self.text)) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
         self.special = {i for i in range(len(self.text)) if lib.is_control(i) or lib.is_unknown(i)}
         self.id_of = {self.text[i]: i for i in own}
-        self.score = {self.text[i]: lib.get_score(i) for i in own}
+        self.cost = {self.text[i]: -lib.get_score(i) for i in own}
+        self.plain = frozenset(own)
         self.joins = {t[k:k + 2] for t in self.id_of for k in range(len(t) - 1)}
         if any(SPACE in t.lstrip(SPACE) for t in self.id_of):
             raise ValueError("a piece spans two words; this encoder splits at spaces")
-        self.known: dict[str, tuple[str, str]] = {}
-        self.whole: dict[str, tuple[str, str]] = {}
+        self.parts = Memory(self._part)
+        self.whole = Memory(lambda w: self._word(SPACE + w))
         self.fresh: list[tuple[str, str]] = []
 
     def agenda(self, part: str) -> list[int]:
         """Ids of one part by the score-ordered agenda of adjacent pairs."""
-        score, n = self.score, len(part)
+        sym = self._merged_short(part) if len(part) <= SHORT_PART else self._merged_long(part)
+        out: list[int] = []
+        for s in sym:
+            i = self.id_of.get(s)
+            out += [i] if i is not None else [self.byte_id[b] for b in s.encode("utf-8")] if self.byte_id else [self.unknown]
+        return out
+
+    def _merged_short(self, part: str) -> list[str]:
+        """Agenda as a plain list of costs in text order: the least cost, leftmost on a tie, is merged."""
+        cost, none = self.cost.get, NO_PIECE
+        sym = list(part)
+        pair = list(map(add, sym, sym[1:]))
+        todo = [cost(p, none) for p in pair]
+        while todo:
+            least = min(todo)
+            if least == none:
+                break
+            i = todo.index(least)
+            sym[i] = pair[i]
+            del sym[i + 1], pair[i], todo[i]
+            if i < len(todo):
+                pair[i] = p = sym[i] + sym[i + 1]
+                todo[i] = cost(p, none)
+            if i:
+                pair[i - 1] = p = sym[i - 1] + sym[i]
+                todo[i - 1] = cost(p, none)
+        return sym
+
+    def _merged_long(self, part: str) -> list[str]:
+        """Agenda as a heap over linked symbols, for parts of any length."""
+        cost, n = self.cost, len(part)
         sym = list(part)
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
         todo = []
 
         def offer(i: int, j: int) -> None:
             joined = sym[i] + sym[j]
-            s = score.get(joined)
-            if s is not None:
-                heapq.heappush(todo, (-s, i, j, joined))
+            c = cost.get(joined)
+            if c is not None:
+                heapq.heappush(todo, (c, i, j, joined))
         for i in range(n - 1):
             offer(i, i + 1)
         while todo:
@@ -75,15 +123,12 @@ class PieceModel:
                 offer(i, k)
             if prev[i] >= 0:
                 offer(prev[i], i)
-        out: list[int] = []
-        for s in sym:
-            if s:
-                i = self.id_of.get(s)
-                out += [i] if i is not None else [self.byte_id[b] for b in s.encode("utf-8")] if self.byte_id else [self.unknown]
-        return out
+        return [s for s in sym if s]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, byte runs as UTF-8; the caller takes off the leading space."""
+        if self.plain.issuperset(ids):
+            return "".join([self.text[i] for i in ids]).replace(SPACE, " ")
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -98,50 +143,40 @@ class PieceModel:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
+    def _part(self, part: str) -> tuple[str, str]:
+        got = self.agenda(part)
+        ids, text = ",".join(map(str, got)), self.decode(got)
+        self.fresh.append((part, ids))
+        return ids, part if text == part else text
+
     def _word(self, word: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text) of one word with its leading spaces."""
-        ids, texts, a = [], [], 0
-        cuts = [k + 1 for k in range(len(word) - 1) if word[k:k + 2] not in self.joins]
-        for b in [*cuts, len(word)]:
-            part, a = word[a:b], b
-            hit = self.known.get(part)
-            if hit is None:
-                got = self.agenda(part)
-                hit = (",".join(map(str, got)), self.decode(got))
-                if hit[1] == part:
-                    hit = (hit[0], part)
-                self.fresh.append((part, hit[0]))
-                if len(part) <= LONG_PART:
-                    if len(self.known) >= CACHE_PARTS:
-                        self.known.clear()
-                    self.known[part] = hit
-            ids.append(hit[0])
-            texts.append(hit[1])
-        return ",".join(ids), "".join(texts)
+        joins, parts = self.joins, self.parts
+        cuts = [k for k, p in enumerate(map(add, word, word[1:]), 1) if p not in joins]
+        if not cuts:
+            return parts[word] if len(word) <= LONG_PART else self._part(word)
+        got = [parts[p] if len(p) <= LONG_PART else self._part(p)
+               for p in [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]]
+        return ",".join([g[0] for g in got]), "".join([g[1] for g in got])
 
     def encode_decode(self, text: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text)."""
         if not text:
             return "", ""
-        whole, ids, texts = self.whole, [], []
-        for w in self._split(text):
-            hit = whole.get(w)
-            if hit is None:
-                hit = self._word(w)
-                if len(w) <= LONG_PART:
-                    if len(whole) >= CACHE_PARTS:
-                        whole.clear()
-                    whole[w] = hit
-            ids.append(hit[0])
-            texts.append(hit[1])
-        return ",".join(ids), "".join(texts)[1:]
+        whole = self.whole
+        words = text.replace(" ", SPACE).split(SPACE)
+        if "" in words:   # words keep the spaces before them; one space is put in front of the text
+            words = self._spaced(words)
+            got = [whole[w[1:]] if 1 < len(w) <= LONG_PART else self._word(w) for w in words]
+        elif len(max(words, key=len)) < LONG_PART:
+            got = [whole[w] for w in words]
+        else:
+            got = [whole[w] if len(w) < LONG_PART else self._word(SPACE + w) for w in words]
+        return ",".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]
 
     @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words with the spaces before them (shown as U+2581); one space is put in front of the text."""
-        words = text.replace(" ", SPACE).split(SPACE)
-        if "" not in words:
-            return [SPACE + w for w in words]
+    def _spaced(words: list[str]) -> list[str]:
+        """Words with the spaces before them (as U+2581); spaces at the end stand alone."""
         out, lead = [], ""
         for w in words:
             lead += SPACE
