@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality
+from . import mixing, pieces, pii, quality
 
 QUERIES = {
     "op5_quality": quality.op5_quality,
     "op7_pieces": pieces.op7_pieces,
+    "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
 
