@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, pii, quality, toxicity
+from . import langid, mixing, pieces, pii, quality, toxicity
 
 QUERIES = {
+    "op3_language": langid.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op7_pieces": pieces.op7_pieces,
