@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pieces, pii, quality, toxicity
+from . import langid, mixing, neardup, pieces, pii, quality, toxicity
 
 QUERIES = {
+    "op1_neardup": neardup.op1_neardup,
     "op3_language": langid.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_neardup": neardup.ORACLE,
     "op5_quality": quality.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
