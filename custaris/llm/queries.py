@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neardup, pieces, pii, quality, toxicity
+from . import langid, mixing, neardup, pieces, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
     "op3_language": langid.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
+    "op6_repeats": repeats.op6_repeats,
     "op7_pieces": pieces.op7_pieces,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
