@@ -102,7 +102,7 @@ def text_anchors(texts: list[bytes]):
             continue
         if len(t) > PIECE:
             found = []
-            for a in range(0, len(t) - LENGTH + 1, PIECE):      # strings that start in a .. a + PIECE
+            for a in range(0, len(t) - GRAM + 1, PIECE):        # anchors in a .. a + PIECE
                 lo, hi = max(0, a - BACK - LENGTH), min(len(t), a + PIECE + 2 * LENGTH)
                 d = np.frombuffer(t[lo:hi], np.uint8)
                 p, g, c, _ = anchors(d, np.array([0]), np.array([len(d)]))
