@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neardup, pieces, pii, quality, repeats, toxicity
+from . import langid, lm, mixing, neardup, pieces, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
+    "op2_lm": lm.op2_lm,
     "op3_language": langid.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
