@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mixing, neardup, pieces, pii, quality, repeats, toxicity
+from . import langid, lm, mixing, neardup, orderhash, pieces, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_repeats": repeats.op6_repeats,
     "op7_pieces": pieces.op7_pieces,
+    "op8_orderhash": orderhash.op8_orderhash,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
