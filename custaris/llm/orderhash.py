@@ -93,7 +93,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(did, th, nth, n_chars, next_did, next_th, next_nth) along (did, th, nth); the last row's next is the first.
+    """``ids`` with next_did, next_th, next_nth along (did, th, nth); the last row's next is the first.
 
     Ids go to at most SPLITS ranges by approximate quantiles; windows run within a range, and one row a range links on.
     """
@@ -109,7 +109,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
                                            F.min("head").over(Window.partitionBy())).alias("link"))
     x = x.join(bounded_broadcast(link, SPLITS), "part")
     nxt = F.coalesce("next", "link")
-    return x.select("did", "th", "nth", "n_chars", nxt["did"].alias("next_did"), nxt["th"].alias("next_th"), nxt["nth"].alias("next_nth"))
+    return x.select(*ids.columns, nxt["did"].alias("next_did"), nxt["th"].alias("next_th"), nxt["nth"].alias("next_nth"))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,17 +120,17 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"),
                     F.xxhash64(text).alias("th"))
-    fp = materialize(d.select("did", "th", F.char_length("text").alias("n_chars"), fingerprint(F.col("text")).alias("fp")), "prints")
+    fp = materialize(d.select("did", "th", "doc_id", F.char_length("text").alias("n_chars"), fingerprint(F.col("text")).alias("fp")), "prints")
     # rows that agree in id and text are numbered, so that each has its own place in the order
-    copies = fp.groupBy("did", "th").agg(F.count("*").alias("c"), F.first("n_chars").alias("n_chars"))
+    copies = fp.groupBy("did", "th").agg(F.count("*").alias("c"), F.first("n_chars").alias("n_chars"), F.first("doc_id").alias("doc_id"))
     order = materialize(neighbours(materialize(copies.select(
-        "did", "th", "n_chars", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")), "ids")), "order")
+        "did", "th", "n_chars", "doc_id", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth")), "ids")), "order")
     fp = fp.select("did", "th", "fp").repartition("did", "th").dropDuplicates(["did", "th"])
-    texts = d.repartition("did", "th").dropDuplicates(["did", "th"])
+    texts = d.select("did", "th", "text").repartition("did", "th").dropDuplicates(["did", "th"])
     want = order.groupBy(F.col("next_did").alias("did"), F.col("next_th").alias("th")).agg(F.collect_list(F.struct(
-        F.col("did").alias("to_did"), F.col("th").alias("to_th"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))).alias("w"))
+        F.col("did").alias("to_did"), F.col("th").alias("to_th"), "doc_id", F.floor(F.col("n_chars") / 2).cast("int").alias("half"))).alias("w"))
     lent = texts.join(want, ["did", "th"]).join(fp, ["did", "th"]).select("text", F.col("fp").alias("next_fp"), F.explode("w").alias("w"))
-    lent = lent.select(F.col("w.to_did").alias("did"), F.col("w.to_th").alias("th"), "w.half", F.expr("left(text, w.half)").alias("lent"), "next_fp")
+    lent = lent.select(F.col("w.to_did").alias("did"), F.col("w.to_th").alias("th"), "w.doc_id", "w.half", F.expr("left(text, w.half)").alias("lent"), "next_fp")
     out = lent.join(texts, ["did", "th"]).join(fp, ["did", "th"]).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp",
         F.expr("concat(left(text, char_length(text) - half), lent)").alias("edited"))
