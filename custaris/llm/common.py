@@ -57,6 +57,15 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: str = "text", limit: int
             yield b.slice(at)
 
 
+def thinned(df: DataFrame, h: Column, total: int, rows: int) -> DataFrame:
+    """About three times ``rows`` of ``total`` rows by hash ``h``, from which a bounded sample is then taken.
+
+    The share follows from the total, so that what a top-``rows`` step moves doesn't grow with the table.
+    """
+    share = 3 * rows / max(total, 1)
+    return df if share >= 1 else df.where(F.pmod(h, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once as a lambda variable, so that ``body`` may use it many times."""
     return F.transform(F.array(value), body)[0]

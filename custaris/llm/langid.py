@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, slices
+from .common import crc_mod, documents, slices, thinned
 
 WINDOW = 256
 FIT_WINDOWS = 9_000
@@ -127,11 +127,12 @@ def windows(data: bytes) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = FIT_WINDOWS) -> ByteNet | None:
     """Network fitted on a bounded, hash-ordered sample of windows of the labelled texts of ``docs``."""
     raw = F.col(text_col).cast("binary")
-    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    labelled = docs.where(F.col(lang_col).isNotNull())
+    d = labelled.where(F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("y"), raw.alias("raw"), F.octet_length(raw).alias("n"),
         F.explode(F.array(F.xxhash64(F.col(text_col), F.lit(1)), F.xxhash64(F.col(text_col), F.lit(2)))).alias("h"))
     at = F.pmod(F.col("h"), F.greatest(F.col("n") - F.lit(WINDOW - 1), F.lit(1)))
-    d = d.where("n > 0").select("y", F.expr("h").alias("h"), F.substring(F.col("raw"), (at + 1).cast("int"), F.lit(WINDOW)).alias("x"))
+    d = thinned(d.where("n > 0"), F.col("h"), 2 * labelled.count(), rows).select("y", F.expr("h").alias("h"), F.substring(F.col("raw"), (at + 1).cast("int"), F.lit(WINDOW)).alias("x"))
     got = d.groupBy("y", "x").agg(F.min("h").alias("h")).orderBy("h", "y", "x").limit(rows).collect()
     classes = sorted({r.y for r in got})
     if not classes:

@@ -69,20 +69,20 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, id_col: str = "doc_id",
     cls = octave * 8 + F.expr("cast(shiftright(__mx_size, greatest(length(bin(__mx_size)) - 4, 0)) as int) % 8")
     d = d.withColumn("__mx_class", cls).withColumn("__mx_sub", F.substring("__mx_key", 1, 2))
     d = d.withColumn("__mx_src", F.col(source_col))
-    cell = ["__mx_src", "__mx_class", "__mx_sub"]
-    cells = d.select(*cell, "__mx_size").groupBy(*cell).agg(F.count("*").alias("__mx_n"), F.sum("__mx_size").alias("__mx_s"))
+    # one key without nulls, so that the count join and the row numbers share one shuffle of the documents
+    name = F.coalesce(F.concat(F.lit("s:"), F.col("__mx_src")), F.lit("n"))
+    d = d.withColumn("__mx_cell", F.concat_ws("|", F.col("__mx_class").cast("string"), "__mx_sub", name))
+    cells = d.groupBy("__mx_cell", "__mx_src", "__mx_class", "__mx_sub").agg(
+        F.count("*").alias("__mx_n"), F.sum("__mx_size").alias("__mx_s"))
     targets = source_targets(sizes if sizes is not None else
                              cells.select(F.col("__mx_src").alias("source"), F.col("__mx_s").alias("size")))
     run = Window.partitionBy("__mx_src").orderBy("__mx_class", "__mx_sub").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__mx_off", F.coalesce(F.sum("__mx_n").over(run), F.lit(0)))
     t = targets.select(*[F.col(c).alias(f"__mt_{c}") for c in targets.columns])
     cells = cells.join(bounded_broadcast(t, 100_000), F.col("__mx_src").eqNullSafe(F.col("__mt_source")))
-    cells = cells.select(*[F.col(c).alias(c.replace("__mx", "__mc")) for c in cell], "__mx_off",
-                         "__mt_source_size", "__mt_target", "__mt_rate", "__mt_u")
-    local = Window.partitionBy(*cell).orderBy("__mx_key", F.col(id_col), "__mx_size")
-    d = d.withColumn("__mx_row", F.row_number().over(local))
-    on = [F.col(c).eqNullSafe(F.col(c.replace("__mx", "__mc"))) for c in cell]
-    d = d.join(cells, on[0] & on[1] & on[2])
+    cells = cells.select("__mx_cell", "__mx_off", "__mt_source_size", "__mt_target", "__mt_rate", "__mt_u")
+    local = Window.partitionBy("__mx_cell").orderBy("__mx_key", F.col(id_col), "__mx_size")
+    d = d.withColumn("__mx_row", F.row_number().over(local)).join(cells, "__mx_cell")
     rank = F.col("__mx_off") + F.col("__mx_row")
     copies = (F.floor(rank * F.col("__mt_rate") + F.col("__mt_u"))
               - F.floor((rank - 1) * F.col("__mt_rate") + F.col("__mt_u")))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Boosted, isotonic
-from .common import documents, slices
+from .common import documents, materialize, slices, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS = 20_000          # candidates that the trees see at most
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = FIT_ROWS) -> dict:
     Equal candidates count once, with their number as weight, so common forms don't fill the bounded sample.
     """
     c = candidate_rows(docs, text_col).groupBy("kind", "label", "x").agg(F.count("*").alias("n"))
-    got = c.orderBy(F.xxhash64("kind", "label", "x"), "kind", "label", "x").limit(rows).collect()
+    c = materialize(c, "candidates")
+    h = F.xxhash64("kind", "label", "x")
+    got = thinned(c, h, c.count(), rows).orderBy(h, "kind", "label", "x").limit(rows).collect()
     models = {}
     for kind in KINDS:
         own = [r for r in got if r.kind == kind]

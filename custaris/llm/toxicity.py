@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, slices, words
+from .common import documents, materialize, slices, thinned, words
 
 CHAIN = ("marked", "severe", "toxic")
 FIT_ROWS = 8_000
@@ -132,7 +132,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     Copies would vote many times for their chance words; three independent least shingles find nearly all of them.
     """
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    y = thinned(y, F.xxhash64(id_col), labels.count(), rows).orderBy(F.xxhash64(id_col), id_col).limit(rows)
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(y), id_col)
     d = d.select("text", "y", F.xxhash64(id_col, "text").alias("h"))
 
