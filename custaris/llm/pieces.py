@@ -19,6 +19,7 @@ import heapq
 from functools import lru_cache
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import documents, slices
 
 SPACE = "▁"
-CACHE_PARTS = 500_000      # parts remembered in a worker; beyond it the memory starts anew (speed only)
+CACHE_PARTS = 200_000      # parts remembered in a worker; beyond it the memory starts anew (speed only)
 SHORT_PART = 64            # up to here the agenda is a list, beyond it a heap; both give the same merges
 NO_PIECE = float("inf")
 LONG_PART = 64             # longer parts aren't remembered
@@ -229,7 +230,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", dige
 
     def run(batches):
         m = model(model_path)
-        for b in slices(batches, "__pc_text"):
+        for b in slices(batches, "__pc_text", 1 << 20):
             got = [m.encode_decode(t or "") for t in b.column("__pc_text").to_pylist()]
             m.check()
             if digests:
@@ -237,7 +238,9 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", dige
                         pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in got], pa.string()),
                         pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for _, t in got], pa.string())]
             else:
-                cols = [pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in got], pa.list_(pa.int32())),
+                n = [i.count(",") + 1 if i else 0 for i, _ in got]
+                flat = np.array(",".join([i for i, _ in got if i]).split(",") if any(n) else [], np.int32)
+                cols = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)),
                         pa.array([t for _, t in got], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, names=[*keep, *new])
     return src.mapInArrow(run, schema)
