@@ -46,8 +46,9 @@ def date_parts(c: Column, prefix: str = "Reg") -> list[Column]:
 # --- F2, F3: IP address features -------------------------------------------------------
 
 def _octets(ip: Column) -> list[Column]:
-    m = F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", 0)
-    parts = [F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
+    quad = r"^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})$"  # no leading zeros
+    m = F.regexp_extract(ip, quad, 0)
+    parts = [F.regexp_extract(ip, quad, i).try_cast("int")
              for i in range(1, 5)]
     return [F.when(m != "", p) for p in parts]
 
@@ -62,22 +63,22 @@ def is_private_ip(ip: Column, unparseable: int = -1) -> Column:
     ``unparseable`` otherwise.
 
     Covers the special-purpose blocks treated as private by Python's
-    ``ipaddress`` module: 0/8, 10/8, 100.64/10, 127/8, 169.254/16, 172.16/12,
-    192.0.0/24, 192.0.2/24, 192.168/16, 198.18/15, 198.51.100/24,
-    203.0.113/24, 240/4 and 255.255.255.255.  IPv6: loopback, link-local and
-    unique-local prefixes.
+    ``ipaddress`` module: 0/8, 10/8, 127/8, 169.254/16, 172.16/12, 192.0.0/24
+    (but 192.0.0.9 and 192.0.0.10), 192.0.2/24, 192.168/16, 198.18/15,
+    198.51.100/24, 203.0.113/24 and 240/4.  100.64/10 is not one of them.
+    IPv6: unspecified, loopback, link-local, unique-local, documentation.
     """
     a, b, c, d = _octets(ip)
     v4_private = (
-        (a == 0) | (a == 10) | ((a == 100) & (b >= 64) & (b <= 127)) | (a == 127)
+        (a == 0) | (a == 10) | (a == 127)
         | ((a == 169) & (b == 254)) | ((a == 172) & (b >= 16) & (b <= 31))
-        | ((a == 192) & (b == 0) & ((c == 0) | (c == 2))) | ((a == 192) & (b == 168))
+        | ((a == 192) & (b == 0) & (((c == 0) & (d != 9) & (d != 10)) | (c == 2))) | ((a == 192) & (b == 168))
         | ((a == 198) & ((b == 18) | (b == 19))) | ((a == 198) & (b == 51) & (c == 100))
         | ((a == 203) & (b == 0) & (c == 113)) | (a >= 240)
     )
     low = F.lower(F.trim(ip))
     v6 = low.rlike("^[0-9a-f:]+$") & low.contains(":")
-    v6_private = (low == "::1") | low.rlike("^fe[89ab][0-9a-f]:") | low.rlike("^f[cd][0-9a-f]{2}:")
+    v6_private = low.isin("::", "::1") | low.rlike("^2001:0?db8:") | low.rlike("^fe[89ab][0-9a-f]:") | low.rlike("^f[cd][0-9a-f]{2}:")
     return (F.when(ipv4_valid(ip), F.when(v4_private, 1).otherwise(0))
             .when(v6, F.when(v6_private, 1).otherwise(0))
             .otherwise(unparseable))

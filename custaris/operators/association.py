@@ -29,16 +29,12 @@ def _pair_sums_sql(a: str, b: str, i: int) -> list[str]:
     x, y = f"CAST({_q(a)} AS DOUBLE)", f"CAST({_q(b)} AS DOUBLE)"
     both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
     xs, ys = f"(CASE WHEN {both} THEN {x} END)", f"(CASE WHEN {both} THEN {y} END)"
-    return [f"count({xs}) AS n_{i}", f"sum({xs}) AS sx_{i}", f"sum({ys}) AS sy_{i}",
-            f"sum({xs} * {xs}) AS sxx_{i}", f"sum({ys} * {ys}) AS syy_{i}", f"sum({xs} * {ys}) AS sxy_{i}"]
+    return [f"count({xs}) AS n_{i}", f"covar_pop({xs}, {ys}) AS cov_{i}", f"stddev_pop({xs}) AS dx_{i}", f"stddev_pop({ys}) AS dy_{i}",
+            f"(min({xs}) < max({xs}) AND min({ys}) < max({ys})) AS varies_{i}"]
 
 
 def _r_sql(i: int) -> str:
-    n = f"CAST(n_{i} AS DOUBLE)"
-    vx = f"(sxx_{i} - sx_{i} * sx_{i} / {n})"
-    vy = f"(syy_{i} - sy_{i} * sy_{i} / {n})"
-    cov = f"(sxy_{i} - sx_{i} * sy_{i} / {n})"
-    r = f"(CASE WHEN {vx} > 0 AND {vy} > 0 THEN {cov} / sqrt({vx} * {vy}) END)"
+    r = f"(CASE WHEN varies_{i} THEN cov_{i} / (dx_{i} * dy_{i}) END)"
     return f"CAST(floor(CAST({r} AS DOUBLE) * 1e9 + 0.5) / 1e9 AS DOUBLE)"
 
 
@@ -86,7 +82,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = list(cols)
     k = len(cols)
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # r doesn't change under a shift: taking off each column's least value keeps the sums small against the spread and
+    # makes a constant column exactly zero
+    low = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    typed = df.select(*[(F.col(c).cast("double") - F.lit(low[c] or 0.0)).alias(c) for c in cols])
     part = typed.mapInPandas(_gram_partials(cols), "pos long, v double")
     tot = part.groupBy("pos").agg(F.sum("v").alias("v"))
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
@@ -113,7 +112,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    r = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    # a column that is constant where the other is present leaves rounding noise only
+    r = F.when((vx > F.col("sxx") * 1e-13) & (vy > F.col("syy") * 1e-13), cov / F.sqrt(vx * vy))
     return j.select("feature_a", "feature_b", fix_col(r).alias("r"), n.cast("long").alias("n"))
 
 
@@ -256,7 +256,7 @@ def vif_from_gram(spark, gram: DataFrame, cols: Sequence[str]) -> DataFrame:
                           .otherwise("ok")).orderBy(F.desc("vif"))
 
 
-def compute_vif(df: DataFrame, cols: Sequence[str], max_features: int = 30) -> DataFrame:
+def compute_vif(df: DataFrame, cols: Sequence[str], max_features: int | None = None) -> DataFrame:
     cols = list(cols)[:max_features]
     return vif_from_gram(df.sparkSession, gram_matrix(df, cols), cols)
 
@@ -288,12 +288,12 @@ def suspect_check(target_corr: DataFrame, all_cols: Sequence[str], suspects: Seq
 
 def recommended_drops(tiers: DataFrame, suspects: DataFrame, all_cols: Sequence[str],
                       importances: DataFrame | None = None, dominance: float = 0.30) -> DataFrame:
-    """High-tier features ∪ every variant of a leaky suspect's base name
+    """High-tier features ∪ every variant of the base name of a leaky suspect found by its own name
     (``rsplit('_', 1)``) ∪ variants of a dominant importance feature; sorted."""
     spark = tiers.sparkSession
     cols_df = spark.createDataFrame([(c,) for c in all_cols], "column string")
     high = tiers.where(F.col("tier") == "high").select(F.col("feature").alias("column"))
-    bases = suspects.where("leaky").select(F.regexp_extract("feature", r"^(.*)_[^_]*$", 1).alias("base"))
+    bases = suspects.where("leaky and suspect = feature").select(F.regexp_extract("feature", r"^(.*)_[^_]*$", 1).alias("base"))
     if importances is not None:
         top = importances.orderBy(F.desc("importance"), "feature").limit(1).where(F.col("importance") > dominance)
         bases = bases.unionByName(top.select(

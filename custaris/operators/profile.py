@@ -194,19 +194,14 @@ def top_rate_categories(df: DataFrame, label: str, col: str, min_count: int = 10
 # Missingness correlation, IQR outliers, skewness
 
 def corr_expr(x: Column, y: Column) -> Column:
-    """Pearson r from raw sums over pairwise-complete rows; null if constant.
+    """Pearson r from central moments over pairwise-complete rows; null if constant.
 
     ``corr`` raises under ANSI on zero variance; this form returns null.
     """
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    n = F.count(xs).cast("double")
-    sx, sy = F.sum(xs), F.sum(ys)
-    sxx, syy, sxy = F.sum(xs * xs), F.sum(ys * ys), F.sum(xs * ys)
-    cov = sxy - sx * sy / n
-    vx = sxx - sx * sx / n
-    vy = syy - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    return F.when(varies, F.covar_pop(xs, ys) / (F.stddev_pop(xs) * F.stddev_pop(ys)))
 
 
 def missing_target_corr(df: DataFrame, label: str, cols: Sequence[str], threshold: float = 0.05) -> DataFrame:

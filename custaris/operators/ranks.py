@@ -13,15 +13,16 @@ Here the work is split in two levels instead:
 1. rows are reduced to distinct ``(group, value)`` with summed weights
    (map-side combined), so a value held by a third of all rows is one row;
 2. an approximate quantile sketch (mergeable, bounded memory) cuts each group
-   into ``n_buckets`` value ranges;
+   into ``BUCKETS`` value ranges;
 3. a window partitioned by ``(group, bucket)`` gives prefix sums inside a
    bucket; bucket totals (groups × buckets rows) get their own prefix sum and
    are joined back (AQE broadcasts them when the runtime size is small).
 
 The result is exact; only the bucket boundaries are approximate, and they
-influence only how the work is spread.  When the reduced input is proven
-small (a LIMIT-count check), one window per group does the same exact work
-with fewer stages.
+influence only how the work is spread.  There is one path at every size.  No
+large exchange is keyed on the group alone: rows move by ``(group, bucket)``,
+and what moves by group are sketches and at most ``BUCKETS`` totals a group.
+Null group values are groups of their own.
 """
 
 from __future__ import annotations
@@ -31,64 +32,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import is_bounded
+from .joins import bounded_broadcast
 
 _G = "__grp"
-SMALL_ROWS = 1_000_000  # reduced inputs up to this size use one window per group (checked)
-
-
-def _group_cols(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if group_cols:
-        return df, list(group_cols)
-    return df.withColumn(_G, F.lit(0)), [_G]
+_STEP = 32
+BUCKETS = _STEP * _STEP
+MAX_BROADCAST_GROUPS = 4096  # bounds are BUCKETS doubles a group; beyond it the bounds are joined by shuffle
+
+
+def _with_key(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """One non-null key column for the group, so that joins and windows treat null groups like any other."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in group_cols]
+    return df.withColumn(_G, F.concat_ws("\u0001", F.lit("g"), *parts))
+
+
+def _bucketed(df: DataFrame, group_cols: Sequence[str], order_col: str, weight_cols: Sequence[str],
+              descending: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with key, bucket and prefix sums inside the bucket; bucket totals with their offsets)."""
+    key = -F.col(order_col) if descending else F.col(order_col)
+    df = _with_key(df, group_cols).withColumn("__ord", key.cast("double"))
+    probs = [i / BUCKETS for i in range(1, BUCKETS)]
+    bounds = df.groupBy(_G).agg(F.percentile_approx("__ord", probs, 4 * BUCKETS).alias("__bounds"))
+    # every _STEP-th bound is kept apart, so a row looks at 2 * _STEP bounds and not at all of them
+    bounds = bounds.select(F.col(_G), "__bounds", F.expr(f"filter(__bounds, (b, i) -> i % {_STEP} = {_STEP - 1})").alias("__coarse"))
+    step = F.size(F.filter("__coarse", lambda b: b < F.col("__ord")))
+    tagged = (df.join(bounded_broadcast(bounds, MAX_BROADCAST_GROUPS), _G, "inner").withColumn("__step", step)
+              .withColumn("__bucket", (F.col("__step") * _STEP + F.size(F.filter(
+                  F.slice("__bounds", F.col("__step") * _STEP + 1, F.lit(_STEP)), lambda b: b < F.col("__ord")))).cast("int"))
+              .drop("__bounds", "__coarse", "__step"))
+    w_in = (Window.partitionBy(_G, "__bucket").orderBy("__ord")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = tagged.groupBy(_G, "__bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weight_cols])
+    w_b = Window.partitionBy(_G).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = Window.partitionBy(_G)
+    for w in weight_cols:
+        tagged = tagged.withColumn(f"__in_{w}", F.sum(w).over(w_in) - F.col(w))
+        totals = (totals.withColumn(f"__off_{w}", F.sum(f"__bt_{w}").over(w_b) - F.col(f"__bt_{w}"))
+                  .withColumn(f"{w}_total", F.sum(f"__bt_{w}").over(w_all)))
+    return tagged, totals
 
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                weight_cols: Sequence[str], *, descending: bool = False,
-                n_buckets: int = 256, accuracy: int = 10_000,
-                small_rows: int = SMALL_ROWS) -> DataFrame:
+                weight_cols: Sequence[str], *, descending: bool = False) -> DataFrame:
     """Exclusive prefix sums of ``weight_cols`` along ``order_col`` per group.
 
     ``df`` must hold one row per distinct ``(group, order_col)`` value (use
     :func:`value_counts` first).  Adds ``<w>_before`` (sum over strictly
     earlier values) and ``<w>_total`` (group total) for every weight column.
     """
-    df, g = _group_cols(df, group_cols)
-    ocol = F.col(order_col)
-    key = (-ocol) if descending else ocol
-    df = df.withColumn("__ord", key.cast("double"))
-    if small_rows and is_bounded(df, small_rows):
-        # size-checked fast path: the whole reduced input has ≤ small_rows rows,
-        # so one window per group is bounded; sums are the same exact counts
-        w_run = Window.partitionBy(*g).orderBy("__ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        w_all = Window.partitionBy(*g)
-        out = df
-        for w in weight_cols:
-            out = out.withColumns({f"{w}_before": F.sum(w).over(w_run) - F.col(w), f"{w}_total": F.sum(w).over(w_all)})
-        return out.drop("__ord", *([] if group_cols else [_G]))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.groupBy(*g).agg(F.percentile_approx("__ord", probs, accuracy).alias("__bounds"))
-    tagged = (df.join(bounds, g, "inner")
-              .withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col("__ord"))))
-              .drop("__bounds"))
-    w_in = (Window.partitionBy(*g, "__bucket").orderBy("__ord")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for w in weight_cols:
-        tagged = tagged.withColumn(f"__in_{w}", F.sum(w).over(w_in) - F.col(w))
-    totals = tagged.groupBy(*g, "__bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weight_cols])
-    w_b = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*g)
-    for w in weight_cols:
-        totals = (totals.withColumn(f"__off_{w}", F.sum(f"__bt_{w}").over(w_b) - F.col(f"__bt_{w}"))
-                  .withColumn(f"{w}_total", F.sum(f"__bt_{w}").over(w_all)))
-    totals = totals.drop(*[f"__bt_{w}" for w in weight_cols])
-    out = tagged.join(totals, [*g, "__bucket"], "inner")
+    tagged, totals = _bucketed(df, group_cols, order_col, weight_cols, descending)
+    out = tagged.join(totals.drop(*[f"__bt_{w}" for w in weight_cols]), [_G, "__bucket"], "inner")
     for w in weight_cols:
         out = out.withColumn(f"{w}_before", F.col(f"__off_{w}") + F.col(f"__in_{w}"))
-    drop = ["__ord", "__bucket"] + [f"__in_{w}" for w in weight_cols] + [f"__off_{w}" for w in weight_cols]
-    if not group_cols:
-        drop.append(_G)
-    return out.drop(*drop)
+    return out.drop("__ord", "__bucket", _G, *[f"__{k}_{w}" for k in ("in", "off") for w in weight_cols])
 
 
 def value_counts(df: DataFrame, group_cols: Sequence[str], value_col: str, weight: str = "__c") -> DataFrame:
@@ -97,51 +93,36 @@ def value_counts(df: DataFrame, group_cols: Sequence[str], value_col: str, weigh
             .groupBy(*group_cols, value_col).agg(F.count("*").alias(weight)))
 
 
-def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], *, n_buckets: int = 256, small_rows: int = SMALL_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles (numpy default, DuckDB ``quantile_cont``).
 
     Returns ``group_cols + [prob, quantile]``; groups with no non-null value
-    produce no rows.
+    produce no rows.  A rank's bucket follows from the bucket totals; the value
+    is then found by an equi-join on (group, bucket).
     """
     g = list(group_cols)
-    vc = value_counts(df, g, value_col)
-    cum = prefix_sums(vc, g, value_col, ["__c"], n_buckets=n_buckets, small_rows=small_rows)
-    gtot = cum.select(*g, F.col("__c_total").alias("__n")).distinct() if g else \
-        cum.select(F.col("__c_total").alias("__n")).distinct()
-    h = F.col("prob") * (F.col("__n") - 1)
-    targets = (gtot.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-               .withColumn("__lo", F.floor(h))
-               .withColumn("__frac", h - F.floor(h))
-               .withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n") - 1)))
-    ranks = targets.select(*g, "prob", "__frac",
-                           F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("__lo").alias("r")),
-                                             F.struct(F.lit(1).alias("which"), F.col("__hi").alias("r"))))
-                           .alias("__t")).select(*g, "prob", "__frac", "__t.which", "__t.r")
-    cond = [(F.col("__r_side.r") >= F.col("__c_side.__c_before")),
-            (F.col("__r_side.r") < F.col("__c_side.__c_before") + F.col("__c_side.__c"))]
-    for c in g:
-        cond.append(F.col(f"__r_side.{c}") == F.col(f"__c_side.{c}"))
-    if not g:
-        ranks = ranks.withColumn(_G, F.lit(0))
-        cum = cum.withColumn(_G, F.lit(0))
-        cond.append(F.col(f"__r_side.{_G}") == F.col(f"__c_side.{_G}"))
-    hit = (ranks.alias("__r_side").join(cum.alias("__c_side"), cond, "inner")
-           .select(*[F.col(f"__r_side.{c}").alias(c) for c in g], F.col("__r_side.prob").alias("prob"),
-                   F.col("__r_side.__frac").alias("__frac"), F.col("__r_side.which").alias("which"),
-                   F.col(f"__c_side.{value_col}").cast("double").alias("__v")))
+    tagged, totals = _bucketed(value_counts(df, g, value_col), g, value_col, ["__c"])
+    n = F.col("__c_total")
+    h = F.col("prob") * (n - 1)
+    ranks = (totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+             .withColumn("__frac", h - F.floor(h))
+             .withColumn("__r", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.least(F.floor(h) + k, n - 1).alias("r")) for k in (0, 1)])))
+             .where((F.col("__r.r") >= F.col("__off___c")) & (F.col("__r.r") < F.col("__off___c") + F.col("__bt___c")))
+             .select(_G, "__bucket", "prob", "__frac", "__r.which", (F.col("__r.r") - F.col("__off___c")).alias("__at")))
+    hit = tagged.join(ranks, [_G, "__bucket"]).where(
+        (F.col("__at") >= F.col("__in___c")) & (F.col("__at") < F.col("__in___c") + F.col("__c")))
+    v = F.col(f"`{value_col}`").cast("double")
     res = hit.groupBy(*g, "prob").agg(
-        F.max(F.when(F.col("which") == 0, F.col("__v"))).alias("__vlo"),
-        F.max(F.when(F.col("which") == 1, F.col("__v"))).alias("__vhi"),
+        F.max(F.when(F.col("which") == 0, v)).alias("__vlo"), F.max(F.when(F.col("which") == 1, v)).alias("__vhi"),
         F.first("__frac").alias("__frac"))
     q = F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))
     return res.select(*g, "prob", F.when(F.col("__frac") == 0, F.col("__vlo")).otherwise(q).alias("quantile"))
 
 
 def quantiles_wide(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                   probs: Sequence[float], names: Sequence[str], *, n_buckets: int = 256) -> DataFrame:
+                   probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """:func:`exact_quantiles` pivoted to one column per probability."""
-    q = exact_quantiles(df, group_cols, value_col, probs, n_buckets=n_buckets)
+    q = exact_quantiles(df, group_cols, value_col, probs)
     aggs = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for p, n in zip(probs, names)]
     if group_cols:
         return q.groupBy(*group_cols).agg(*aggs)

@@ -12,7 +12,7 @@ from .sqlfrag import pairs_sql
 CORR_COLS = NUMERIC_FEATURES + ["Churn"]
 PAIRS = [(CORR_COLS[i], CORR_COLS[j]) for i in range(len(CORR_COLS)) for j in range(i + 1, len(CORR_COLS))]
 TARGET_PAIRS = [(c, "Churn") for c in NUMERIC_FEATURES]
-VIF_COLS = [c for c in NUMERIC_FEATURES][:30]
+VIF_COLS = NUMERIC_FEATURES
 
 
 @register("c01_correlation_matrix", oracle(pairs_sql(PAIRS), "r"))

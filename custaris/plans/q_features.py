@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as SF
@@ -12,24 +14,28 @@ from .catalog import c360, finish, oracle, register
 from .q_split import DUCK_SPLIT
 
 # ------------------------------------------------------------------ DuckDB mirrors of row-local steps
-_RX = r"'^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$'"
+_RX = r"'^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})$'"
 
 
 def duck_octet(ip: str, i: int) -> str:
     return f"TRY_CAST(regexp_extract({ip}, {_RX}, {i}) AS INTEGER)"
 
 
+# fixed values: networks that the ipaddress module counts as private, and the addresses inside that it doesn't
+PRIVATE_NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+                    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PUBLIC_INSIDE = ("192.0.0.9", "192.0.0.10")
+
+
 def duck_is_private(ip: str) -> str:
     a, b, c, d = (duck_octet(ip, i) for i in range(1, 5))
     valid = f"({a} IS NOT NULL AND {a} <= 255 AND {b} <= 255 AND {c} <= 255 AND {d} <= 255)"
-    priv = (f"({a} = 0 OR {a} = 10 OR ({a} = 100 AND {b} >= 64 AND {b} <= 127) OR {a} = 127 "
-            f"OR ({a} = 169 AND {b} = 254) OR ({a} = 172 AND {b} >= 16 AND {b} <= 31) "
-            f"OR ({a} = 192 AND {b} = 0 AND ({c} = 0 OR {c} = 2)) OR ({a} = 192 AND {b} = 168) "
-            f"OR ({a} = 198 AND ({b} = 18 OR {b} = 19)) OR ({a} = 198 AND {b} = 51 AND {c} = 100) "
-            f"OR ({a} = 203 AND {b} = 0 AND {c} = 113) OR {a} >= 240)")
+    number = f"({a}::BIGINT * 16777216 + {b} * 65536 + {c} * 256 + {d})"
+    inside = " OR ".join(f"{number} BETWEEN {int(n[0])} AND {int(n[-1])}" for n in map(ipaddress.ip_network, PRIVATE_NETWORKS))
+    priv = f"(({inside}) AND {number} NOT IN ({', '.join(str(int(ipaddress.ip_address(x))) for x in PUBLIC_INSIDE)}))"
     low = f"lower(trim({ip}))"
     v6 = f"(regexp_matches({low}, '^[0-9a-f:]+$') AND contains({low}, ':'))"
-    v6p = (f"({low} = '::1' OR regexp_matches({low}, '^fe[89ab][0-9a-f]:') "
+    v6p = (f"({low} IN ('::', '::1') OR regexp_matches({low}, '^2001:0?db8:') OR regexp_matches({low}, '^fe[89ab][0-9a-f]:') "
            f"OR regexp_matches({low}, '^f[cd][0-9a-f]{{2}}:'))")
     return (f"(CASE WHEN {valid} THEN (CASE WHEN {priv} THEN 1 ELSE 0 END) "
             f"WHEN {v6} THEN (CASE WHEN {v6p} THEN 1 ELSE 0 END) ELSE -1 END)")

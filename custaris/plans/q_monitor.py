@@ -11,7 +11,7 @@ from .customer360 import NUMERIC_FEATURES
 from .q_metrics import BASELINE_SCORE_SQL, baseline_score_col
 from .q_split import DUCK_SPLIT, duck_hash
 
-MONITORED = NUMERIC_FEATURES[:20]
+MONITORED = NUMERIC_FEATURES  # all; a caller may pass fewer
 DUCK_HALF = f"CASE WHEN {duck_hash('half42')} < {E.HASH_SPACE // 2} THEN 'reference' ELSE 'current' END"
 
 

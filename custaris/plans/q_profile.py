@@ -9,6 +9,7 @@ from ..functions.numeric import fix_sql, sig_sql
 from ..operators import profile as P
 from ..operators import ranks as R
 from .catalog import c360, finish, oracle, register
+from .sqlfrag import corr_sql
 from .customer360 import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from .standin import month_to_season as season_sql
 
@@ -25,7 +26,7 @@ ALL_COLS = ["CustomerID", "Country", "Region", "Recency", "Frequency", "TotalTra
             "ProductDiversity", "Gender", "AccountStatus", "AgeCategory", "PreferredTimeOfDay",
             "SpendingCategory", "BasketSizeCategory", "FavoriteSeason", "CustomerType",
             "ChurnRiskCategory", "Churn"]
-BOX_FEATURES = ["MonetaryTotal", "Frequency", "CustomerTenureDays", "ReturnRatio"]
+BOX_FEATURES = NUMERIC_FEATURES
 
 
 def duck_long(cols, ids=(), typ="DOUBLE") -> str:
@@ -161,19 +162,9 @@ def p11(spark, sf):
 
 
 # ---------------------------------------------------------------- P12 missingness vs target
-def _corr_sql(x, y):
-    xs = f"(CASE WHEN ({x}) IS NOT NULL AND ({y}) IS NOT NULL THEN CAST({x} AS DOUBLE) END)"
-    ys = f"(CASE WHEN ({x}) IS NOT NULL AND ({y}) IS NOT NULL THEN CAST({y} AS DOUBLE) END)"
-    n = f"CAST(count({xs}) AS DOUBLE)"
-    vx = f"(sum({xs} * {xs}) - sum({xs}) * sum({xs}) / {n})"
-    vy = f"(sum({ys} * {ys}) - sum({ys}) * sum({ys}) / {n})"
-    cov = f"(sum({xs} * {ys}) - sum({xs}) * sum({ys}) / {n})"
-    return f"(CASE WHEN {vx} > 0 AND {vy} > 0 THEN {cov} / sqrt({vx} * {vy}) END)"
-
-
 def _missing_corr_sql():
     parts = [f"SELECT '{c}' AS feature, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing, "
-             f"{_corr_sql(f'CAST({c} IS NULL AS INTEGER)', 'Churn')} AS r FROM c360" for c in ALL_COLS]
+             f"{corr_sql(f'CAST({c} IS NULL AS INTEGER)', 'Churn')} AS r FROM c360" for c in ALL_COLS]
     return "SELECT feature, n_missing, r, abs(r) > 0.05 AS flag FROM (" + " UNION ALL ".join(parts) + \
         ") WHERE n_missing > 0"
 
@@ -250,16 +241,14 @@ def p18(spark, sf):
 
 
 # ---------------------------------------------------------------- P19 scatter sample
-_SCATTER = ["MonetaryTotal", "Frequency", "CustomerTenureDays", "ReturnRatio"]
+_SCATTER = ["MonetaryTotal", "Frequency", "Recency", "CustomerTenureDays", "ReturnRatio"]
 
 
 @register("p19_scatter_sample", oracle(f"""
-SELECT CustomerID, Churn, {', '.join(_SCATTER)} FROM c360
-WHERE substr(md5(CAST(CustomerID AS VARCHAR) || ':42'), 1, 4) < '3333'""", "MonetaryTotal ReturnRatio"))
+SELECT CustomerID, Churn, {', '.join(_SCATTER)} FROM c360""", "MonetaryTotal ReturnRatio"))
 def p19(spark, sf):
-    df = c360(spark, sf)
-    h = F.substring(F.md5(F.concat(F.col("CustomerID").cast("string"), F.lit(":42"))), 1, 4)
-    return finish(df.where(h < "3333").select("CustomerID", "Churn", *_SCATTER))
+    """Scatter points of all customers."""
+    return finish(c360(spark, sf).select("CustomerID", "Churn", *_SCATTER))
 
 
 # ---------------------------------------------------------------- P20 qcut
@@ -346,7 +335,7 @@ def p26(spark, sf):
 
 # ---------------------------------------------------------------- P27 pair correlation + zero counts
 @register("p27_pair_corr_zero_counts", oracle(f"""
-SELECT {_corr_sql('MonetaryTotal', 'TotalQuantity')} AS r,
+SELECT {corr_sql('MonetaryTotal', 'TotalQuantity')} AS r,
        CAST(count_if(ZeroPriceCount = 0) AS BIGINT) AS n_zero_price_zero,
        CAST(count_if(CancelledTransactions = 0) AS BIGINT) AS n_cancelled_zero
 FROM c360""", "r"))

@@ -43,7 +43,7 @@ def _run_impl(spark, sf):
     vec = M.size_partitions(vec, vec.count(), len(cols)).persist(StorageLevel.MEMORY_AND_DISK)
     models, inertias, sils = {}, {}, {}
     for k in K_SCAN:
-        m = SG.fit_kmeans(vec, k, seeds=(42,))
+        m = SG.fit_kmeans(vec, k, seeds=tuple(range(42, 52)))
         models[k], inertias[k] = m, float(m.summary.trainingCost)
         if k in SIL_SCAN:
             sils[k] = SG.silhouette_squared(m.transform(vec))

@@ -6,15 +6,11 @@ from ..functions.numeric import fix_sql
 
 
 def corr_sql(x: str, y: str) -> str:
-    """Pairwise-complete Pearson r from raw sums (same formula as the Spark side)."""
+    """Pairwise-complete Pearson r by DuckDB's own ``corr``; null when a side is constant."""
     both = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL"
     xs = f"(CASE WHEN {both} THEN CAST({x} AS DOUBLE) END)"
     ys = f"(CASE WHEN {both} THEN CAST({y} AS DOUBLE) END)"
-    n = f"CAST(count({xs}) AS DOUBLE)"
-    vx = f"(sum({xs} * {xs}) - sum({xs}) * sum({xs}) / {n})"
-    vy = f"(sum({ys} * {ys}) - sum({ys}) * sum({ys}) / {n})"
-    cov = f"(sum({xs} * {ys}) - sum({xs}) * sum({ys}) / {n})"
-    return f"(CASE WHEN {vx} > 0 AND {vy} > 0 THEN {cov} / sqrt({vx} * {vy}) END)"
+    return f"(CASE WHEN min({xs}) < max({xs}) AND min({ys}) < max({ys}) THEN corr({xs}, {ys}) END)"
 
 
 def pair_count_sql(x: str, y: str) -> str:

@@ -17,22 +17,33 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
     pdf = pd.DataFrame({"g": groups, "v": vals})
     df = spark.createDataFrame(pdf)
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
-    for small in (0, 1_000_000):  # two-level path forced, then the size-checked window path
-        got = R.exact_quantiles(df, ["g"], "v", probs, n_buckets=16, small_rows=small).toPandas()
-        for g, sub in pdf.groupby("g"):
-            exp = np.quantile(sub["v"].to_numpy(), probs)
-            res = got[got.g == g].sort_values("prob")["quantile"].to_numpy()
-            assert np.allclose(res, exp, rtol=0, atol=1e-12)
+    got = R.exact_quantiles(df, ["g"], "v", probs).toPandas()
+    for g, sub in pdf.groupby("g"):
+        exp = np.quantile(sub["v"].to_numpy(), probs)
+        res = got[got.g == g].sort_values("prob")["quantile"].to_numpy()
+        assert np.allclose(res, exp, rtol=0, atol=1e-12)
+
+
+def test_quantiles_over_many_buckets_and_without_group(spark):
+    v = np.random.default_rng(3).normal(size=20_000)
+    got = R.exact_quantiles(spark.createDataFrame(pd.DataFrame({"v": v})), [], "v", [0, 0.013, 0.5, 0.999, 1]).toPandas()
+    assert np.allclose(got.sort_values("prob")["quantile"], np.quantile(v, [0, 0.013, 0.5, 0.999, 1]), rtol=0, atol=1e-12)
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), (None, 7.0)], "g string, v double")
+    out = {(r.g, r.v): (r["__c_before"], r["__c_total"]) for r in R.prefix_sums(R.value_counts(df, ["g"], "v"), ["g"], "v", ["__c"]).collect()}
+    assert out == {("a", 1.0): (0, 2), ("a", 2.0): (1, 2), (None, 5.0): (0, 2), (None, 7.0): (1, 2)}
+    assert {r.g: r.quantile for r in R.exact_quantiles(df, ["g"], "v", [0.5]).collect()} == {"a": 1.5, None: 6.0}
 
 
 def test_prefix_sums_exact(spark):
     pdf = pd.DataFrame({"v": np.arange(200) % 37, "w": 1})
     vc = R.value_counts(spark.createDataFrame(pdf), [], "v")
     exp = pdf.groupby("v").size().cumsum().shift(fill_value=0).to_numpy()
-    for small in (0, 1_000_000):
-        out = R.prefix_sums(vc, [], "v", ["__c"], n_buckets=8, small_rows=small).toPandas().sort_values("v")
-        assert (out["__c_before"].to_numpy() == exp).all()
-        assert (out["__c_total"] == 200).all()
+    out = R.prefix_sums(vc, [], "v", ["__c"]).toPandas().sort_values("v")
+    assert (out["__c_before"].to_numpy() == exp).all()
+    assert (out["__c_total"] == 200).all()
 
 
 def test_mode_smallest_on_ties(spark):
