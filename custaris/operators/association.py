@@ -268,21 +268,15 @@ def suspect_check(target_corr: DataFrame, all_cols: Sequence[str], suspects: Seq
     """Named suspects found → their |r|; absent ones → the first three
     columns containing the suspect's base name.  ``target_corr`` must cover
     ``all_cols``."""
-    chosen: list[tuple[str, str]] = []
-    present = set(all_cols)
-    for s in suspects:
-        if s in present:
-            chosen.append((s, s))
-        else:
-            base = s.split("_")[0]
-            for m in [c for c in all_cols if base in c][:3]:
-                chosen.append((s, m))
     spark = target_corr.sparkSession
-    sel = spark.createDataFrame(chosen or [("", "")], "suspect string, feature string")
-    if not chosen:
-        sel = sel.limit(0)
-    # ``sel`` holds at most 3 × len(suspects) rows
-    return (F.broadcast(sel).join(target_corr, "feature", "inner")
+    cols = spark.createDataFrame([(list(all_cols),)], "cols array<string>").select(F.explode("cols").alias("feature"))
+    wanted = spark.createDataFrame([(s, s.split("_")[0]) for s in suspects], "suspect string, base string")
+    named = wanted.join(cols, F.col("suspect") == F.col("feature"), "left_semi").select("suspect", F.col("suspect").alias("feature"))
+    # absent ones look through the list of column names, in its order
+    like = wanted.join(cols, F.col("suspect") == F.col("feature"), "left_anti").select("suspect", F.explode(F.slice(F.filter(
+        F.array(*[F.lit(c) for c in all_cols]), lambda c: c.contains(F.col("base"))), 1, 3)).alias("feature"))
+    # at most 3 × len(suspects) rows
+    return (F.broadcast(named.unionByName(like)).join(target_corr, "feature", "inner")
             .select("suspect", "feature", "abs_r", (F.col("abs_r") > threshold).alias("leaky")))
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -130,31 +131,17 @@ def churn_by_cluster(assigned: DataFrame, label: str, cluster: str = "Cluster")
 
 
 def name_clusters(prof_rows: list[dict], cluster: str = "Cluster", label: str = "Churn") -> dict[int, tuple[str, str]]:
-    """Greedy naming over the ≤ K profile rows, clusters by churn desc;
-    each label is used once; fallback 'Segment i'."""
-    def median(vals):
-        s = sorted(vals)
-        m = len(s) // 2
-        return s[m] if len(s) % 2 else (s[m - 1] + s[m]) / 2
-    fmed = median([r["Frequency"] for r in prof_rows])
-    mmed = median([r["MonetaryTotal"] for r in prof_rows])
-    rules = [
-        (lambda r, f, m: r > LOST_PCT, LABELS[0]),
-        (lambda r, f, m: r > AT_RISK_PCT, LABELS[1]),
-        (lambda r, f, m: f > fmed and m > mmed, LABELS[2]),
-        (lambda r, f, m: f > fmed, LABELS[3]),
-        (lambda r, f, m: True, LABELS[4]),
-    ]
-    used, names = set(), {}
-    for r in sorted(prof_rows, key=lambda x: (-x[label], x[cluster])):
-        i, churn = r[cluster], r[label] * 100
-        for cond, lab in rules:
-            if cond(churn, r["Frequency"], r["MonetaryTotal"]) and lab not in used:
-                names[i] = (f"Cluster {i} — {lab}", lab)
-                used.add(lab)
-                break
-        else:
-            names[i] = (f"Cluster {i} — Segment {i}", f"Segment {i}")
+    """Names for the ≤ K profile rows.  A table says which label suits which cluster; clusters choose in order of
+    churn, each its first suiting label that is still free, or 'Segment i'."""
+    prof = pd.DataFrame(prof_rows).sort_values([label, cluster], ascending=[False, True]).set_index(cluster)
+    churn = prof[label] * 100
+    often, dear = prof["Frequency"] > prof["Frequency"].median(), prof["MonetaryTotal"] > prof["MonetaryTotal"].median()
+    suits = pd.DataFrame(dict(zip(LABELS, [churn > LOST_PCT, churn > AT_RISK_PCT, often & dear, often, churn.notna() | churn.isna()])))
+    free, names = list(LABELS), {}
+    for i, row in suits.iterrows():
+        mine = next((lab for lab in free if row[lab]), f"Segment {i}")
+        free = [lab for lab in free if lab != mine]
+        names[i] = (f"Cluster {i} — {mine}", mine)
     return names
 
 
