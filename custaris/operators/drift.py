@@ -28,17 +28,27 @@ def ks_statistics(df: DataFrame, side_col: str, cols: Sequence[str], ref: str =
 
     Features with fewer than ``min_n`` non-null values on a side are skipped.
     """
-    long = melt(df, cols, [side_col]).where(F.col("value").isNotNull())
+    return ks_from_counts(value_counts(df, side_col, cols, ref, cur), min_n)
+
+
+def value_counts(df: DataFrame, side_col: str, cols: Sequence[str], ref: str = "reference",
+                 cur: str = "current") -> DataFrame:
+    """Rows per (feature, value) on the reference side (r) and the current side (c); nulls left out.
+    The counts of two disjoint sets of rows may be added up."""
     s = F.col(side_col)
-    counts = long.groupBy("feature", "value").agg(F.count_if(s == ref).cast("long").alias("r"),
-                                                   F.count_if(s == cur).cast("long").alias("c"))
+    return (melt(df, cols, [side_col]).where(F.col("value").isNotNull()).groupBy("feature", "value")
+            .agg(F.count_if(s == ref).cast("long").alias("r"), F.count_if(s == cur).cast("long").alias("c")))
+
+
+def ks_from_counts(counts: DataFrame, min_n: int = 5) -> DataFrame:
+    """D1 from :func:`value_counts`; the means come from the same rows."""
     cum = R.prefix_sums(counts, ["feature"], "value", ["r", "c"])
     gap = F.abs((F.col("r_before") + F.col("r")) / F.col("r_total") - (F.col("c_before") + F.col("c")) / F.col("c_total"))
-    d = cum.groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.max("r_total").alias("n_ref"),
-                                   F.max("c_total").alias("n_cur"))
-    means = long.groupBy("feature").agg(F.avg(F.when(s == ref, F.col("value"))).alias("ref_mean"),
-                                        F.avg(F.when(s == cur, F.col("value"))).alias("cur_mean"))
-    return (d.join(means, "feature").where((F.col("n_ref") >= min_n) & (F.col("n_cur") >= min_n))
+    d = cum.groupBy("feature").agg(
+        F.max(gap).alias("ks_stat"), F.max("r_total").alias("n_ref"), F.max("c_total").alias("n_cur"),
+        F.try_divide(F.sum(F.col("value") * F.col("r")), F.sum("r")).alias("ref_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum("c")).alias("cur_mean"))
+    return (d.where((F.col("n_ref") >= min_n) & (F.col("n_cur") >= min_n))
             .select("feature", "ks_stat", F.col("n_ref").cast("long").alias("n_ref"),
                     F.col("n_cur").cast("long").alias("n_cur"), "ref_mean", "cur_mean"))
 
@@ -106,3 +116,25 @@ def quality_by_side(df: DataFrame, side_col: str, cols: Sequence[str]) -> DataFr
     return long.groupBy(side_col, "feature").agg(
         F.count("*").cast("long").alias("n"), F.count_if(F.col("value").isNull()).cast("long").alias("n_missing"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+
+
+def target_by_side(df: DataFrame, side_col: str, label: str, pred: str) -> DataFrame:
+    """D5 target-drift part: per side the rows and the shares of positive labels and predictions."""
+    return df.groupBy(side_col).agg(F.count("*").cast("long").alias("n"),
+                                    F.avg(F.col(label).cast("double")).alias("label_share"),
+                                    F.avg(F.col(pred).cast("double")).alias("prediction_share"))
+
+
+def classification_by_side(df: DataFrame, side_col: str, label: str, pred: str) -> DataFrame:
+    """D5 classification part: per side the confusion counts, accuracy, precision, recall and F1 (0 where undefined)."""
+    y, p = F.col(label) == 1, F.col(pred) == 1
+    g = df.groupBy(side_col).agg(*[F.count_if(c).cast("long").alias(n) for n, c in
+                                   [("tp", y & p), ("fp", ~y & p), ("fn", y & ~p), ("tn", ~y & ~p)]])
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+
+    def share(a, b):
+        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+    return g.select(side_col, "tp", "fp", "fn", "tn", share(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+                    share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"),
+                    share(2 * tp, 2 * tp + fp + fn).alias("f1"))

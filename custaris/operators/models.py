@@ -21,17 +21,16 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics as X
 from . import ranks as R
 
 MLLIB_MAX_DEPTH = 30
@@ -48,6 +47,10 @@ def whole_or_unlimited(lo: int, hi: int) -> Sampler:
     return lambda rng: rng.choice([*range(lo, hi + 1), None])
 
 
+def uniform(lo: float, hi: float) -> Sampler:
+    return lambda rng: rng.uniform(lo, hi)
+
+
 def log_uniform(lo: float, hi: float) -> Sampler:
     return lambda rng: math.exp(rng.uniform(math.log(lo), math.log(hi)))
 
@@ -63,6 +66,11 @@ GRIDS = {
     "Hist Gradient Boosting": {"max_iter": [100, 200], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
     "Logistic Regression": {"C": [0.01, 0.1, 1, 10]},
 }
+REVENUE_GRIDS = {
+    "Ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
+    "Random Forest": {"n_estimators": [100, 200], "max_depth": [6, 10, None], "max_features": ["sqrt", 0.5]},
+    "Gradient Boosting": {"n_estimators": [100, 200], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
+}
 # ranges of the random search: a sampler for each parameter
 SEARCH_SPACES = {
     "Random Forest": {"n_estimators": whole(50, 300), "max_depth": whole_or_unlimited(3, 20),
@@ -71,6 +79,13 @@ SEARCH_SPACES = {
                                "max_depth": whole(2, 8)},
     "Logistic Regression": {"C": log_uniform(0.001, 100)},
 }
+REVENUE_SEARCH_SPACES = {
+    "Ridge": {"alpha": log_uniform(0.001, 1000)},
+    "Random Forest": {"n_estimators": whole(50, 300), "max_depth": whole_or_unlimited(3, 20),
+                      "max_features": uniform(0.3, 1.0)},
+    "Gradient Boosting": {"n_estimators": whole(50, 300), "learning_rate": log_uniform(0.01, 0.3),
+                          "max_depth": whole(2, 8), "subsample": uniform(0.6, 1.0)},
+}
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -199,7 +214,7 @@ def random_points(space: dict[str, Sampler], n: int, seed: int = 42) -> list[dic
 
 
 def search(df: DataFrame, name: str, points: list[dict], n_weight: float, fold_col: str = "fold",
-           parallelism: int = 5, label: str = "Churn") -> tuple[list[tuple[dict, float]], dict]:
+           parallelism: int = 5, label: str = "Churn", features: str = "features") -> tuple[list[tuple[dict, float]], dict]:
     """Cross-validated average precision of each parameter point.
 
     Points are evaluated one after another (bounded driver memory: at most
@@ -208,7 +223,7 @@ def search(df: DataFrame, name: str, points: list[dict], n_weight: float, fold_c
     """
     results = []
     for i, p in enumerate(points):
-        est = classifier(name, p, n_weight).setLabelCol(label)
+        est = classifier(name, p, n_weight).setLabelCol(label).setFeaturesCol(features)
         preds = fit_predict_folds(df, {f"t{i}": est}, fold_col, 5, label, parallelism)
         sc = grouped_binary_metrics(preds, ["model", "fold"], label, "p").agg(F.avg("pr_auc")).first()[0]
         results.append((p, float(sc)))
@@ -229,7 +244,12 @@ def fit_isotonic(calib: DataFrame, score: str = "p", label: str = "Churn"):
 
 def importances(model, features: Sequence[str], top: int | None = None) -> list[tuple[str, float]]:
     """Feature importances (trees) or |coefficients| (linear), sorted desc."""
-    if hasattr(model, "featureImportances"):
+    if isinstance(model, PipelineModel):
+        # a component's importance goes to the inputs by the size of their loadings
+        pca, inner = model.stages
+        parts = dict(importances(inner, range(pca.getK())))
+        vals = (abs(pca.pc.toArray()) @ [parts[i] for i in range(pca.getK())]).tolist()
+    elif hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray().tolist()
     elif hasattr(model, "coefficients"):
         vals = [abs(v) for v in model.coefficients.toArray().tolist()]
@@ -260,20 +280,48 @@ def tree_nodes(spark, model, features: Sequence[str], path: str) -> DataFrame:
 # -- revenue (M4-M6) -------------------------------------------------------------------
 
 def regressor(name: str, params: dict, n: float, label_std: float, seed: int = 42) -> Estimator:
-    """M4 ridge (closed form; regParam = alpha·std_pop(y)/n), M5 RF, M6 GBT (subsample .8)."""
+    """M4 ridge (closed form; regParam = alpha·std_pop(y)/n), M5 RF, M6 GBT."""
     if name == "Ridge":
         return LinearRegression(solver="normal", regParam=params.get("alpha", 1.0) * label_std / n,
                                 elasticNetParam=0.0, standardization=False)
     if name == "Random Forest":
         d = params.get("max_depth", 8)
         return RandomForestRegressor(numTrees=params.get("n_estimators", 200),
-                                     maxDepth=MLLIB_MAX_DEPTH if d is None else d, seed=seed)
+                                     maxDepth=MLLIB_MAX_DEPTH if d is None else d,
+                                     featureSubsetStrategy=str(params.get("max_features", "all")), seed=seed)
     if name == "Gradient Boosting":
         return GBTRegressor(maxIter=params.get("n_estimators", 200), maxDepth=params.get("max_depth", 4),
-                            stepSize=params.get("learning_rate", 0.1), subsamplingRate=0.8, seed=seed)
+                            stepSize=params.get("learning_rate", 0.1), subsamplingRate=params.get("subsample", 1.0), seed=seed)
     raise ValueError(name)
 
 
+def regression_folds(df: DataFrame, jobs: dict[str, Estimator], fold_col: str = "fold", k: int = 5,
+                     label: str = "label", parallelism: int = 8) -> DataFrame:
+    """R2, MAE and the other regression metrics per (job, fold), scored in one grouped pass."""
+    def one(t):
+        tag, est, f = t
+        m = est.fit(df.where(F.col(fold_col) != f))
+        return m.transform(df.where(F.col(fold_col) == f)).select(
+            F.lit(tag).alias("model"), F.lit(f).alias("fold"), label, "prediction")
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, [(tag, est, f) for tag, est in jobs.items() for f in range(k)]))
+    preds = parts[0]
+    for pr in parts[1:]:
+        preds = preds.unionByName(pr)
+    return X.regression_metrics(preds, label, "prediction", by=["model", "fold"])
+
+
+def search_regression(df: DataFrame, name: str, points: list[dict], n: float,
+                      label_std: float) -> tuple[list[tuple[dict, float]], dict]:
+    """Mean R2 over the folds of each parameter point (M12/M13 for revenue), one point after another."""
+    results = []
+    for i, p in enumerate(points):
+        folds = regression_folds(df, {f"t{i}": regressor(name, p, n, label_std)}, parallelism=5)
+        results.append((p, float(folds.agg(F.avg("r2")).first()[0])))
+    return results, max(results, key=lambda r: r[1])[0]
+
+
 def pca_fit(df: DataFrame, features: str, k_max: int, threshold: float = 0.95):
     """PCA on (already centred, scaled) features; k = first cumulative
     explained variance ≥ threshold.  Returns (model with k, explained variance list)."""

@@ -14,6 +14,7 @@ import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import sig_col, sig_sql
@@ -40,14 +41,16 @@ _SOURCES = ("customer", "orders", "lineitem", "nation", "region", "events")
 
 
 def _fingerprint(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir)]
+    parts = [os.path.abspath(sf_dir) if os.path.isdir(sf_dir) else sf_dir]
     for t in _SOURCES:
         p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
+        if os.path.isfile(p):
             st = os.stat(p)
             parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(f"{t}:?")
+        else:  # a folder or another store: Spark lists the files, their contents stay unread
+            files = (SparkSession.active().read.format("binaryFile").option("recursiveFileLookup", "true").load(p)
+                     .agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))))
+            parts.append(f"{t}:{files.first()}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 

@@ -163,10 +163,10 @@ def revenue_frame(spark, sf) -> DataFrame:
     means = train.groupBy("Frequency").agg(F.avg(y_log).alias("grp_mean"))
     glob = F.lit(float(train.agg(F.avg(y_log)).first()[0]))
     test = df.where(F.col("split") == "test")
-    # one row per distinct Frequency value of the train split → small, broadcast
-    out = (test.join(F.broadcast(means), "Frequency", "left")
+    out = (test.join(means, "Frequency", "left")
            .select("CustomerID", "Churn", F.col("MonetaryTotal").alias("actual"),
-                   F.least(F.col("MonetaryTotal"), cap).alias("actual_capped"), y_log.alias("actual_log"),
+                   F.least(F.col("MonetaryTotal"), cap).alias("actual_capped"),
+                   (F.col("MonetaryTotal") > cap).alias("high_spender"), y_log.alias("actual_log"),
                    F.coalesce("grp_mean", glob).alias("pred_log")))
     return out.withColumn("pred", F.expm1(F.greatest(F.col("pred_log"), F.lit(0.0))))
 
@@ -175,7 +175,7 @@ REV_CTES = f"""_sp AS (SELECT *, {DUCK_SPLIT} AS split FROM c360),
 _cap AS (SELECT quantile_cont(MonetaryTotal, 0.99) AS cap FROM _sp WHERE split = 'train'),
 _tr AS (SELECT Frequency, ln(1 + greatest(least(MonetaryTotal, cap), 0.0)) AS yl FROM _sp, _cap WHERE split = 'train'),
 _gm AS (SELECT Frequency, avg(yl) AS grp_mean FROM _tr GROUP BY Frequency),
-_rev AS (SELECT CustomerID, Churn, MonetaryTotal AS actual, least(MonetaryTotal, cap) AS actual_capped,
+_rev AS (SELECT CustomerID, Churn, MonetaryTotal AS actual, least(MonetaryTotal, cap) AS actual_capped, MonetaryTotal > cap AS high_spender,
                 ln(1 + greatest(least(MonetaryTotal, cap), 0.0)) AS actual_log,
                 coalesce(g.grp_mean, (SELECT avg(yl) FROM _tr)) AS pred_log
          FROM _sp s CROSS JOIN _cap LEFT JOIN _gm g USING (Frequency) WHERE split = 'test'),
@@ -241,3 +241,13 @@ SELECT bin, lo + bin * w AS "left", lo + (bin + 1) * w AS "right", CAST(count(*)
 def x13(spark, sf):
     rv = revenue_frame(spark, sf).withColumn("residual", F.col("actual") - F.col("pred"))
     return finish(X.histogram_fixed(rv, "residual", 50))
+
+
+@register("x13_residual_points", oracle("""
+SELECT CustomerID, pred AS predicted, actual, actual_capped, actual_capped - pred AS residual, high_spender FROM _revp""",
+    "predicted actual actual_capped residual", extra_ctes=REV_CTES))
+def x13p(spark, sf):
+    """Each test customer's predicted and actual revenue, residual against the capped target, high-spender flag."""
+    return finish(revenue_frame(spark, sf).select(
+        "CustomerID", F.col("pred").alias("predicted"), "actual", "actual_capped",
+        (F.col("actual_capped") - F.col("pred")).alias("residual"), "high_spender"))

@@ -25,8 +25,12 @@ from ..session import ensure_checkpoint_dir
 from .catalog import _fingerprint, c360, finish, register
 
 _RUN_LOCK = threading.RLock()
-_CHURN: dict[str, dict] = {}
-_REV: dict[str, dict] = {}
+_PREP: dict[str, tuple] = {}
+_CV: dict[str, dict] = {}
+_PCA: dict[str, dict] = {}
+_TUNE: dict[str, dict] = {}
+_CHURN: dict[tuple, dict] = {}
+_REV: dict[tuple, dict] = {}
 N_RANDOM_TRIALS = 10  # the reference draws 30; at 10 the search of this query takes minutes of small Spark jobs already
 THRESHOLD_FLOOR = 0.40
 # fixed values: suspect columns of the leak check
@@ -34,12 +38,21 @@ SUSPECTS = ["AccountStatus_Closed", "AccountStatus_Suspended", "AccountStatus_Pe
             "CustomerType_Régulier", "CustomerType_Hyperactif", "CustomerType_Occasionnel", "CustomerType_Nouveau"]
 
 
-def _churn_run_impl(spark, sf) -> dict:
+def _prepared(spark, sf):
+    """The split customer table and its fitted transform, shared by both models."""
     key = _fingerprint(sf)
-    if key in _CHURN:
-        return _CHURN[key]
-    df = E.hash_split(c360(spark, sf), "CustomerID")
-    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    if key not in _PREP:
+        df = E.hash_split(c360(spark, sf), "CustomerID")
+        _PREP[key] = df, FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    return _PREP[key]
+
+
+def _cv_run_impl(spark, sf) -> dict:
+    """Folds of the three models on the raw features."""
+    key = _fingerprint(sf)
+    if key in _CV:
+        return _CV[key]
+    df, prep = _prepared(spark, sf)
     x = E.hash_folds(prep.transform(df, keep=["split"]), "CustomerID")
     x = E.hash_split(x, "CustomerID", salt="calib42", col="calib_split")          # E4 inside train
     feats = prep.features
@@ -50,91 +63,129 @@ def _churn_run_impl(spark, sf) -> dict:
     train = M.size_partitions(train, int(st["n"]), len(feats)).persist(StorageLevel.MEMORY_AND_DISK)
     test = vec.where(F.col("split") == "test")
 
-    # CV of the three reference models on raw features
+    folds, raw = _fold_scores(train, n_w, "features")
+    _CV[key] = dict(prep=prep, feats=feats, train=train, test=test, n_w=n_w, folds=folds,
+                    summary=M.cv_summary(folds), raw=raw, best_name=_best(raw), use_pca=False)
+    return _CV[key]
+
+
+def _fold_scores(rows, n_w, features):
+    """Fold metrics of the three models on one vector column and each model's mean PR-AUC."""
     # a fold's fit sees four fifths of the rows, and so of the weight in its penalty
-    cands = {n: M.classifier(n, p, n_w * 0.8) for n, p in M.CHURN_MODELS.items()}
-    cands = {n: e.setLabelCol("Churn") for n, e in cands.items()}
-    folds = M.cross_validate(train, cands).persist()
-    summary = M.cv_summary(folds)
-    srows = {r["model"]: r.asDict() for r in summary.collect()}                # 3 rows
-    best_name = max(srows, key=lambda n: (srows[n]["pr_auc_mean"], n))
-
-    params = dict(M.CHURN_MODELS[best_name])
-    # final fit on the fit rows, isotonic calibration + F2 threshold on the calibration rows
-    fit_rows = train.where(F.col("calib_split") == "train")
-    cal_rows = train.where(F.col("calib_split") == "test")
-    fit_w = float(fit_rows.agg(F.sum("weight")).first()[0])
-    model = M.classifier(best_name, params, fit_w).setLabelCol("Churn").fit(fit_rows)
-    cal_pred = M.positive_probability(model.transform(cal_rows))
-    iso = M.fit_isotonic(cal_pred)
-    cal_scored = iso.transform(cal_pred)
-    thr_row = X.f2_threshold(cal_scored, "Churn", "p_cal", THRESHOLD_FLOOR).first()
-    threshold = float(thr_row["threshold"])
-    test_pred = iso.transform(M.positive_probability(model.transform(test))) \
-        .withColumn("prediction_cal", (F.col("p_cal") >= threshold).cast("int"))
+    cands = {n: M.classifier(n, p, n_w * 0.8).setLabelCol("Churn").setFeaturesCol(features)
+             for n, p in M.CHURN_MODELS.items()}
+    folds = M.cross_validate(rows, cands).persist()
+    return folds, {r["model"]: r["pr_auc_mean"] for r in M.cv_summary(folds).collect()}              # 3 rows
 
-    train_pred = iso.transform(M.positive_probability(model.transform(train))) \
-        .withColumn("prediction_cal", (F.col("p_cal") >= threshold).cast("int"))
 
-    res = dict(prep=prep, feats=feats, train=train, test=test, train_pred=train_pred, folds=folds, summary=summary, best_name=best_name,
-               srows=srows, params=params, model=model, iso=iso, threshold=threshold,
-               cal_scored=cal_scored, test_pred=test_pred, n_w=n_w, cands=cands)
-    _CHURN[key] = res
-    return res
+def _best(scores):
+    return max(scores, key=lambda n: (scores[n], n))
 
 
-_TUNE: dict[str, dict] = {}
+def _pca_run_impl(spark, sf) -> dict:
+    """The three models on PCA components; the best pair of model and features (raw wins a tie)."""
+    key = _fingerprint(sf)
+    if key in _PCA:
+        return _PCA[key]
+    r = cv_run(spark, sf)
+    pca, explained = M.pca_fit(r["train"], "features", len(r["feats"]))
+    ptrain = pca.transform(r["train"]).persist(StorageLevel.MEMORY_AND_DISK)
+    _, reduced = _fold_scores(ptrain, r["n_w"], "pca")
+    use_pca = reduced[_best(reduced)] > r["raw"][r["best_name"]]
+    _PCA[key] = r | dict(pca=pca, explained=explained, ptrain=ptrain, reduced=reduced, use_pca=use_pca,
+                         best_name=_best(reduced) if use_pca else r["best_name"])
+    return _PCA[key]
+
+
+def _tuned(spark) -> bool:
+    """``custaris.model.tune`` (default true): false keeps the stated parameters and raw features in the final fits."""
+    return spark.conf.get("custaris.model.tune", "true").lower() == "true"
 
 
 def _tuning_run_impl(spark, sf) -> dict:
-    """M11-M14 for the model chosen by M10: raw vs PCA, grid and random search."""
+    """M12-M14 for the model and the features chosen by M10 and M11: grid and random search."""
     key = _fingerprint(sf)
     if key in _TUNE:
         return _TUNE[key]
-    r = churn_run(spark, sf)
-    train, best_name, n_w = r["train"], r["best_name"], r["n_w"]
-    pca, explained = M.pca_fit(train, "features", len(r["feats"]))
-    ptrain = pca.transform(train).drop("features").withColumnRenamed("pca", "features")
-    pfolds = M.cross_validate(ptrain, {best_name: r["cands"][best_name]})
-    pca_ap = float(pfolds.agg(F.avg("pr_auc")).first()[0])
-    raw_ap = float(r["srows"][best_name]["pr_auc_mean"])
-    with ThreadPoolExecutor(max_workers=2) as pool:  # the two tuners run side by side
-        g = pool.submit(M.search, train, best_name, M._grid_points(M.GRIDS[best_name]), n_w * 0.8)
-        q = pool.submit(M.search, train, best_name, M.random_points(M.SEARCH_SPACES[best_name], N_RANDOM_TRIALS), n_w * 0.8)
+    r = pca_run(spark, sf)
+    best_name, n_w = r["best_name"], r["n_w"]
+    rows, features = (r["ptrain"], "pca") if r["use_pca"] else (r["train"], "features")
+    _TUNE[key] = dict(best_name=best_name, **_both_tuners(
+        lambda points: M.search(rows, best_name, points, n_w * 0.8, features=features),
+        M.GRIDS[best_name], M.SEARCH_SPACES[best_name]))
+    return _TUNE[key]
+
+
+def _both_tuners(search, grid, space) -> dict:
+    """Both searches side by side; the random one wins only with a higher score."""
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        g = pool.submit(search, M._grid_points(grid))
+        q = pool.submit(search, M.random_points(space, N_RANDOM_TRIALS))
         (grid_res, grid_best), (rnd_res, rnd_best) = g.result(), q.result()
-    g_score, r_score = max(s for _, s in grid_res), max(s for _, s in rnd_res)
-    tuner = "random" if r_score > g_score else "grid"
-    out = dict(best_name=best_name, pca_k=pca.getK(), explained=explained, pca_ap=pca_ap, raw_ap=raw_ap,
-               use_pca=pca_ap > raw_ap, grid=grid_res, random=rnd_res, tuner=tuner,
-               params=rnd_best if tuner == "random" else grid_best)
-    _TUNE[key] = out
-    return out
+    tuner = "random" if max(s for _, s in rnd_res) > max(s for _, s in grid_res) else "grid"
+    return dict(grid=grid_res, random=rnd_res, tuner=tuner, params=rnd_best if tuner == "random" else grid_best)
+
+
+def _churn_run_impl(spark, sf) -> dict:
+    """Final fit with the tuned parameters on the fit rows; isotonic calibration
+    and F2 threshold on the calibration rows."""
+    tune = _tuned(spark)
+    key = _fingerprint(sf), tune
+    if key in _CHURN:
+        return _CHURN[key]
+    r = pca_run(spark, sf) if tune else cv_run(spark, sf)
+    best_name = r["best_name"]
+    params = tuning_run(spark, sf)["params"] if tune else M.CHURN_MODELS[best_name]
+    train, test, use_pca = r["train"], r["test"], r["use_pca"]
+    fit_rows = (r["ptrain"] if use_pca else train).where(F.col("calib_split") == "train")
+    cal_rows = train.where(F.col("calib_split") == "test")
+    fit_w = float(fit_rows.agg(F.sum("weight")).first()[0])
+    model = M.classifier(best_name, params, fit_w).setLabelCol("Churn") \
+        .setFeaturesCol("pca" if use_pca else "features").fit(fit_rows)
+    if use_pca:
+        model = M.PipelineModel(stages=[r["pca"], model])
+    cal_pred = M.positive_probability(model.transform(cal_rows))
+    iso = M.fit_isotonic(cal_pred)
+    cal_scored = iso.transform(cal_pred)
+    thr_row = X.f2_threshold(cal_scored, "Churn", "p_cal", THRESHOLD_FLOOR).first()
+    threshold = float(thr_row["threshold"])
+
+    def predicted(rows):
+        return iso.transform(M.positive_probability(model.transform(rows))) \
+            .withColumn("prediction_cal", (F.col("p_cal") >= threshold).cast("int"))
+
+    _CHURN[key] = r | dict(params=params, model=model, iso=iso, threshold=threshold, cal_scored=cal_scored,
+                           train_pred=predicted(train), test_pred=predicted(test))
+    return _CHURN[key]
 
 
 @register("m10_cv_fold_metrics")
 def m10f(spark, sf):
     """M1-M3 + M10: per model and fold PR-AUC, ROC-AUC, F1, recall (hash folds)."""
-    return finish(churn_run(spark, sf)["folds"])
+    return finish(cv_run(spark, sf)["folds"])
 
 
 @register("m10_cv_summary")
 def m10(spark, sf):
     """Mean and population std over the five folds per model."""
-    return finish(churn_run(spark, sf)["summary"])
+    return finish(cv_run(spark, sf)["summary"])
 
 
 @register("m11_raw_vs_pca")
 def m11(spark, sf):
-    r = tuning_run(spark, sf)
+    """Mean PR-AUC of every model on raw features and on PCA components; ``chosen`` marks the pair that goes on."""
+    r = pca_run(spark, sf)
+    kind = "pca" if r["use_pca"] else "raw"
     return finish(spark.createDataFrame(
-        [(r["best_name"], r["raw_ap"], r["pca_ap"], int(r["pca_k"]), "pca" if r["use_pca"] else "raw")],
+        [(n, float(r["raw"][n]), float(r["reduced"][n]), int(r["pca"].getK()), kind if n == r["best_name"] else None)
+         for n in M.CHURN_MODELS],
         "model string, pr_auc_raw double, pr_auc_pca double, pca_components int, chosen string"))
 
 
 @register("f27_explained_variance")
 def f27(spark, sf):
     """explained variance ratio and cumulative share of the first ≤ 40 components."""
-    ev = tuning_run(spark, sf)["explained"]
+    ev = pca_run(spark, sf)["explained"]
     rows, cum = [], 0.0
     for i, v in enumerate(ev[:40]):
         cum += v
@@ -177,7 +228,7 @@ def m09(spark, sf):
 
 @register("x07_model_f2_threshold")
 def x07m(spark, sf):
-    """X7 on the calibration rows (not the test rows) for the final model (reference parameters of the CV winner)."""
+    """X7 on the calibration rows (not the test rows) for the final, tuned model."""
     r = churn_run(spark, sf)
     return finish(X.f2_threshold(r["cal_scored"], "Churn", "p_cal", THRESHOLD_FLOOR))
 
@@ -291,11 +342,11 @@ REVENUE_DROP = ["MonetaryTotal", "AvgBasketValue", "RevenueIndex", "MonetaryAvg"
 
 
 def _revenue_run_impl(spark, sf) -> dict:
-    key = _fingerprint(sf)
+    tune = _tuned(spark)
+    key = _fingerprint(sf), tune
     if key in _REV:
         return _REV[key]
-    df = E.hash_split(c360(spark, sf), "CustomerID")
-    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
+    df, prep = _prepared(spark, sf)
     raw = df.select("CustomerID", F.col("MonetaryTotal").alias("target_raw"))
     x = E.hash_folds(prep.transform(df, keep=["split"]).join(raw, "CustomerID"), "CustomerID")
     x, cap = FE.cap_at_quantile(x, "target_raw", F.col("split") == "train", 0.99, out="target_capped")  # F28
@@ -307,32 +358,33 @@ def _revenue_run_impl(spark, sf) -> dict:
     train = M.size_partitions(train, int(n), len(feats)).persist(StorageLevel.MEMORY_AND_DISK)
     ystd = float(train.agg(F.stddev_pop("label")).first()[0])
     specs = {"Ridge": {"alpha": 1.0}, "Random Forest": {"n_estimators": 200, "max_depth": 8},
-             "Gradient Boosting": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05}}
-    jobs = {name: M.regressor(name, p, n, ystd) for name, p in specs.items()}
-    tasks = [(name, est, f) for name, est in jobs.items() for f in range(5)]
-
-    def one(t):
-        name, est, f = t
-        m = est.fit(train.where(F.col("fold") != f))
-        return m.transform(train.where(F.col("fold") == f)).select(
-            F.lit(name).alias("model"), F.lit(f).alias("fold"), "label", "prediction")
-
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        parts = list(pool.map(one, tasks))
-    preds = parts[0]
-    for pr in parts[1:]:
-        preds = preds.unionByName(pr)
-    cv = X.regression_metrics(preds, "label", "prediction", by=["model", "fold"]).persist()
+             "Gradient Boosting": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8}}
+    # a fold's fit sees four fifths of the rows in its penalty
+    cv = M.regression_folds(train, {m: M.regressor(m, p, n * 0.8, ystd) for m, p in specs.items()}).persist()
     summ = cv.groupBy("model").agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
                                    F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
     best = max(summ.collect(), key=lambda r: (r["r2_mean"], r["model"]))["model"]
-    model = M.regressor(best, specs[best], n, ystd).fit(train)
+    tuned = _both_tuners(lambda points: M.search_regression(train, best, points, n * 0.8, ystd),
+                         M.REVENUE_GRIDS[best], M.REVENUE_SEARCH_SPACES[best]) if tune else dict(params=specs[best])
+    model = M.regressor(best, tuned["params"], n, ystd).fit(train)
     tp = model.transform(test).withColumn("pred_raw", F.expm1(F.greatest(F.col("prediction"), F.lit(0.0))))
-    res = dict(prep=prep, cap=cap, cv=cv, summary=summ, best=best, model=model, test_pred=tp, feats=feats)
+    res = dict(prep=prep, cap=cap, cv=cv, summary=summ, best=best, model=model, test_pred=tp, feats=feats, tuned=tuned)
     _REV[key] = res
     return res
 
 
+@register("m12_m14_revenue_tuning")
+def m12r(spark, sf):
+    """M12-M14 for revenue: mean R2 of every grid and random trial of the chosen model; ``chosen`` marks the final one."""
+    t = revenue_run(spark, sf)["tuned"]
+    if "grid" not in t:
+        raise ValueError("custaris.model.tune is false: no trials were run")
+    rows = _trials(t["grid"], "grid") + _trials(t["random"], "random")
+    picked = str(sorted(t["params"].items()))
+    return finish(spark.createDataFrame([(*r, r[0] == t["tuner"] and r[2] == picked) for r in rows],
+                                        "tuner string, trial int, params string, r2 double, chosen boolean"))
+
+
 @register("m04_m06_revenue_cv")
 def m04(spark, sf):
     """M4-M6 + M10 (regression): 5-fold R² and MAE of ridge, forest and boosting (log target)."""
@@ -343,7 +395,7 @@ def m04(spark, sf):
 def f28(spark, sf):
     """train p99 cap and the number of rows above it per split."""
     r = revenue_run(spark, sf)
-    df = E.hash_split(c360(spark, sf), "CustomerID")
+    df = _prepared(spark, sf)[0]
     return finish(df.groupBy("split").agg(F.count_if(F.col("MonetaryTotal") > r["cap"]).cast("long").alias("n_above_cap"),
                                           F.count("*").cast("long").alias("n"))
                   .withColumn("cap", F.lit(float(r["cap"]))))
@@ -373,6 +425,18 @@ def churn_run(spark, sf):
         return _churn_run_impl(spark, sf)
 
 
+def cv_run(spark, sf):
+    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
+    with _RUN_LOCK:
+        return _cv_run_impl(spark, sf)
+
+
+def pca_run(spark, sf):
+    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
+    with _RUN_LOCK:
+        return _pca_run_impl(spark, sf)
+
+
 def tuning_run(spark, sf):
     """Locked, memoised wrapper (one run per input even under concurrent queries)."""
     with _RUN_LOCK:

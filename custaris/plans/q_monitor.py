@@ -78,6 +78,37 @@ def d05(spark, sf):
     return finish(D.dataset_drift(D.ks_statistics(halves(spark, sf), "side", MONITORED)))
 
 
+def predicted_halves(spark, sf):
+    """Both halves with the 0/1 prediction of the baseline scorecard at 0.5."""
+    return halves(spark, sf).withColumn("pred", (baseline_score_col() >= 0.5).cast("int"))
+
+
+_PRED_CTE = f"_ph AS (SELECT {DUCK_HALF} AS side, Churn, CAST({BASELINE_SCORE_SQL} >= 0.5 AS INTEGER) AS pred FROM c360)"
+
+
+@register("d05_target_by_side", oracle("""
+SELECT side, CAST(count(*) AS BIGINT) AS n, avg(CAST(Churn AS DOUBLE)) AS label_share,
+       avg(CAST(pred AS DOUBLE)) AS prediction_share FROM _ph GROUP BY side""",
+    "label_share prediction_share", extra_ctes=_PRED_CTE))
+def d05t(spark, sf):
+    """Share of churners and of predicted churners on each side."""
+    return finish(D.target_by_side(predicted_halves(spark, sf), "side", "Churn", "pred"))
+
+
+@register("d05_classification_by_side", oracle("""
+WITH c AS (SELECT side, count_if(Churn = 1 AND pred = 1) AS tp, count_if(Churn <> 1 AND pred = 1) AS fp,
+                  count_if(Churn = 1 AND pred <> 1) AS fn, count_if(Churn <> 1 AND pred <> 1) AS tn FROM _ph GROUP BY side)
+SELECT side, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+       CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy,
+       coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision,
+       coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall,
+       coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1 FROM c""",
+    "accuracy precision recall f1", extra_ctes=_PRED_CTE))
+def d05c(spark, sf):
+    """Confusion counts and scores on each side."""
+    return finish(D.classification_by_side(predicted_halves(spark, sf), "side", "Churn", "pred"))
+
+
 @register("d07_ks_train_vs_test", oracle(_duck_ks(DUCK_SPLIT, "train", "test"), "ks_stat ref_mean cur_mean"))
 def d07(spark, sf):
     df = E.hash_split(c360(spark, sf), "CustomerID")

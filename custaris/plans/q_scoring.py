@@ -12,17 +12,9 @@ from .catalog import c360, finish, register
 from .q_models import churn_run, revenue_run
 
 
-def score_batch(spark, sf, rows):
-    """Raw customer rows → probability (4 digits), prediction, label, risk band, threshold (3 digits)."""
-    r = churn_run(spark, sf)
-    x = r["prep"].transform(rows)
-    p = r["iso"].transform(M.positive_probability(r["model"].transform(M.assemble(x, r["feats"]))))
-    thr = r["threshold"]
-    return p.select("CustomerID", F.bround("p_cal", 4).alias("probability"),
-                    (F.col("p_cal") >= thr).cast("int").alias("prediction"),
-                    SF.churn_label((F.col("p_cal") >= thr).cast("int")).alias("label"),
-                    SF.risk_band(F.col("p_cal")).alias("risk_level"),
-                    F.lit(round(thr, 3)).alias("threshold_used"))
+def score_batch(spark, sf, rows, keep=()):
+    """R3 with the churn model of this input."""
+    return ST.score_rows(rows, churn_run(spark, sf), keep)
 
 
 @register("r03_batch_predictions")
@@ -42,8 +34,7 @@ def r02(spark, sf):
     """S8 + R2: request bodies (built from the customer table) parsed with
     defaults, then scored through the same R1 transform and model."""
     bodies = RQ.request_json(c360(spark, sf))
-    parsed = RQ.parse_requests(bodies)
-    return finish(score_batch(spark, sf, parsed.drop("_corrupt")))
+    return finish(ST.score_requests(bodies, churn_run(spark, sf)))
 
 
 @register("r05_revenue_scoring")
@@ -79,21 +70,31 @@ def r04(spark, sf):
     from ..operators import segment as SG
     prep, cols, _, models, _, _, _, k, _ = QS.run(spark, sf)
     names = QS._names(spark, sf)
-    feats = prep.transform(c360(spark, sf)).fillna(0.0, subset=cols)
-    clus = models[k].transform(SG.assemble(feats, cols)).select("CustomerID", "Cluster")
-    named = SG.assign_names(clus, names).withColumn(
+    rows = c360(spark, sf)
+    # the segment model first, the raw row carried along; the churn model then reads the same rows
+    feats = prep.transform(rows.withColumn("raw", F.struct(*rows.columns)), keep=["raw"]).fillna(0.0, subset=cols)
+    clus = models[k].transform(SG.assemble(feats, cols)).select("raw.*", "Cluster")
+    churn = score_batch(spark, sf, clus, keep=["Cluster"])
+    named = SG.assign_names(churn, names).withColumn(
         "ClusterName", F.coalesce("ClusterName", F.concat(F.lit("Segment "), F.col("Cluster").cast("string"))))
-    churn = score_batch(spark, sf, c360(spark, sf)).withColumn("probability_pct", F.bround(F.col("probability") * 100, 1))
-    return finish(churn.join(named.select("CustomerID", "Cluster", "ClusterName"), "CustomerID"))
+    return finish(named.select(*[c for c in churn.columns if c != "Cluster"],
+                               F.bround(F.col("probability") * 100, 1).alias("probability_pct"), "Cluster", "ClusterName"))
 
 
 @register("r06_scoring_trace")
 def r06(spark, sf):
     """Received fields, key scaled features and the churn / revenue results per customer."""
-    r = churn_run(spark, sf)
-    raw = c360(spark, sf).select("CustomerID", "Frequency", "MonetaryTotal", "CustomerTenureDays", "ReturnRatio")
-    x = r["prep"].transform(c360(spark, sf)).select(
-        "CustomerID", *[F.col(c).alias(f"{c}_scaled") for c in ["Frequency", "MonetaryTotal", "EngagementScore"]])
-    churn = score_batch(spark, sf, c360(spark, sf)).select("CustomerID", "probability", "label")
-    rev = r05(spark, sf).select("CustomerID", "predicted_revenue", "tier")
-    return finish(raw.join(x, "CustomerID").join(churn, "CustomerID").join(rev, "CustomerID"))
+    r, rv = churn_run(spark, sf), revenue_run(spark, sf)
+    received = ["Frequency", "MonetaryTotal", "CustomerTenureDays", "ReturnRatio"]
+    shown = ["Frequency", "MonetaryTotal", "EngagementScore"]
+    rows = c360(spark, sf)
+    # one transform for both models (they share the fitted transform)
+    x = r["prep"].transform(rows.withColumn("received", F.struct(*received)), keep=["received"])
+    p = r["iso"].transform(M.positive_probability(r["model"].transform(M.assemble(x, r["feats"]))))
+    churn = p.select(*x.columns, F.bround("p_cal", 4).alias("probability"),
+                     SF.churn_label((F.col("p_cal") >= r["threshold"]).cast("int")).alias("label"))
+    both = rv["model"].transform(M.assemble(churn, rv["feats"]))
+    rev = F.expm1(F.greatest(F.col("prediction"), F.lit(0.0)))
+    return finish(both.select("CustomerID", "received.*", *[F.col(c).alias(f"{c}_scaled") for c in shown],
+                              "probability", "label", F.bround(rev, 2).alias("predicted_revenue"),
+                              SF.revenue_tier(rev, F.lit(float(rv["cap"]))).alias("tier")))

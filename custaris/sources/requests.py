@@ -3,7 +3,8 @@
 The reference maps a request body field by field, casting and filling
 defaults.  Here the mapping is one ``from_json`` with a fixed schema and one
 select of ``coalesce(try_cast(field), default)`` — any number of records,
-batch or stream, and a bad record yields nulls → defaults, not an error.
+batch or stream.  A missing or badly typed field takes its default; a body
+that can't be read at all is flagged and scored as null (see streaming/scoring).
 """
 
 from __future__ import annotations
