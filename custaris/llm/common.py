@@ -71,6 +71,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+SPREAD = 1024              # tasks' worth of parts into which the edges of one node are dealt
+
+
+def with_least(edges: DataFrame, key: str, other: str) -> DataFrame:
+    """``edges`` with ``m``, the least ``other`` of each ``key``.
+
+    Edges are dealt by (key, part of the other node): a hub's edges meet in up to ``SPREAD`` groups, never in one, and
+    only one row a part is joined with the hub's least neighbour.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64(other), F.lit(SPREAD)))
+    parts = dealt.groupBy(key, "part").agg(F.min(other).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"))
+    return dealt.join(parts.select(key, "part").join(least, key), [key, "part"]).select(*edges.columns, "m")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node reachable.
 
@@ -83,11 +98,9 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     while True:
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = e.select("lo", "hi").union(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select("lo", F.least("lo", "m").alias("m"))
-        big = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), "hi").where("lo < hi").distinct()
+        big = with_least(both, "lo", "hi").where("hi > lo").select(F.least("lo", "m").alias("lo"), "hi").where("lo < hi").distinct()
         # small star: the smaller neighbours of a node and the node itself go to the smallest of them
-        low = big.groupBy("hi").agg(F.min("lo").alias("m"))
-        j = big.join(low, "hi")
+        j = with_least(big, "hi", "lo")
         e2 = (j.select(F.col("m").alias("lo"), "hi")
               .union(j.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).where("lo < hi").distinct())
         e = materialize(e2, "cc")
