@@ -67,3 +67,8 @@ def test_nulls_repeats_and_empty(spark, docs_of):
     assert sorted(r.spans for r in out) == ["", "", "email:0:5", "email:0:5"]
     assert pii.scan(docs_of([]), pii.fit(docs_of([])), keep=["doc_id"]).count() == 0
     assert sorted(str(r.text) for r in pii.redact(docs_of(rows)).collect()) == ["", "<EMAIL>", "<EMAIL>", "None"]
+
+
+def test_long_runs_of_digits_stay_linear():
+    t = "7" * 400_000 + " 1.2.3.4." + "5" * 400_000
+    assert ("ip", 400_001, 400_008) in pii.base_spans(t)
