@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, materialize, slices
+from .common import SPREAD, components, documents, materialize, slices
 from .shingles import SKETCH, shingle_set, signature, sketch
 
 TREES = 4
@@ -128,8 +128,12 @@ def candidates(reps: DataFrame) -> DataFrame:
     nodes = reps.select("rep", F.explode(roots).alias("node")).withColumn("above", F.lit(None).cast("long"))
     found = []
     for depth in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("c"), F.max("above").alias("above")).where("c > 1")
-        live = materialize(nodes.select("rep", "node").join(sizes, "node"), f"nodes{depth}")
+        # a node's members are counted and told its size by (node, part), so that a large node meets in many tasks
+        dealt = nodes.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SPREAD)))
+        parts = dealt.groupBy("node", "part").agg(F.count("*").alias("c"), F.max("above").alias("above"))
+        sizes = parts.groupBy("node").agg(F.sum("c").alias("c"), F.max("above").alias("above")).where("c > 1")
+        told = parts.select("node", "part").join(sizes, "node")
+        live = materialize(dealt.select("rep", "node", "part").join(told, ["node", "part"]).drop("part"), f"nodes{depth}")
         last = depth == DEPTH
         leaf = (F.col("c") <= SMALL_NODE) | F.coalesce(F.col("c") > F.col("above") * DENSE, F.lit(False)) | F.lit(last)
         ready = live.where(leaf)
