@@ -17,14 +17,17 @@ from custaris.llm import mixing, neardup, pieces, pii, quality
 from custaris.llm.common import documents, materialize
 
 
+NEAR_PERCENT = 80          # least similarity of near copies in the corpus; op1's own contract is 85
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the adaptive thresholds keep."""
     return quality.filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each component of near copies."""
-    return neardup.deduplicate(docs)
+    """One document, of the smallest id, of each component of near copies (word shingles, Jaccard 0.8 or more)."""
+    return neardup.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ Documents with equal shingle sets form a class with one representative.  Represe
 trees: a node picks two minwise coordinates, and a representative goes to one child for each, named by its minimum
 there.  Nodes of one die; small nodes are compared exhaustively on sketches; larger ones branch again.  A node that
 hardly shrinks (its members are alike) or is at the last depth is compared in blocks of pairs, so no node is dropped or
-capped.  A pair of similarity s survives a level of a tree with probability 1 - (1 - s*q)^2, q the next level's: at
-0.85 each tree finds it with at least 0.969, the ``TREES`` together miss fewer than one in a million.
+capped.  A pair of similarity s survives a level of a tree with probability 1 - (1 - s*q)^2, q the next level's, so each
+tree finds it with at least (2s - 1) / s^2: 0.969 at 0.85, 0.938 at 0.8.  :func:`trees` takes as many as together miss
+fewer than one pair in a million (4 at 0.85, 5 at 0.8).
 
-Sketch agreement of at least ``MAYBE`` makes a candidate edge (0.85 less four standard deviations).  Components of the
-candidate graph are then compared on their full sets, in blocks of bounded size by matrix products, and only pairs with
-100 * intersection >= 85 * union link.  Tasks hand on spanning forests, not all pairs.
+Pairs link from ``percent`` on (op1: 85).  Sketch agreement of at least :func:`maybe` makes a candidate edge (``percent``
+less 4.75 standard deviations of the agreement).  Components of the candidate graph are then compared on their full sets,
+in blocks of bounded size by matrix products, and only pairs with 100 * intersection >= percent * union link.  Tasks hand
+on spanning forests, not all pairs.
 
 Defined results: documents without words are linked with nothing (component: their own id); rows with a null id take no
 part in links (component null, kept); rows that share an id are one document; equal texts are one class; an empty table
@@ -18,6 +20,7 @@ gives no rows; other columns pass through :func:`deduplicate`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +31,30 @@ from pyspark.sql import functions as F
 from .common import SPREAD, components, documents, materialize, slices
 from .shingles import SKETCH, shingle_set, signature, sketch
 
-TREES = 4
+PERCENT = 85               # op1's least similarity of a link
+MISSED = 1e-6              # share of pairs at the least similarity that the trees may miss
+DEVIATIONS = 4.75
 DEPTH = 8
 SMALL_NODE = 2000          # nodes up to here are compared exhaustively in one task
 DENSE = 0.7                # a child with more than this part of its parent is compared, not split
-MAYBE = 0.70               # sketch agreement of a candidate
 BLOCK = 512                # representatives of a candidate component compared at once ..
 BLOCK_SHINGLES = 2_000_000  # .. and their shingles
 
 
+def trees(percent: int) -> int:
+    """Trees that together find a pair of ``percent`` similarity but for a share of ``MISSED``."""
+    if not 50 < percent < 100:
+        raise ValueError("percent must lie between 50 and 100")
+    s = percent / 100
+    return math.ceil(math.log(MISSED) / math.log(1 - (2 * s - 1) / s ** 2))
+
+
+def maybe(percent: int) -> int:
+    """Equal coordinates of two sketches that make a candidate."""
+    s = percent / 100
+    return math.ceil(SKETCH * s - DEVIATIONS * math.sqrt(SKETCH * s * (1 - s)))
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, s1, s2, sketch, bits) of every row: set size, set signature, minima, their low bytes."""
     def run(batches):
@@ -92,9 +110,8 @@ def forest(n: int, alike) -> list[tuple[int, int]]:
     return out
 
 
-def _compare_sketches(batches):
-    """Candidate edges of nodes: rows (key, rep, bits) sorted by key."""
-    need = int(np.ceil(MAYBE * SKETCH))
+def _compare_sketches(batches, need: int):
+    """Candidate edges of nodes: rows (key, rep, bits) sorted by key; ``need`` equal coordinates make one."""
     for t in groups(batches, "key"):
         k = t.column("key").to_numpy()
         rep = t.column("rep").to_numpy()
@@ -121,10 +138,11 @@ def _compare_sketches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate edges (a, b) between representatives (rep, sketch, bits) by the chosen-path trees."""
     at = lambda c: F.element_at("sketch", c)
-    roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), at(F.lit(2 * t + c + 1))) for t in range(TREES) for c in (0, 1)])
+    need = maybe(percent)
+    roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), at(F.lit(2 * t + c + 1))) for t in range(trees(percent)) for c in (0, 1)])
     nodes = reps.select("rep", F.explode(roots).alias("node")).withColumn("above", F.lit(None).cast("long"))
     found = []
     for depth in range(1, DEPTH + 1):
@@ -144,7 +162,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             lambda x: F.xxhash64(F.col("node"), F.least(x, own), F.greatest(x, own))))
         ready = ready.select("rep", F.explode(keys).alias("key")).join(reps.select("rep", "bits"), "rep")
         ready = ready.repartition("key").sortWithinPartitions("key").select("key", "rep", "bits")
-        found.append(materialize(ready.mapInArrow(_compare_sketches, "a long, b long").distinct(), f"pairs{depth}"))
+        found.append(materialize(ready.mapInArrow(lambda batches: _compare_sketches(batches, need), "a long, b long").distinct(), f"pairs{depth}"))
         big = live.where(~leaf)
         if last or big.isEmpty():
             break
@@ -157,8 +175,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     return out
 
 
-def _compare_sets(batches):
-    """Exact links: rows (key, rep, shingles) sorted by key; a spanning forest of each block."""
+def _compare_sets(batches, percent: int):
+    """Exact links from ``percent`` on: rows (key, rep, shingles) sorted by key; a spanning forest of each block."""
     for t in groups(batches, "key"):
         k = t.column("key").to_numpy()
         start = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
@@ -168,17 +186,17 @@ def _compare_sets(batches):
             ids, first = np.unique(rep[s:e], return_index=True)      # an id may have come twice
             sets = [np.frombuffer(raw[int(s + i)].as_py(), np.uint64) for i in first]
             if len(ids) > 1:
-                out += [(ids[i], ids[j]) for i, j in _links(sets)]
+                out += [(ids[i], ids[j]) for i, j in _links(sets, percent)]
         a = np.array(out, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def _links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     n = np.array([len(s) for s in sets])
     if len(sets) <= 6:
         def alike(i, others):
             inter = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others])
-            return 100 * inter >= 85 * (n[i] + n[others] - inter)
+            return 100 * inter >= percent * (n[i] + n[others] - inter)
         return forest(len(sets), alike)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), n)
@@ -194,11 +212,12 @@ def _links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         x[row[a:b], column[a:b] - c] = 1
         inter += x @ x.T
     inter = inter.astype(np.int64)
-    linked = 100 * inter >= 85 * (n[:, None] + n[None] - inter)
+    linked = 100 * inter >= percent * (n[:, None] + n[None] - inter)
     return forest(len(sets), lambda i, others: linked[i, others])
 
 
-def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          percent: int = PERCENT) -> DataFrame:
     """Exact links (a, b) between representatives in the components of the candidate edges."""
     member = components(edges).join(reps.select(F.col("rep").alias("node"), "n", "s1", "s2"), "node")
     size = member.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
@@ -222,17 +241,17 @@ def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([sel.column("rep"), sel.column("keys"), pa.array(raw, pa.binary())], names=["rep", "keys", "shingles"])
     sets = d.mapInArrow(run, "rep long, keys array<long>, shingles binary")
     blocks_of = sets.select(F.explode("keys").alias("key"), "rep", "shingles").repartition("key").sortWithinPartitions("key")
-    return blocks_of.mapInArrow(_compare_sets, "a long, b long")
+    return blocks_of.mapInArrow(lambda batches: _compare_sets(batches, percent), "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; pairs link from ``percent`` similarity on."""
     d = materialize(sketched(docs, id_col, text_col), "sketch")
     known = d.where("doc_id is not null and n > 0")
     reps = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"),
                                          F.min_by(F.struct("sketch", "bits"), "doc_id").alias("x"))
     reps = materialize(reps.select("rep", "s1", "s2", "n", "copies", "x.sketch", "x.bits"), "reps")
-    exact = materialize(links(docs, reps, candidates(reps), id_col, text_col), "links")
+    exact = materialize(links(docs, reps, candidates(reps, percent), id_col, text_col, percent), "links")
     # an id on several texts joins their classes
     twice = known.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("z"), F.max("s2").alias("w"))
     twice = twice.where("x <> y or z <> w").select("doc_id")
@@ -246,9 +265,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` less the near copies: the document with the smallest id of each component stays, one row an id."""
-    keep = classes(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__nd_id")).distinct()
+    keep = classes(docs, id_col, text_col, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__nd_id")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__nd_id"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
