@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by linear models on word features; each later model also sees the
+Categories are predicted one after the other by linear models on word and stem features; each later model also sees the
 probabilities of the categories before it.  Those inputs come from out-of-fold predictions while fitting, so a later
 model learns from what earlier models really predict on unseen documents.
 
@@ -9,6 +9,9 @@ label).  Labels exist for ``toxic`` only; the earlier categories are derived fro
 the words whose document frequency under the label exceeds what chance explains (signed log-likelihood ratio, corrected for the number of words), so no
 word list is written here.
 
+A stem is the first ``STEM`` characters of a longer word.  Its features tell whether at least 1, 2, .. ``STEM_FORMS``
+different words of the document have it, so suffix forms that are each too rare for the test count together.
+
 The fit uses at most ``FIT_ROWS`` labelled documents of smallest hash (a documented bound), near copies counted once;
 the out-of-fold predictions set the decision threshold.  Scoring reads whole texts.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,9 @@ from .common import documents, materialize, slices, thinned, words
 CHAIN = ("marked", "severe", "toxic")
 FIT_ROWS = 8_000
 FOLDS = 5
-MAX_FEATURES = 512         # strongest words by the ratio; the size of the models
+MAX_FEATURES = 512         # strongest words and stems by the ratio; the size of the models
+STEM = 4                   # characters
+STEM_FORMS = 3
 WORD_TRIM = b".,;:!?\"'()[]{}#*$%&|<>-_"
 
 
@@ -41,6 +47,20 @@ def bag(text: str | None) -> Counter:
     return Counter(w.strip(WORD_TRIM) for w in (text or "").lower().encode("utf-8", "surrogatepass").split())
 
 
+@lru_cache(200_000)
+def stem(word: bytes) -> bytes | None:
+    """First STEM characters of a longer word."""
+    w = word.decode("utf-8", "surrogatepass")
+    return w[:STEM].encode("utf-8", "surrogatepass") if len(w) > STEM else None
+
+
+def features(b: Counter) -> set[bytes]:
+    """Words of a bag, and b"stem k" for each stem that at least k of them have (no word holds a space)."""
+    forms = Counter(map(stem, b))
+    forms.pop(None, None)
+    return {w for w in b if w} | {b"%s %d" % (t, k) for t, n in forms.items() for k in range(1, min(n, STEM_FORMS) + 1)}
+
+
 def log_ratio(a, b, na, nb):
     """Signed G statistic (Column) of document frequencies ``a`` of ``na`` against ``b`` of ``nb``."""
     def term(k, n, p):
@@ -72,10 +92,10 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) ->
 
 
 def matrix(bags: list[Counter], words: dict[bytes, int], markers: set[bytes]) -> np.ndarray:
-    """Presence of feature words, then log counts of markers and of markers per hundred words."""
+    """Presence of the features ``words`` (words and stems), then log counts of markers and of markers per hundred words."""
     x = np.zeros((len(bags), len(words) + 2))
     for i, b in enumerate(bags):
-        for w in b.keys() & words.keys():
+        for w in features(b) & words.keys():
             x[i, words[w]] = 1.0
         n = sum(b[w] for w in markers)
         x[i, -2], x[i, -1] = np.log1p(n), np.log1p(100.0 * n / max(1, sum(b.values())))
@@ -83,7 +103,7 @@ def matrix(bags: list[Counter], words: dict[bytes, int], markers: set[bytes]) ->
 
 
 class Chain:
-    """Fitted chain: feature words, markers, one weight vector a category, threshold."""
+    """Fitted chain: feature words and stems, markers, one weight vector a category, threshold."""
 
     def __init__(self, words: list[bytes], markers: set[bytes], x: np.ndarray, n_words: np.ndarray, toxic: np.ndarray):
         self.words, self.markers = {w: k for k, w in enumerate(words)}, set(markers)
@@ -160,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def split(batches):
         for b in slices(batches):
-            rows = [(w, t) for x, t in zip(b.column("text").to_pylist(), b.column("y").to_pylist()) for w in bag(x) if w]
+            rows = [(w, t) for x, t in zip(b.column("text").to_pylist(), b.column("y").to_pylist()) for w in features(bag(x))]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([t for _, t in rows], pa.int32())], names=["w", "y"])
     freq = d.mapInArrow(split, "w binary, y int").groupBy("w").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("c"))
     freq = materialize(freq.where("a + c >= 3"), "toxicwords")
@@ -169,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = freq.withColumn("g", g).where(F.abs("g") >= float(least)).orderBy(F.desc(F.abs("g")), "w").limit(MAX_FEATURES).collect()
     feats = [bytes(r.w) for r in best]
     # a marker is nearly absent from clean documents, not only less frequent there
-    markers = {bytes(r.w) for r in best if r.g > 0 and r.a / n_t >= 20 * (r.c + 0.5) / n_c}
+    markers = {bytes(r.w) for r in best if b" " not in bytes(r.w) and r.g > 0 and r.a / n_t >= 20 * (r.c + 0.5) / n_c}
     index = {w: k for k, w in enumerate(feats)}
 
     def encode(batches):
