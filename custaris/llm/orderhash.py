@@ -1,10 +1,13 @@
 """Document fingerprints by Order MinHash (DataFrame only).
 
-A text's tokens are runs of up to 16 characters of ``[^\\x20\\x09-\\x0D]``; its k-mers are ``K`` tokens in a row (fewer
-tokens: one k-mer of all).  Each k-mer is numbered by its occurrence, so repeats count, and (k-mer, occurrence) is hashed
-to a place on a ring.  A component of the fingerprint starts at a fixed point of the ring, takes the ``ELL`` next
-numbered k-mers, puts them back into text order and hashes the tuple.  Two texts agree in a component if they share the
-least numbered k-mers there and have them in the same order, so likeness falls with edits and with reordering.
+A text's tokens are its words, runs of ``[^\\x20\\x09-\\x0D]``.  A word of up to ``K * 16`` characters is cut every 16
+characters, so an edit inside shifts no more than ``K`` tokens.  A longer one (a text without spaces, a long URL, base64)
+gives the ``WINDOW`` characters from each of its characters on, overlapping, so that tokens line up again right after an
+edit.  The k-mers are ``K`` tokens in a row (fewer tokens: one k-mer of all).  Each k-mer is numbered by its occurrence,
+so repeats count, and (k-mer, occurrence) is hashed to a place on a ring.  A component of the fingerprint starts at a
+fixed point of the ring, takes the ``ELL`` next numbered k-mers, puts them back into text order and hashes the tuple.
+Two texts agree in a component if they share the least numbered k-mers there and have them in the same order, so
+likeness falls with edits and with reordering.
 
 Everything is a built-in expression over the row's own arrays: no text is exploded, and nothing but the next document's
 prefix and fingerprint crosses the shuffle.
@@ -26,7 +29,11 @@ K = 3
 ELL = 2
 COMPONENTS = 64
 SPLITS = 1024              # ranges of ids for the order of documents
-_TOKEN = r"([^\x20\x09-\x0D]{1,16})"
+WINDOW = 8                 # characters of a token of a long word
+_CHAR = r"[^\x20\x09-\x0D]"
+_TOKEN = rf"({_CHAR}{{1,16}})"
+_LONG = rf"{_CHAR}{{{K * 16 + 1}}}"
+_WINDOW = rf"(?=({_CHAR}{{1,{WINDOW}}})){_CHAR}"
 _POS = 24                  # low bits for the place in the text; longer texts wrap, which only blurs their order
 _RING = 63 - _POS          # high bits for the place on the ring
 _MASK = (1 << _POS) - 1
@@ -36,6 +43,13 @@ def _longs(values) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
+def tokens(text: Column) -> Column:
+    """Array of the tokens of ``text``, in text order."""
+    found = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    by_word = F.flatten(F.transform(found(text, f"({_CHAR}+)"), lambda w: F.when(w.rlike(_LONG), found(w, _WINDOW)).otherwise(found(w, _TOKEN))))
+    return F.when(text.rlike(_LONG), by_word).otherwise(found(text, _TOKEN))
+
+
 def fingerprint(text: Column) -> Column:
     """Array of COMPONENTS 32-bit hashes of ``text``; empty without words."""
     points = _longs([((j << _RING) // COMPONENTS) << _POS for j in range(COMPONENTS)])
@@ -76,7 +90,7 @@ def fingerprint(text: Column) -> Column:
         return let(F.sort_array(F.concat(r, points)), lambda both: F.transform(
             points, lambda p, j: component(r, F.array_position(both, p).cast("int") - 1 - j)))
 
-    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), lambda t: F.when(F.size(t) == 0, F.array().cast("array<int>")).otherwise(
+    return let(tokens(text), lambda t: F.when(F.size(t) == 0, F.array().cast("array<int>")).otherwise(
         let(kmers(t), lambda h: let(sorted_kmers(h), lambda s: let(occurrences(s), lambda o: let(ring(s, o), components))))))
 
 
