@@ -150,6 +150,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """Bounded labelled sample (text, y, h), one document of each group that shares a least shingle.
 
     Copies would vote many times for their chance words; three independent least shingles find nearly all of them.
+    The whole word sequence is the shingle of a text under five words.
     """
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     y = thinned(y, F.xxhash64(id_col), labels.count(), rows).orderBy(F.xxhash64(id_col), id_col).limit(rows)
@@ -158,9 +159,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
     def run(batches):
         for b in slices(batches):
-            least = [[0, 0, 0] if len(w) < 5 else [
-                min(zlib.crc32(b" ".join(w[i:i + 5]), seed) for i in range(len(w) - 4)) for seed in (1, 2, 3)]
-                for w in map(words, b.column("text").to_pylist())]
+            least = [[min(zlib.crc32(b" ".join(w[i:i + 5]), seed) for i in range(max(1, len(w) - 4))) for seed in (1, 2, 3)]
+                     for w in map(words, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[k] for x in least], pa.int64()) for k in range(3)]],
                                              names=["text", "y", "h", "m0", "m1", "m2"])
     d = d.mapInArrow(run, "text string, y int, h long, m0 long, m1 long, m2 long")
