@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mixing, neardup, orderhash, pieces, pii, quality, repeats, toxicity
+from . import langid, lm, merkle, mixing, neardup, orderhash, pieces, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_orderhash": orderhash.op8_orderhash,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLES = {
     "op1_neardup": neardup.ORACLE,
     "op5_quality": quality.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
