@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, merkle, mixing, neardup, orderhash, pieces, pii, quality, repeats, toxicity
+from . import langid, lm, merkle, mixing, neardup, orderhash, pieces, pii, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
     "op12_merkle": merkle.op12_merkle,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLES = {
