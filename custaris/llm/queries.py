@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, merkle, mixing, neardup, orderhash, pieces, pii, quality, repeats, secrets, toxicity
+from . import langid, lm, merkle, mixing, neardup, orderhash, pieces, pii, quality, repeats, secrets, tokalign, toxicity
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_orderhash": orderhash.op8_orderhash,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
+    "op11_alignment": tokalign.op11_alignment,
     "op12_merkle": merkle.op12_merkle,
     "op13_secrets": secrets.op13_secrets,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_neardup": neardup.ORACLE,
     "op5_quality": quality.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_alignment": tokalign.op11_alignment,
     "op12_merkle": merkle.ORACLE,
 }
