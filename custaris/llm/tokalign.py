@@ -38,9 +38,8 @@ from .common import documents, materialize, slices
 SPACE = "▁"
 SEGMENT = 1 << 18          # characters from which a text is cut at the next safe space
 COMMON_PAIRS = 1 << 18     # id pairs broadcast at most
-REMEMBERED = 150_000       # windows remembered in a worker; beyond it the memory starts anew (speed only)
+REMEMBERED = 100_000       # windows remembered in a worker; beyond it the memory starts anew (speed only)
 LONG_WINDOW = 32           # tokens beyond which a window isn't remembered
-PACKED = 4                 # tokens of either side up to which a window is one pair of 64-bit keys
 CHECKED = 20_000           # characters of the text that each batch checks against the tokenizers library, at most
 RESULTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -78,7 +77,8 @@ class Pair:
                                 b"" if self.b.is_control(i) else piece.replace(SPACE, " ").encode())
         self.a_len, self.b_len = (np.array([len(t) for t in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([t[:1] == b" " for t in v]) for v in (self.a_bytes, self.b_bytes))
-        self.packs = max(len(self.a_bytes), self.n_b) < (1 << 16) - 1
+        n = max(len(self.a_bytes), self.n_b)
+        self.digits = np.array([list(str(i).encode().rjust(len(str(n)), b"\0")) for i in range(n)], np.uint8)
         self.known: dict = {}
 
     def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
@@ -101,41 +101,11 @@ class Pair:
         if got != a:
             raise ValueError(f"tokens of {text[:80]!r}... differ from the tokenizers library")
 
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
-        """(groups as text, their number, links as ``a * n_b + b``) of one window."""
-        out, links = [], []
-        i = j = first_a = first_b = 0
-        to_a, to_b = int(self.a_len[a[0]]), int(self.b_len[b[0]])
-        while True:
-            if to_a == to_b:
-                out.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                links.append(a[i] * self.n_b + b[j])
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i == len(a):
-                    return ";".join(out), len(out), links
-                to_a, to_b = to_a + int(self.a_len[a[i]]), to_b + int(self.b_len[b[j]])
-            elif to_a < to_b:
-                i += 1
-                to_a += int(self.a_len[a[i]])
-            else:
-                j += 1
-                to_b += int(self.b_len[b[j]])
-
-    def _remembered(self, key, a, b):
-        got = self.known.get(key)
-        if got is None:
-            got = self.align(tuple(a), tuple(b))
-            if len(a) + len(b) <= LONG_WINDOW:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[key] = got
-        return got
-
     def windows(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray):
         """Windows of tokenised documents laid end to end; ``ends``: the documents' byte ends.
 
-        Gives (document of each window, its kind, and for each kind its alignment).
+        Gives (document and kind of each window, and for each kind its alignment: groups as text, links as bytes of
+        64-bit numbers ``a * n_b + b``).
         """
         end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         at_a, at_b, last = (np.zeros(int(end_a[-1]) + 1, bool) for _ in range(3))
@@ -143,44 +113,90 @@ class Pair:
         # ends that both share; the tokens after them begin with a space on both sides, or the document is over
         hit_a, hit_b = np.flatnonzero(at_b[end_a]), np.flatnonzero(at_a[end_b])
         spaced = self.a_space[a[np.minimum(hit_a + 1, len(a) - 1)]] & self.b_space[b[np.minimum(hit_b + 1, len(b) - 1)]]
-        anchor = spaced | last[end_a[hit_a]]
+        anchor = np.flatnonzero(spaced | last[end_a[hit_a]])
+        doc = np.searchsorted(ends, end_a[hit_a[anchor]])
         to_a, to_b = hit_a[anchor] + 1, hit_b[anchor] + 1
-        from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-        doc = np.searchsorted(ends, end_a[to_a - 1])
-        kind = np.empty(len(doc), np.int64)
-        small = ((to_a - from_a <= PACKED) & (to_b - from_b <= PACKED)) if self.packs else np.zeros(len(doc), bool)
-        found = []
-        at = np.flatnonzero(small)
-        if len(at):  # id tuples as two 64-bit numbers (ids + 1, so that no tuple is the start of another)
-            key_a, key_b = _packed(a, from_a[at], to_a[at]), _packed(b, from_b[at], to_b[at])
-            _, first, which = np.unique(_mixed(key_a, key_b), return_index=True, return_inverse=True)
-            if (key_a[first][which] != key_a).any() or (key_b[first][which] != key_b).any():  # two tuples fell together
-                _, first, which = np.unique(np.stack([key_a, key_b], 1), axis=0, return_index=True, return_inverse=True)
-            kind[at] = which.ravel()
-            w = at[first]
-            for ka, kb, fa, ta, fb, tb in zip(key_a[first].tolist(), key_b[first].tolist(), from_a[w].tolist(), to_a[w].tolist(),
-                                              from_b[w].tolist(), to_b[w].tolist()):
-                got = self.known.get((ka, kb))
-                found.append(got if got is not None else self._remembered((ka, kb), a[fa:ta].tolist(), b[fb:tb].tolist()))
-        for w in np.flatnonzero(~small).tolist():
-            ta, tb = a[from_a[w]:to_a[w]].tolist(), b[from_b[w]:to_b[w]].tolist()
-            kind[w] = len(found)
-            found.append(self._remembered((tuple(ta), tuple(tb)), ta, tb) if len(ta) + len(tb) <= LONG_WINDOW else self.align(ta, tb))
+        from_a, from_b = _starts(to_a), _starts(to_b)
+        kind, first = _kinds((a, from_a, to_a), (b, from_b, to_b))
+        found: list = [None] * len(first)
+        unknown, keys = [], []
+        a32, b32 = a.astype(np.int32), b.astype(np.int32)
+        for k, (fa, ta, fb, tb) in enumerate(zip(from_a[first].tolist(), to_a[first].tolist(), from_b[first].tolist(), to_b[first].tolist())):
+            key = (a32[fa:ta].tobytes(), b32[fb:tb].tobytes())
+            found[k] = self.known.get(key)
+            if found[k] is None:
+                unknown.append(k)
+                keys.append(key)
+        if unknown:
+            w = first[unknown]
+            groups = (_starts(anchor + 1)[w], anchor[w] + 1)
+            texts = self._spelled(a, b, hit_a, hit_b, *groups)
+            links = a[hit_a] * self.n_b + b[hit_b]
+            for k, key, text, lo, hi in zip(unknown, keys, texts, groups[0].tolist(), groups[1].tolist()):
+                found[k] = got = text, links[lo:hi].tobytes()
+                if len(key[0]) + len(key[1]) <= LONG_WINDOW * 4:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[key] = got
         return doc, kind, found
 
+    def _spelled(self, a, b, hit_a, hit_b, lo, hi) -> list[str]:
+        """Groups of windows as text; a window has the groups ``lo`` to ``hi``, and a group ends at a shared end."""
+        g = _ranges(lo, hi)
+        from_a, from_b = _starts(hit_a + 1)[g], _starts(hit_b + 1)[g]
+        n_a, n_b = hit_a[g] + 1 - from_a, hit_b[g] + 1 - from_b
+        # the tokens in the order of the text, each followed by its mark
+        at = np.cumsum(n_a + n_b)
+        ids, mark = np.empty(int(at[-1]), np.int64), np.full(int(at[-1]), ord(","), np.uint8)
+        start = _starts(at)
+        ids[_ranges(start, start + n_a)] = a[_ranges(from_a, from_a + n_a)]
+        ids[_ranges(start + n_a, at)] = b[_ranges(from_b, from_b + n_b)]
+        mark[start + n_a - 1], mark[at - 1] = ord("|"), ord(";")
+        chars = np.concatenate([self.digits[ids], mark[:, None]], 1)
+        text = chars[chars > 0].tobytes().decode()
+        size = np.cumsum((self.digits[ids] > 0).sum(1) + 1)
+        stop = size[at[np.cumsum(hi - lo) - 1] - 1].tolist()
+        return [text[x:y - 1] for x, y in zip([0, *stop], stop)]
+
+
+def _starts(stops: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], stops[:-1]])
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of ``lo`` to ``hi``, range after range."""
+    n = hi - lo
+    return np.repeat(lo - _starts(np.cumsum(n)), n) + np.arange(int(n.sum()))
 
-def _packed(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(lo), np.uint64)
-    for k in range(PACKED):
-        here = lo + k < hi
-        out |= np.where(here, ids[np.minimum(lo + k, len(ids) - 1)] + 1, 0).astype(np.uint64) << np.uint64(16 * k)
-    return out
+
+def _kinds(*sides) -> tuple[np.ndarray, np.ndarray]:
+    """(kind of each window, a window of each kind): windows of equal id tuples on both sides are one kind.
+
+    Found by a hash of the tuples; then every window is compared with the one that stands for its kind.
+    """
+    h = np.zeros(len(sides[0][1]), np.uint64)
+    for ids, lo, hi in sides:
+        place = np.arange(len(ids)) - np.repeat(lo, hi - lo)
+        h = _mixed(h, np.add.reduceat((ids + 1).astype(np.uint64) * _POWERS[place % len(_POWERS)], lo))
+    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    for ids, lo, hi in sides:
+        twin = first[kind]
+        if (hi - lo != (hi - lo)[twin]).any() or (ids[_ranges(lo[twin], hi[twin])] != ids).any():
+            seen: dict = {}  # two tuples fell together: compare the tuples themselves
+            kind = np.array([seen.setdefault(tuple(ids[x:y].tobytes() for ids, x, y in w), len(seen)) for w in zip(
+                *[zip([ids] * len(lo), lo.tolist(), hi.tolist()) for ids, lo, hi in sides])])
+            return kind, np.unique(kind, return_index=True)[1]
+    return kind, first
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x * np.uint64(0x9E3779B97F4A7C15) ^ (y * np.uint64(0xC2B2AE3D27D4EB4F) + (x >> np.uint64(29)))
 
 
+_POWERS = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, np.uint64))
+
+
 def segments(text: str, size: int = SEGMENT) -> list[str]:
     """Parts of a text between single spaces with no other white space beside them, of ``size`` characters or more."""
     out, at, look = [], 0, size
@@ -214,7 +230,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", kee
 
     def run(batches):
         v = vocabularies(a_path, b_path)
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "__text", 1 << 19):
             texts = batch.column("__text").to_pylist()
             counts, said, pairs = _aligned(v, texts, digests)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(counts[:, k]) for k in range(4)]
@@ -237,7 +253,7 @@ def _aligned(v: Pair, texts: list[str | None], digests: bool) -> tuple[np.ndarra
     doc, kind, found = v.windows(a, b, ends)
     spelled = np.empty(len(found), object)
     spelled[:] = [f[0] for f in found]
-    size = np.array([f[1] for f in found])
+    size = np.array([len(f[1]) // 8 for f in found])
     bounds = np.searchsorted(doc, np.arange(len(some) + 1))
     groups = np.add.reduceat(size[kind], bounds[:-1])
     for k, i in enumerate(some):
@@ -247,11 +263,9 @@ def _aligned(v: Pair, texts: list[str | None], digests: bool) -> tuple[np.ndarra
     # links of all windows: counted by (document, kind of window) first, then by (document, pair)
     dk, times = np.unique(doc * len(found) + kind, return_counts=True)
     d, k = np.divmod(dk, len(found))
-    links = np.fromiter(chain.from_iterable(f[2] for f in found), np.int64)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    n = size[k]
-    flat = np.repeat(start[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    codes, code = np.unique(links[flat], return_inverse=True)
+    links = np.frombuffer(b"".join([f[1] for f in found]), np.int64)
+    start, n = _starts(np.cumsum(size)), size[k]
+    codes, code = np.unique(links[_ranges(start[k], start[k] + n)], return_inverse=True)
     dp, back = np.unique(np.repeat(d, n) * len(codes) + code.ravel(), return_inverse=True)
     total = np.bincount(back.ravel(), np.repeat(times, n)).astype(np.int64)
     d, code = np.divmod(dp, len(codes))
