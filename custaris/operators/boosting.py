@@ -85,40 +85,46 @@ class Grower:
     def done(self) -> bool:
         return self.level >= self.spec.depth or not self.open
 
-    def cut(self, g: np.ndarray, h: np.ndarray, c: np.ndarray) -> list[int]:
-        """Cut the open nodes by their sums (node, feature, bin); the places of the nodes that were cut."""
+    def cut(self, cells: np.ndarray, g: np.ndarray, h: np.ndarray, c: np.ndarray, n_features: int) -> None:
+        """Cut the open nodes by the sums of the cells that hold rows, in the order (node, feature, bin)."""
         s, t = self.spec, self.tree
-        gl, hl, cl = (np.cumsum(v, 2) for v in (g, h, c))
-        gt, ht, ct = gl[:, :, -1:], hl[:, :, -1:], cl[:, :, -1:]
+        column = cells // (BINS + 1)                      # node * n_features + feature
+        first = np.flatnonzero(np.diff(column, prepend=-1))
+        span = np.diff(first, append=len(cells))
+
+        def sides(v):
+            """Sums of the cells up to each one within its column, and of the whole column."""
+            run = np.cumsum(v)
+            before = np.repeat(run[first] - v[first], span)
+            return run - before, np.repeat(run[first + span - 1], span) - before
+        (gl, gt), (hl, ht), (cl, ct) = sides(g), sides(h), sides(c)
         ok = (cl >= s.least) & (ct - cl >= s.least)
 
         def part(x, y):
             return x * x / np.maximum(y + s.l2, 1e-12)
-        gain = np.where(ok, part(gl, hl) + part(gt - gl, ht - hl) - part(gt, ht), -np.inf).reshape(len(g), -1)
-        best = gain.argmax(1)
+        gain = np.where(ok, part(gl, hl) + part(gt - gl, ht - hl) - part(gt, ht), -np.inf)
+        node = column // n_features
+        start = np.flatnonzero(np.diff(node, prepend=-1))
+        there = node[start]                               # open nodes that hold rows
+        most = np.maximum.reduceat(gain, start)
         # equal gains of several features: the first one, whatever the order of the sums
-        gains = gain[np.arange(len(g)), best]
-        near = gain >= gains[:, None] - 1e-9 * np.abs(gains[:, None])
-        best = np.where(np.isfinite(gains), near.argmax(1), 0)
+        near = np.flatnonzero(gain >= np.repeat(most - 1e-9 * np.abs(np.where(np.isfinite(most), most, 0)), np.diff(start, append=len(cells))))
+        best = near[np.searchsorted(near, start)]
         if self.level == 0:
-            t.value[0] = self._value(gt[0, 0, 0], ht[0, 0, 0])
-        order = sorted(range(len(g)), key=lambda k: -gains[k])
-        taken = [k for k in order if gains[k] > 1e-10]
+            t.value[0] = self._value(gt[0], ht[0])
+        taken = [k for k in np.argsort(-most, kind="stable").tolist() if most[k] > 1e-10]
         if s.leaves is not None:
             taken = taken[:max(0, s.leaves - self.count)]
         new = []
         for k in sorted(taken):
-            f, b = divmod(int(best[k]), g.shape[2])
-            node = self.open[k]
-            t.feature[node], t.cut[node], t.gain[node] = f, b, float(gains[k])
-            x, y = gl[k, f, b], hl[k, f, b]
-            t.low[node] = t.leaf(self._value(x, y))
-            t.high[node] = t.leaf(self._value(gt[k, f, 0] - x, ht[k, f, 0] - y))
-            new += [t.low[node], t.high[node]]
+            i, at = int(best[k]), self.open[int(there[k])]
+            t.feature[at], t.cut[at], t.gain[at] = int(column[i] % n_features), int(cells[i] % (BINS + 1)), float(most[k])
+            t.low[at] = t.leaf(self._value(gl[i], hl[i]))
+            t.high[at] = t.leaf(self._value(gt[i] - gl[i], ht[i] - hl[i]))
+            new += [t.low[at], t.high[at]]
             self.count += 1
-        cut, self.open = [self.open[k] for k in sorted(taken)], new
+        self.open = new
         self.level += 1
-        return cut
 
     def _value(self, g: float, h: float) -> float:
         return self.spec.rate * float(g) / max(float(h) + self.spec.l2, 1e-12)
@@ -208,11 +214,16 @@ def _start(loss: str, w: float, wy: float) -> float:
     return float(np.log(mean / (1 - mean)))
 
 
-def _sums(cell: np.ndarray, at: np.ndarray, nodes: int, n_features: int, *values: np.ndarray) -> list[np.ndarray]:
-    """Sums of values by (node, feature, bin); ``cell`` is feature * (BINS + 1) + bin of each row and feature."""
+def _sums(cell: np.ndarray, at: np.ndarray, nodes: int, n_features: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(cells that hold rows, sums of the values in them, rows in them); a cell is a (node, feature, bin).
+
+    ``cell`` is feature * (BINS + 1) + bin of each row and feature.
+    """
     width = n_features * (BINS + 1)
     flat = (at[:, None] * width + cell).ravel()
-    return [np.bincount(flat, np.repeat(v, n_features), nodes * width).reshape(nodes, n_features, BINS + 1) for v in values]
+    rows = np.bincount(flat, minlength=nodes * width)
+    some = np.flatnonzero(rows)
+    return some, *(np.bincount(flat, np.repeat(v, n_features), nodes * width)[some] for v in values), rows[some].astype(float)
 
 
 @dataclass
@@ -272,6 +283,7 @@ def _fit_here(data, spec: Boost, leave: int | None, checks: Sequence[int] = ()):
     start = _start(spec.loss, float(tw.sum()), float(tw @ ty))
     margin, out_margin, out_bins = np.full(len(ty), start), np.full(int((~own).sum()), start), bins[~own]
     trees, seen = [], {}
+    plain = spec.loss == "squared" and bool((tw == 1).all())
     for r in range(spec.rounds):
         g, h = _slopes(spec, ty, tw, margin)
         use = _chosen(trow, spec, r) if spec.subsample < 1 else np.ones(len(ty), bool)
@@ -282,7 +294,9 @@ def _fit_here(data, spec: Boost, leave: int | None, checks: Sequence[int] = ()):
             here = np.flatnonzero((place[at] >= 0) & use)
             if not len(here):
                 break
-            grow.cut(*_sums(cell[here], place[at[here]], len(grow.open), n_features, g[here], h[here], np.ones(len(here))))
+            # Hessians of the squared loss with equal weights are the rows themselves
+            got = _sums(cell[here], place[at[here]], len(grow.open), n_features, *((g[here],) if plain else (g[here], h[here])))
+            grow.cut(got[0], got[1], got[-2] if not plain else got[2], got[-1], n_features)
             f, c, lo, hi = (np.array(v) for v in (grow.tree.feature, grow.tree.cut, grow.tree.low, grow.tree.high))
             was = f[at]
             at = np.where(was < 0, at, np.where(b[np.arange(len(b)), was] > c[at], hi[at], lo[at]))
@@ -436,20 +450,22 @@ def _fit_group(rows: Rows, jobs):
                             here = np.flatnonzero(use)
                             if len(here):
                                 g, h = _slopes(spec, y[here], w[here], margin[here, k])
-                                s = np.stack(_sums(cell[here], node[here], len(grow.open), n_features, g, h, np.ones(len(here))))
-                                total[k] = total[k] + s if k in total else s
+                                some, *v = _sums(cell[here], node[here], len(grow.open), n_features, g, h)
+                                if k not in total:
+                                    total[k] = np.zeros((3, len(grow.open) * n_features * width))
+                                total[k][:, some] += v
                 for k, s in total.items():
-                    place = np.flatnonzero(s.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k, np.int32)), pa.array(place), pa.array(s.ravel()[place])],
-                                                     names=["job", "place", "v"])
-            got = state.mapInArrow(run, "job int, place long, v double").groupBy("job", "place").agg(F.sum("v").alias("v")).toArrow()
+                    some = np.flatnonzero(s[2])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), *map(pa.array, s[:, some])],
+                                                     names=["job", "cell", "g", "h", "c"])
+            got = state.mapInArrow(run, "job int, cell long, g double, h double, c double").groupBy("job", "cell").agg(
+                *[F.sum(v).alias(v) for v in "ghc"]).orderBy("job", "cell").toArrow()
             passes += 1
-            job, place, v = (got.column(c).to_numpy() for c in ("job", "place", "v"))
+            job, *sums = (got.column(c).to_numpy() for c in ("job", "cell", "g", "h", "c"))
             for k, grow in todo.items():
-                s = np.zeros((3, len(grow.open), n_features, width))
-                s.ravel()[place[job == k]] = v[job == k]
-                if s[2].any():
-                    grow.cut(*s)
+                own = job == k
+                if own.any():
+                    grow.cut(*[v[own] for v in sums], n_features)
                 else:
                     grow.open = []
         for k, grow in growers.items():

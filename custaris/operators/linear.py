@@ -8,8 +8,8 @@ Jobs that have converged leave the next scan.
 Ridge regression needs one scan in all: a Gram matrix a fold.  The rows outside a fold are the sum of the others, and
 every penalty is one solve.
 
-The objective is the reference's: weighted loss plus ``|b|^2 / (2 C)`` (logistic) or ``alpha |b|^2`` (ridge), with an
-intercept that isn't penalised.
+The objective is the reference's: weighted loss plus ``|b|^2 / (2 C)`` (logistic) or ``alpha |b|^2`` (ridge); the
+intercept isn't penalised unless a job says so.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class LogisticJob:
     tag: str
     c: float
     leave: int | None = None
+    penalise_intercept: bool = False
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ def fit_logistic(df: DataFrame, jobs: Sequence[LogisticJob], features: str = "fe
             if s is None:
                 raise ValueError(f"no rows outside fold {jobs[k].leave}")
             ridge = np.full(d, penalty[k])
-            ridge[0] = 0.0
+            ridge[0] *= jobs[k].penalise_intercept
             loss = s[0] + 0.5 * float(ridge @ beta[k] ** 2)
             if loss > last[k] + 1e-12 * abs(last[k]):  # the step went too far
                 step[k] /= 2
@@ -165,13 +166,11 @@ def _logistic_sums(beta, open_jobs, leave):
     return reduce
 
 
-def predict_folds(df: DataFrame, jobs: Sequence[LogisticJob], models: Sequence[LinearModel], label: str = "Churn",
-                  fold: str = "fold") -> DataFrame:
-    """(model, fold, label, p) of every row by the model of each tag that left its fold out; one scan for all."""
-    features = models[0].features
-    tags = sorted({j.tag for j in jobs})
-    of = {(j.tag, j.leave): np.array([m.intercept, *m.coefficients]) for j, m in zip(jobs, models)}
-    schema = f"model string, fold int, `{label}` int, p double"
+def predict_folds(df: DataFrame, models: dict[tuple[str, int], LinearModel], label: str = "Churn", fold: str = "fold") -> DataFrame:
+    """(model, fold, label, p) of every row by the model of each (tag, fold left out); one scan for all."""
+    some = next(iter(models.values()))
+    logistic, tags = some.kind == "logistic", sorted({t for t, _ in models})
+    of = {k: np.array([m.intercept, *m.coefficients]) for k, m in models.items()}
 
     def run(batches):
         for b in batches:
@@ -180,10 +179,12 @@ def predict_folds(df: DataFrame, jobs: Sequence[LogisticJob], models: Sequence[L
                 p = np.full(b.num_rows, np.nan)
                 for f in np.unique(folds).tolist():
                     here = folds == f
-                    p[here] = 0.5 * (1 + np.tanh(x[here] @ of[tag, f] / 2))
+                    m = x[here] @ of[tag, f]
+                    p[here] = 0.5 * (1 + np.tanh(m / 2)) if logistic else m
                 yield pa.RecordBatch.from_arrays([pa.array([tag] * b.num_rows, pa.string()), b.column("fold"), y, pa.array(p)],
                                                  names=["model", "fold", label, "p"])
-    return model_rows(df, features, F.col(label).cast("int").alias("y"), F.col(fold).cast("int").alias("fold")).mapInArrow(run, schema)
+    rows = model_rows(df, some.features, F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
+    return rows.mapInArrow(run, f"model string, fold int, `{label}` double, p double")
 
 
 # -- ridge ---------------------------------------------------------------------------------

@@ -1,17 +1,17 @@
 """Churn and revenue models, tuning and explanation.
 
-Estimators are Spark MLlib; cross-validation folds are the keyed-hash fold
-column (E2), so a fold never depends on partitioning.  Fold metrics are
-computed for all folds (and models) in one grouped pass.  Parameter mapping
-from the reference's learners:
-
-* logistic regression: ``regParam = 1 / (C · Σw)``, no elastic net, no
-  standardisation (sklearn's objective divided by C·Σw); solver choice has no
-  Spark counterpart, so the solver dimension of the grid is not searched;
-* random forest: ``max_depth=None`` → MLlib's cap of 30; ``min_samples_split``
-  → ``minInstancesPerNode = ceil(min_samples_split / 2)``;
-* gradient boosting: ``GBTClassifier`` (no L2 term; the l2 dimension is not
-  searched).
+Folds are the keyed-hash fold column (E2), so a fold never depends on
+partitioning, and fold metrics are computed for all folds and settings in one
+grouped pass.  Learners by the reference's names:
+
+* logistic regression and ridge: :mod:`linear`, all folds and penalties in one
+  scan a step.  Of the two solvers in the grid, ``liblinear`` penalises the
+  intercept too, ``lbfgs`` doesn't;
+* gradient boosting: :mod:`boosting`, with the L2 term of the leaf values;
+* random forests: MLlib; ``max_depth=None`` is MLlib's cap of 30,
+  ``min_samples_split`` → ``minInstancesPerNode = ceil(min_samples_split / 2)``.
+
+Every fitted model has ``score(df, out)`` and ``importances()``.
 """
 
 from __future__ import annotations
@@ -20,22 +20,24 @@ import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml import Estimator
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting as B
+from . import linear as L
 from . import metrics as X
 from . import ranks as R
 
 MLLIB_MAX_DEPTH = 30
 
-Sampler = Callable[[random.Random], float | int | None]
+Sampler = Callable[[random.Random], float | int | str | None]
 
 
 def whole(lo: int, hi: int) -> Sampler:
@@ -55,6 +57,10 @@ def log_uniform(lo: float, hi: float) -> Sampler:
     return lambda rng: math.exp(rng.uniform(math.log(lo), math.log(hi)))
 
 
+def one_of(*values) -> Sampler:
+    return lambda rng: rng.choice(values)
+
+
 # --- fixed values shared with the reference -------------------------------------------
 CHURN_MODELS = {
     "Logistic Regression": {"C": 0.1},
@@ -64,7 +70,7 @@ CHURN_MODELS = {
 GRIDS = {
     "Random Forest": {"n_estimators": [100, 200], "max_depth": [None, 6, 10], "min_samples_split": [2, 5]},
     "Hist Gradient Boosting": {"max_iter": [100, 200], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
-    "Logistic Regression": {"C": [0.01, 0.1, 1, 10]},
+    "Logistic Regression": {"C": [0.01, 0.1, 1, 10], "solver": ["lbfgs", "liblinear"]},
 }
 REVENUE_GRIDS = {
     "Ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
@@ -76,8 +82,8 @@ SEARCH_SPACES = {
     "Random Forest": {"n_estimators": whole(50, 300), "max_depth": whole_or_unlimited(3, 20),
                       "min_samples_split": whole(2, 10)},
     "Hist Gradient Boosting": {"max_iter": whole(50, 300), "learning_rate": log_uniform(0.01, 0.3),
-                               "max_depth": whole(2, 8)},
-    "Logistic Regression": {"C": log_uniform(0.001, 100)},
+                               "max_depth": whole(2, 8), "l2_regularization": uniform(0.0, 10.0)},
+    "Logistic Regression": {"C": log_uniform(0.001, 100), "solver": one_of("lbfgs", "liblinear")},
 }
 REVENUE_SEARCH_SPACES = {
     "Ridge": {"alpha": log_uniform(0.001, 1000)},
@@ -92,39 +98,39 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def classifier(name: str, params: dict, n_weight: float, weight_col: str | None = "weight",
-               seed: int = 42) -> Estimator:
-    """Spark estimator for a reference model name + its parameters."""
-    w = {"weightCol": weight_col} if weight_col else {}
-    if name == "Logistic Regression":
-        return LogisticRegression(regParam=1.0 / (params.get("C", 1.0) * n_weight), elasticNetParam=0.0,
-                                  standardization=False, maxIter=1000, tol=1e-4, **w)  # sklearn lbfgs default tol
-    if name == "Random Forest":
-        depth = params.get("max_depth", 6)
-        return RandomForestClassifier(numTrees=params.get("n_estimators", 100),
-                                      maxDepth=MLLIB_MAX_DEPTH if depth is None else depth,
-                                      minInstancesPerNode=max(1, math.ceil(params.get("min_samples_split", 2) / 2)),
-                                      seed=seed, **w)
+def forest(params: dict, label: str, features: str, weight: str | None = None, regression: bool = False, seed: int = 42) -> Estimator:
+    """MLlib estimator of a random forest by the reference's parameters."""
+    depth = params.get("max_depth", 8 if regression else 6)
+    common = dict(labelCol=label, featuresCol=features, maxDepth=MLLIB_MAX_DEPTH if depth is None else depth, seed=seed,
+                  **({"weightCol": weight} if weight else {}))
+    if regression:
+        return RandomForestRegressor(numTrees=params.get("n_estimators", 200), featureSubsetStrategy=str(params.get("max_features", "all")), **common)
+    return RandomForestClassifier(numTrees=params.get("n_estimators", 100),
+                                  minInstancesPerNode=max(1, math.ceil(params.get("min_samples_split", 2) / 2)), **common)
+
+
+def boost(name: str, params: dict, seed: int = 42) -> B.Boost:
+    """Boosting settings by the reference's parameters."""
     if name == "Hist Gradient Boosting":
-        return GBTClassifier(maxIter=params.get("max_iter", 100), stepSize=params.get("learning_rate", 0.1),
-                             maxDepth=params.get("max_depth", 3), seed=seed, **w)
+        return B.Boost("logistic", params.get("max_iter", 100), params.get("learning_rate", 0.1), params.get("max_depth", 3),
+                       params.get("l2_regularization", 0.0), least=20, leaves=31, seed=seed)
+    if name == "Gradient Boosting":
+        return B.Boost("squared", params.get("n_estimators", 200), params.get("learning_rate", 0.1), params.get("max_depth", 4),
+                       least=1, leaves=None, subsample=params.get("subsample", 1.0), seed=seed)
     raise ValueError(name)
 
 
+def _penalised(params: dict) -> bool:
+    return params.get("solver", "lbfgs") == "liblinear"
+
+
 TARGET_PARTITION_BYTES = 64 * 1024 * 1024
 
 
-def size_partitions(df: DataFrame, n_rows: int, n_features: int,
-                    target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
-    """Repartition a model-input frame to ~``target_bytes`` of feature data per
-    partition: iterative learners run one job per iteration over every
-    partition, so tiny partitions only add scheduling cost, while at scale
-    the count grows with the data (15e9 rows × 50 doubles → ~90k partitions)."""
-    want = max(1, math.ceil(n_rows * max(1, n_features) * 8 / target_bytes))
-    have = df.rdd.getNumPartitions()
-    if want == have:
-        return df
-    return df.coalesce(want) if want < have else df.repartition(want)
+def parts_for(n_rows: int, n_features: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions of a model's rows, by ~``target_bytes`` of feature data each: iterative learners scan the rows in every
+    step, so tiny partitions only add scheduling, while at scale the number grows with the data."""
+    return max(1, math.ceil(n_rows * max(1, n_features) * 8 / target_bytes))
 
 
 def positive_probability(pred: DataFrame, out: str = "p") -> DataFrame:
@@ -161,34 +167,116 @@ def grouped_binary_metrics(df: DataFrame, by: Sequence[str], label: str = "Churn
                     F.coalesce(F.try_divide(2 * pre * rec, pre + rec), F.lit(0.0)).alias("f1"))
 
 
-def fit_predict_folds(df: DataFrame, jobs: dict[str, Estimator], fold_col: str = "fold", k: int = 5,
-                      label: str = "Churn", parallelism: int = 8) -> DataFrame:
-    """Out-of-fold predictions (tag, fold, label, p) for every (job, fold).
+@dataclass
+class ForestModel:
+    """An MLlib forest (classification or regression)."""
+
+    inner: object
+    regression: bool = False
+
+    def score(self, df: DataFrame, out: str) -> DataFrame:
+        p = self.inner.transform(df)
+        if self.regression:
+            return p if out == "prediction" else p.withColumnRenamed("prediction", out)
+        return positive_probability(p, out).drop("rawPrediction", "probability", "prediction")
+
+    def importances(self) -> list[float]:
+        return self.inner.featureImportances.toArray().tolist()
+
+
+@dataclass
+class OnComponents:
+    """A model on PCA components; a component's importance goes to the inputs by the size of their loadings."""
+
+    pca: object
+    inner: object
+
+    def score(self, df: DataFrame, out: str) -> DataFrame:
+        return self.inner.score(self.pca.transform(df), out).drop(self.pca.getOutputCol())
+
+    def importances(self) -> list[float]:
+        return (abs(self.pca.pc.toArray()) @ self.inner.importances()).tolist()
+
+
+def restore(d: dict):
+    """A linear or boosted model from its saved form."""
+    return {"linear": L.LinearModel, "boosted": B.BoostedTrees}[d["type"]].from_dict(d)
+
+
+def fit_classifier(rows: DataFrame, name: str, params: dict, features: str = "features", label: str = "Churn",
+                   weight: str = "weight", key: str = "CustomerID"):
+    """One model on all rows."""
+    if name == "Logistic Regression":
+        return L.fit_logistic(rows, [L.LogisticJob("m", params.get("C", 1.0), None, _penalised(params))], features, label, weight, None)[0]
+    if name == "Random Forest":
+        return ForestModel(forest(params, label, features, weight).fit(rows))
+    return B.fit(B.bin_rows(rows, features, label, key, weight, None), boost(name, params))
+
+
+def fit_regressor(rows: DataFrame, name: str, params: dict, features: str = "features", label: str = "label", key: str = "CustomerID"):
+    if name == "Ridge":
+        return L.ridge_from_gram(sum(L.fold_grams(rows, features, label).values()), params.get("alpha", 1.0), features)
+    if name == "Random Forest":
+        return ForestModel(forest(params, label, features, regression=True).fit(rows), True)
+    return B.fit(B.bin_rows(rows, features, label, key, None, None), boost(name, params))
+
+
+Settings = dict[str, tuple[str, dict]]      # tag -> (learner, parameters)
 
-    Fits run concurrently from a thread pool (Spark schedules jobs from
-    several threads); the returned frame is lazy and is scored in one pass.
-    """
-    tasks = [(tag, est, f) for tag, est in jobs.items() for f in range(k)]
 
+def _forest_folds(df: DataFrame, specs: dict[str, dict], features, label, weight, regression, folds, parallelism: int = 8) -> DataFrame:
+    """Fold predictions of MLlib forests; fits run side by side from a thread pool."""
     def one(t):
-        tag, est, f = t
-        m = est.fit(df.where(F.col(fold_col) != f))
-        return positive_probability(m.transform(df.where(F.col(fold_col) == f))) \
-            .select(F.lit(tag).alias("model"), F.lit(f).alias("fold"), label, "p")
+        tag, f = t
+        m = ForestModel(forest(specs[tag], label, features, weight, regression).fit(df.where(F.col("fold") != f)), regression)
+        return m.score(df.where(F.col("fold") == f), "p").select(F.lit(tag).alias("model"), F.lit(f).alias("fold"), F.col(label).cast("double").alias(label), "p")
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts = list(pool.map(one, tasks))
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, [(tag, f) for tag in specs for f in folds]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def cross_validate(df: DataFrame, candidates: dict[str, Estimator], fold_col: str = "fold", k: int = 5,
-                   label: str = "Churn", parallelism: int = 8) -> DataFrame:
-    """Per (model, fold) metrics for every candidate; training on the other folds."""
-    preds = fit_predict_folds(df, candidates, fold_col, k, label, parallelism)
-    return grouped_binary_metrics(preds, ["model", "fold"], label, "p")
+def fold_predictions(df: DataFrame, specs: Settings, features: str = "features", label: str = "Churn", weight: str | None = "weight",
+                     key: str = "CustomerID", k: int = 5) -> DataFrame:
+    """Out-of-fold predictions (model, fold, label, p) of every setting; those of one learner are fitted together.
+
+    ``weight=None`` and a real label mean regression.
+    """
+    folds, parts = range(k), []
+    by: dict[str, dict[str, dict]] = {}
+    for tag, (name, params) in specs.items():
+        by.setdefault(name, {})[tag] = params
+    for name, own in by.items():
+        if name == "Logistic Regression":
+            jobs = [L.LogisticJob(t, p.get("C", 1.0), f, _penalised(p)) for t, p in own.items() for f in folds]
+            models = L.fit_logistic(df, jobs, features, label, weight)
+            parts.append(L.predict_folds(df, {(j.tag, j.leave): m for j, m in zip(jobs, models)}, label))
+        elif name == "Ridge":
+            models = L.ridge_folds(L.fold_grams(df, features, label), {p.get("alpha", 1.0) for p in own.values()}, features)
+            parts.append(L.predict_folds(df, {(t, f): models[p.get("alpha", 1.0), f] for t, p in own.items() for f in folds}, label))
+        elif name == "Random Forest":
+            parts.append(_forest_folds(df, own, features, label, weight, weight is None, folds))
+        else:
+            rows = B.bin_rows(df, features, label, key, weight)
+            parts.append(B.cross_validate(rows, {t: boost(name, p) for t, p in own.items()}, folds, label))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cross_validate(df: DataFrame, specs: Settings, **how) -> DataFrame:
+    """Per (model, fold) metrics of every setting; training on the other folds."""
+    return grouped_binary_metrics(fold_predictions(df, specs, **how), ["model", "fold"], how.get("label", "Churn"), "p")
+
+
+def cross_validate_regression(df: DataFrame, specs: Settings, **how) -> DataFrame:
+    """R2, MAE and the other regression metrics per (model, fold)."""
+    preds = fold_predictions(df, specs, weight=None, **({"label": "label"} | how))
+    return X.regression_metrics(preds, how.get("label", "label"), "p", by=["model", "fold"])
 
 
 def cv_summary(fold_metrics: DataFrame) -> DataFrame:
@@ -213,49 +301,30 @@ def random_points(space: dict[str, Sampler], n: int, seed: int = 42) -> list[dic
     return [{name: draw(rng) for name, draw in space.items()} for _ in range(n)]
 
 
-def search(df: DataFrame, name: str, points: list[dict], n_weight: float, fold_col: str = "fold",
-           parallelism: int = 5, label: str = "Churn", features: str = "features") -> tuple[list[tuple[dict, float]], dict]:
-    """Cross-validated average precision of each parameter point.
+Trials = list[tuple[dict, float]]
 
-    Points are evaluated one after another (bounded driver memory: at most
-    one point's fold models alive); the folds of a point fit concurrently and
-    are scored in one grouped pass; a point's score is its mean over folds.
-    """
-    results = []
-    for i, p in enumerate(points):
-        est = classifier(name, p, n_weight).setLabelCol(label).setFeaturesCol(features)
-        preds = fit_predict_folds(df, {f"t{i}": est}, fold_col, 5, label, parallelism)
-        sc = grouped_binary_metrics(preds, ["model", "fold"], label, "p").agg(F.avg("pr_auc")).first()[0]
-        results.append((p, float(sc)))
-    best = max(results, key=lambda r: r[1])[0]
-    return results, best
 
+def search(df: DataFrame, name: str, points: list[dict], features: str = "features", regression: bool = False) -> tuple[Trials, dict]:
+    """Mean metric over the folds (PR-AUC, or R2) of each parameter point (M12/M13) and the best point.
 
-# -- M9: isotonic calibration ----------------------------------------------------------
-
-def fit_isotonic(calib: DataFrame, score: str = "p", label: str = "Churn"):
-    """One weighted row a distinct score: the same fit, and a hot score is one row."""
-    by_score = calib.groupBy(F.col(score).cast("double").alias(score)).agg(
-        F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("w"))
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="p_cal", weightCol="w").fit(by_score)
+    All points of a linear or boosted learner are fitted and scored together; forests go point by point, so that at most
+    one point's models are alive.
+    """
+    cv, metric = (cross_validate_regression, "r2") if regression else (cross_validate, "pr_auc")
+    specs = {f"t{i}": (name, p) for i, p in enumerate(points)}
+    groups = [{t: s} for t, s in specs.items()] if name == "Random Forest" else [specs]
+    got: dict[str, float] = {}
+    for g in groups:
+        got |= {r["model"]: float(r["m"]) for r in cv(df, g, features=features).groupBy("model").agg(F.avg(metric).alias("m")).collect()}
+    results = [(p, got[f"t{i}"]) for i, p in enumerate(points)]
+    return results, max(results, key=lambda r: r[1])[0]
 
 
 # -- M8 / M15 / M16: explanation ----------------------------------------------------------
 
 def importances(model, features: Sequence[str], top: int | None = None) -> list[tuple[str, float]]:
     """Feature importances (trees) or |coefficients| (linear), sorted desc."""
-    if isinstance(model, PipelineModel):
-        # a component's importance goes to the inputs by the size of their loadings
-        pca, inner = model.stages
-        parts = dict(importances(inner, range(pca.getK())))
-        vals = (abs(pca.pc.toArray()) @ [parts[i] for i in range(pca.getK())]).tolist()
-    elif hasattr(model, "featureImportances"):
-        vals = model.featureImportances.toArray().tolist()
-    elif hasattr(model, "coefficients"):
-        vals = [abs(v) for v in model.coefficients.toArray().tolist()]
-    else:
-        vals = [0.0] * len(features)
-    pairs = sorted(zip(features, vals), key=lambda t: (-t[1], t[0]))
+    pairs = sorted(zip(features, model.importances()), key=lambda t: (-t[1], t[0]))
     return pairs[:top] if top else pairs
 
 
@@ -264,64 +333,6 @@ def surrogate_tree(df: DataFrame, pseudo_label: str, max_depth: int = 3, seed: i
     return DecisionTreeClassifier(labelCol=pseudo_label, maxDepth=max_depth, seed=seed).fit(df)
 
 
-def tree_nodes(spark, model, features: Sequence[str], path: str) -> DataFrame:
-    """The saved tree's node table (id, depth, split feature/threshold,
-    class counts, prediction) read back from the model's parquet data."""
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    names = F.array(*[F.lit(c) for c in features])
-    return nodes.select(
-        "id", "prediction", "impurity", "gain", "leftChild", "rightChild",
-        F.when(F.col("leftChild") >= 0, F.element_at(names, F.col("split.featureIndex") + 1)).alias("feature"),
-        F.when(F.col("leftChild") >= 0, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
-        F.col("impurityStats").alias("class_weights"))
-
-
-# -- revenue (M4-M6) -------------------------------------------------------------------
-
-def regressor(name: str, params: dict, n: float, label_std: float, seed: int = 42) -> Estimator:
-    """M4 ridge (closed form; regParam = alpha·std_pop(y)/n), M5 RF, M6 GBT."""
-    if name == "Ridge":
-        return LinearRegression(solver="normal", regParam=params.get("alpha", 1.0) * label_std / n,
-                                elasticNetParam=0.0, standardization=False)
-    if name == "Random Forest":
-        d = params.get("max_depth", 8)
-        return RandomForestRegressor(numTrees=params.get("n_estimators", 200),
-                                     maxDepth=MLLIB_MAX_DEPTH if d is None else d,
-                                     featureSubsetStrategy=str(params.get("max_features", "all")), seed=seed)
-    if name == "Gradient Boosting":
-        return GBTRegressor(maxIter=params.get("n_estimators", 200), maxDepth=params.get("max_depth", 4),
-                            stepSize=params.get("learning_rate", 0.1), subsamplingRate=params.get("subsample", 1.0), seed=seed)
-    raise ValueError(name)
-
-
-def regression_folds(df: DataFrame, jobs: dict[str, Estimator], fold_col: str = "fold", k: int = 5,
-                     label: str = "label", parallelism: int = 8) -> DataFrame:
-    """R2, MAE and the other regression metrics per (job, fold), scored in one grouped pass."""
-    def one(t):
-        tag, est, f = t
-        m = est.fit(df.where(F.col(fold_col) != f))
-        return m.transform(df.where(F.col(fold_col) == f)).select(
-            F.lit(tag).alias("model"), F.lit(f).alias("fold"), label, "prediction")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        parts = list(pool.map(one, [(tag, est, f) for tag, est in jobs.items() for f in range(k)]))
-    preds = parts[0]
-    for pr in parts[1:]:
-        preds = preds.unionByName(pr)
-    return X.regression_metrics(preds, label, "prediction", by=["model", "fold"])
-
-
-def search_regression(df: DataFrame, name: str, points: list[dict], n: float,
-                      label_std: float) -> tuple[list[tuple[dict, float]], dict]:
-    """Mean R2 over the folds of each parameter point (M12/M13 for revenue), one point after another."""
-    results = []
-    for i, p in enumerate(points):
-        folds = regression_folds(df, {f"t{i}": regressor(name, p, n, label_std)}, parallelism=5)
-        results.append((p, float(folds.agg(F.avg("r2")).first()[0])))
-    return results, max(results, key=lambda r: r[1])[0]
-
-
 def pca_fit(df: DataFrame, features: str, k_max: int, threshold: float = 0.95):
     """PCA on (already centred, scaled) features; k = first cumulative
     explained variance ≥ threshold.  Returns (model with k, explained variance list)."""

@@ -1,22 +1,19 @@
 """Customer segmentation.
 
-K-Means runs on Spark MLlib (k-means||, distributed Lloyd iterations).  The
-reference's ``n_init`` restarts become several seeds, keeping the lowest
-training cost.  Silhouettes use the squared Euclidean distance: per-row
-values follow exactly from per-cluster sums (k × d, broadcast), so no pair of
-rows is ever formed; this is also what Spark's ``ClusteringEvaluator``
-computes.  (The reference's plain-Euclidean silhouette needs all pairs of a
-sample and is not reproduced.)
+K-Means: :mod:`kmeans`, all starts and cluster counts in one scan a step.
+Silhouettes use the Euclidean distance, as the reference's, to a sample of
+``SAMPLE_ROWS`` rows (the reference's size): every task measures its rows
+against the sample and reduces the distances per cluster, so no pair of rows
+of the table is formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -39,17 +36,6 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(filled)
 
 
-def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44), max_iter: int = 300,
-               features: str = "features") -> KMeansModel:
-    """M7: best (lowest training cost) of several seeded k-means|| runs."""
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol=features, predictionCol="Cluster").fit(df)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
-
-
 def elbow(spark, inertias: dict[int, float]) -> tuple[DataFrame, int]:
     """Inertia per K, drop to the next K, elbow = K at the bottom of the biggest drop."""
     ks = sorted(inertias)
@@ -59,42 +45,50 @@ def elbow(spark, inertias: dict[int, float]) -> tuple[DataFrame, int]:
     return spark.createDataFrame(rows, "k int, inertia double, drop_from_previous double, is_elbow boolean"), elbow_k
 
 
-def silhouette_squared(pred: DataFrame, features: str = "features", cluster: str = "Cluster") -> float:
-    """Mean squared-Euclidean silhouette (Spark ``ClusteringEvaluator``)."""
-    ev = ClusteringEvaluator(featuresCol=features, predictionCol=cluster, metricName="silhouette",
-                             distanceMeasure="squaredEuclidean")
-    return float(ev.evaluate(pred))
+SAMPLE_ROWS = 1000         # rows of the sample that distances are measured to
+
 
+def silhouette_sample(df: DataFrame, key: str, rows: int = SAMPLE_ROWS, features: str = "features") -> DataFrame:
+    """The ``rows`` rows of smallest key hash (key, features): a bounded, repeatable sample."""
+    h = F.xxhash64(F.col(key).cast("string"), F.lit("silhouette"))
+    return df.select(key, features, h.alias("__h")).orderBy("__h", key).limit(rows).drop("__h")
 
-def silhouette_per_row(pred: DataFrame, features: str = "features", cluster: str = "Cluster") -> DataFrame:
-    """Per-row squared-Euclidean silhouette from broadcast cluster sums.
 
-    D(x, C) = |x|² − 2·x·S_C/n_C + Q_C/n_C; own cluster excludes x itself:
-    a = n_c·D(x, c)/(n_c − 1); b = min over other clusters; s = (b − a)/max(a, b),
-    0 for singleton clusters.
+def silhouette_per_row(pred: DataFrame, sample: DataFrame, key: str, features: str = "features", cluster: str = "Cluster") -> DataFrame:
+    """``pred`` with the silhouette of each row by its distances to the clustered ``sample`` (key, features, cluster).
+
+    a: mean distance to the sample's other rows of the own cluster, b: the least mean distance to another cluster's;
+    (b - a) / max(a, b), 0 where the own cluster has no other row.
     """
-    x = pred.select("*", vector_to_array(features).alias("__x"))
-    d = len(x.select("__x").first()["__x"])
-    stats = x.groupBy(cluster).agg(
-        F.count("*").alias("__n"),
-        F.array(*[F.sum(F.col("__x")[i]) for i in range(d)]).alias("__s"),
-        F.sum(F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v * v)).alias("__q"))
-    cl = stats.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "__n", "__s", "__q")).alias("__cl")).scalar()
-    # one struct per cluster (k of them): a bounded array attached to every row
-    sq = F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v * v)
-
-    def dist(st):
-        dot = F.aggregate(F.zip_with("__x", st["__s"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        return sq - 2 * dot / st["__n"] + st["__q"] / st["__n"]
-
-    y = x.withColumn("__cl", cl).withColumn(
-        "__d", F.transform("__cl", lambda st: F.struct(st["c"].alias("c"), st["__n"].alias("n"), dist(st).alias("d"))))
-    own = F.filter("__d", lambda t: t["c"] == F.col(cluster))[0]
-    others = F.filter("__d", lambda t: t["c"] != F.col(cluster))
-    a = own["n"] * own["d"] / (own["n"] - 1)
-    b = F.array_min(F.transform(others, lambda t: t["d"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    return y.select(*[c for c in pred.columns], s.alias("silhouette"))
+    got = sample.select(F.col(key).cast("string").alias("k"), vector_to_array(features).alias("x"), cluster).collect()  # SAMPLE_ROWS rows
+    if not got:
+        return pred.withColumn("silhouette", F.lit(0.0))
+    ids, at, own = np.array([r["k"] for r in got]), np.array([r["x"] for r in got]), np.array([r[cluster] for r in got])
+    names = np.unique(own)
+    member = (own[:, None] == names).astype(float)
+
+    @F.arrow_udf("double")
+    def silhouette(x: pa.Array, k: pa.Array, c: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.float64())
+        m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        mine, key_of = c.to_numpy(zero_copy_only=False), np.array(k.to_pylist(), object)
+        out = np.zeros(len(m))
+        for lo in range(0, len(m), 4096):  # bounded blocks of distances
+            hi = min(lo + 4096, len(m))
+            d = np.sqrt(np.maximum((m[lo:hi] ** 2).sum(1)[:, None] - 2 * m[lo:hi] @ at.T + (at ** 2).sum(1), 0))
+            same = ids[None, :] == key_of[lo:hi, None]
+            d[same] = 0
+            total, n = d @ member, np.tile(member.sum(0), (hi - lo, 1))
+            n -= same @ member                       # a row of the sample isn't its own neighbour
+            is_own = mine[lo:hi, None] == names
+            a = np.where(is_own, total, 0).sum(1) / np.maximum(np.where(is_own, n, 0).sum(1), 1)
+            b = np.where(is_own | (n == 0), np.inf, total / np.maximum(n, 1)).min(1)
+            alone = (np.where(is_own, n, 0).sum(1) == 0) | ~np.isfinite(b)
+            top = np.maximum(np.maximum(a, np.where(np.isfinite(b), b, 0)), 1e-300)
+            out[lo:hi] = np.where(alone, 0, (np.where(np.isfinite(b), b, 0) - a) / top)
+        return pa.array(out)
+    return pred.withColumn("silhouette", silhouette(vector_to_array(F.col(features)), F.col(key).cast("string"), F.col(cluster)))
 
 
 def final_k(elbow_k: int, sil: dict[int, float], weak: float = 0.25) -> int:
@@ -159,13 +153,3 @@ def legacy_name(cluster, churn_pct, recency, frequency):
     lab = (F.when(churn_pct > 60, "Lost / Churned").when(churn_pct > 35, "At Risk")
            .when((recency < 30) & (frequency > 0), "Active Loyal").otherwise("Occasional"))
     return F.concat(F.lit("Cluster "), cluster.cast("string"), F.lit(" — "), lab)
-
-
-@dataclass
-class SegmentResult:
-    model: KMeansModel
-    k: int
-    elbow_k: int
-    inertias: dict[int, float]
-    silhouettes: dict[int, float]
-    assigned: DataFrame

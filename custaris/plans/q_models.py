@@ -1,191 +1,54 @@
 """Registered model queries: churn (M1-M3, M8-M16), revenue (M4-M6), C8-C10, D4.
 
-One training run per input is kept for the session (fitted models are the
-state the reference saves and reloads); every query then derives its table
-with Spark from that run.  Model outputs depend on MLlib's numerics, so
-these queries have no DuckDB twin; tests check their properties.
+Each query asks the training's stages (see ``training``) for what it shows;
+fitted state comes from the model store.  Model outputs depend on numerical
+optimisation, so most of these queries have no DuckDB twin; tests check their
+properties.
 """
 
 from __future__ import annotations
 
-import threading
-import os
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import association as A
 from ..operators import drift as D
-from ..operators import features as FE
 from ..operators import metrics as X
 from ..operators import models as M
-from ..operators import split as E
-from ..session import ensure_checkpoint_dir
-from .catalog import _fingerprint, c360, finish, register
-
-_RUN_LOCK = threading.RLock()
-_PREP: dict[str, tuple] = {}
-_CV: dict[str, dict] = {}
-_PCA: dict[str, dict] = {}
-_TUNE: dict[str, dict] = {}
-_CHURN: dict[tuple, dict] = {}
-_REV: dict[tuple, dict] = {}
-N_RANDOM_TRIALS = 30  # as the reference
-THRESHOLD_FLOOR = 0.40
+from ..operators import rules as R
+from . import training as T
+from .catalog import finish, register
+
 # fixed values: suspect columns of the leak check
 SUSPECTS = ["AccountStatus_Closed", "AccountStatus_Suspended", "AccountStatus_Pending", "CustomerType_Perdu",
             "CustomerType_Régulier", "CustomerType_Hyperactif", "CustomerType_Occasionnel", "CustomerType_Nouveau"]
 
 
-def _prepared(spark, sf):
-    """The split customer table and its fitted transform, shared by both models."""
-    key = _fingerprint(sf)
-    if key not in _PREP:
-        df = E.hash_split(c360(spark, sf), "CustomerID")
-        _PREP[key] = df, FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
-    return _PREP[key]
-
-
-def _cv_run_impl(spark, sf) -> dict:
-    """Folds of the three models on the raw features."""
-    key = _fingerprint(sf)
-    if key in _CV:
-        return _CV[key]
-    df, prep = _prepared(spark, sf)
-    x = E.hash_folds(prep.transform(df, keep=["split"]), "CustomerID")
-    x = E.hash_split(x, "CustomerID", salt="calib42", col="calib_split")          # E4 inside train
-    feats = prep.features
-    vec = M.assemble(x, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    train = E.balanced_weights(vec.where(F.col("split") == "train"), "Churn")
-    st = train.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
-    n_w = float(st["w"])
-    train = M.size_partitions(train, int(st["n"]), len(feats)).persist(StorageLevel.MEMORY_AND_DISK)
-    test = vec.where(F.col("split") == "test")
-
-    folds, raw = _fold_scores(train, n_w, "features")
-    _CV[key] = dict(prep=prep, feats=feats, train=train, test=test, n_w=n_w, folds=folds,
-                    summary=M.cv_summary(folds), raw=raw, best_name=_best(raw), use_pca=False)
-    return _CV[key]
-
-
-def _fold_scores(rows, n_w, features):
-    """Fold metrics of the three models on one vector column and each model's mean PR-AUC."""
-    # a fold's fit sees four fifths of the rows, and so of the weight in its penalty
-    cands = {n: M.classifier(n, p, n_w * 0.8).setLabelCol("Churn").setFeaturesCol(features)
-             for n, p in M.CHURN_MODELS.items()}
-    folds = M.cross_validate(rows, cands).persist()
-    return folds, {r["model"]: r["pr_auc_mean"] for r in M.cv_summary(folds).collect()}              # 3 rows
-
-
-def _best(scores):
-    return max(scores, key=lambda n: (scores[n], n))
-
-
-def _pca_run_impl(spark, sf) -> dict:
-    """The three models on PCA components; the best pair of model and features (raw wins a tie)."""
-    key = _fingerprint(sf)
-    if key in _PCA:
-        return _PCA[key]
-    r = cv_run(spark, sf)
-    pca, explained = M.pca_fit(r["train"], "features", len(r["feats"]))
-    ptrain = pca.transform(r["train"]).persist(StorageLevel.MEMORY_AND_DISK)
-    _, reduced = _fold_scores(ptrain, r["n_w"], "pca")
-    use_pca = reduced[_best(reduced)] > r["raw"][r["best_name"]]
-    _PCA[key] = r | dict(pca=pca, explained=explained, ptrain=ptrain, reduced=reduced, use_pca=use_pca,
-                         best_name=_best(reduced) if use_pca else r["best_name"])
-    return _PCA[key]
-
-
-def _tuned(spark) -> bool:
-    """``custaris.model.tune`` (default true): false keeps the stated parameters and raw features in the final fits."""
-    return spark.conf.get("custaris.model.tune", "true").lower() == "true"
-
-
-def _tuning_run_impl(spark, sf) -> dict:
-    """M12-M14 for the model and the features chosen by M10 and M11: grid and random search."""
-    key = _fingerprint(sf)
-    if key in _TUNE:
-        return _TUNE[key]
-    r = pca_run(spark, sf)
-    best_name, n_w = r["best_name"], r["n_w"]
-    rows, features = (r["ptrain"], "pca") if r["use_pca"] else (r["train"], "features")
-    _TUNE[key] = dict(best_name=best_name, **_both_tuners(
-        lambda points: M.search(rows, best_name, points, n_w * 0.8, features=features),
-        M.GRIDS[best_name], M.SEARCH_SPACES[best_name]))
-    return _TUNE[key]
-
-
-def _both_tuners(search, grid, space) -> dict:
-    """Both searches side by side; the random one wins only with a higher score."""
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        g = pool.submit(search, M._grid_points(grid))
-        q = pool.submit(search, M.random_points(space, N_RANDOM_TRIALS))
-        (grid_res, grid_best), (rnd_res, rnd_best) = g.result(), q.result()
-    tuner = "random" if max(s for _, s in rnd_res) > max(s for _, s in grid_res) else "grid"
-    return dict(grid=grid_res, random=rnd_res, tuner=tuner, params=rnd_best if tuner == "random" else grid_best)
-
-
-def _churn_run_impl(spark, sf) -> dict:
-    """Final fit with the tuned parameters on the fit rows; isotonic calibration
-    and F2 threshold on the calibration rows."""
-    tune = _tuned(spark)
-    key = _fingerprint(sf), tune
-    if key in _CHURN:
-        return _CHURN[key]
-    r = pca_run(spark, sf) if tune else cv_run(spark, sf)
-    best_name = r["best_name"]
-    params = tuning_run(spark, sf)["params"] if tune else M.CHURN_MODELS[best_name]
-    train, test, use_pca = r["train"], r["test"], r["use_pca"]
-    fit_rows = (r["ptrain"] if use_pca else train).where(F.col("calib_split") == "train")
-    cal_rows = train.where(F.col("calib_split") == "test")
-    fit_w = float(fit_rows.agg(F.sum("weight")).first()[0])
-    model = M.classifier(best_name, params, fit_w).setLabelCol("Churn") \
-        .setFeaturesCol("pca" if use_pca else "features").fit(fit_rows)
-    if use_pca:
-        model = M.PipelineModel(stages=[r["pca"], model])
-    cal_pred = M.positive_probability(model.transform(cal_rows))
-    iso = M.fit_isotonic(cal_pred)
-    cal_scored = iso.transform(cal_pred)
-    thr_row = X.f2_threshold(cal_scored, "Churn", "p_cal", THRESHOLD_FLOOR).first()
-    threshold = float(thr_row["threshold"])
-
-    def predicted(rows):
-        return iso.transform(M.positive_probability(model.transform(rows))) \
-            .withColumn("prediction_cal", (F.col("p_cal") >= threshold).cast("int"))
-
-    _CHURN[key] = r | dict(params=params, model=model, iso=iso, threshold=threshold, cal_scored=cal_scored,
-                           train_pred=predicted(train), test_pred=predicted(test))
-    return _CHURN[key]
-
-
 @register("m10_cv_fold_metrics")
 def m10f(spark, sf):
     """M1-M3 + M10: per model and fold PR-AUC, ROC-AUC, F1, recall (hash folds)."""
-    return finish(cv_run(spark, sf)["folds"])
+    return finish(T.churn_folds(spark, sf))
 
 
 @register("m10_cv_summary")
 def m10(spark, sf):
     """Mean and population std over the five folds per model."""
-    return finish(cv_run(spark, sf)["summary"])
+    return finish(M.cv_summary(T.churn_folds(spark, sf)))
 
 
 @register("m11_raw_vs_pca")
 def m11(spark, sf):
     """Mean PR-AUC of every model on raw features and on PCA components; ``chosen`` marks the pair that goes on."""
-    r = pca_run(spark, sf)
-    kind = "pca" if r["use_pca"] else "raw"
+    c = T.churn_choice(spark, sf, True)
+    kind, k = "pca" if c["use_pca"] else "raw", T.churn_pca(spark, sf)[0].getK()
     return finish(spark.createDataFrame(
-        [(n, float(r["raw"][n]), float(r["reduced"][n]), int(r["pca"].getK()), kind if n == r["best_name"] else None)
-         for n in M.CHURN_MODELS],
+        [(n, float(c["raw"][n]), float(c["reduced"][n]), int(k), kind if n == c["model"] else None) for n in M.CHURN_MODELS],
         "model string, pr_auc_raw double, pr_auc_pca double, pca_components int, chosen string"))
 
 
 @register("f27_explained_variance")
 def f27(spark, sf):
     """explained variance ratio and cumulative share of the first ≤ 40 components."""
-    ev = pca_run(spark, sf)["explained"]
+    ev = T.churn_pca(spark, sf)[1]
     rows, cum = [], 0.0
     for i, v in enumerate(ev[:40]):
         cum += v
@@ -199,19 +62,19 @@ def _trials(res, tuner):
 
 @register("m12_grid_search")
 def m12(spark, sf):
-    r = tuning_run(spark, sf)
+    r = T.churn_trials(spark, sf)
     return finish(spark.createDataFrame(_trials(r["grid"], "grid"), "tuner string, trial int, params string, pr_auc double"))
 
 
 @register("m13_random_search")
 def m13(spark, sf):
-    r = tuning_run(spark, sf)
+    r = T.churn_trials(spark, sf)
     return finish(spark.createDataFrame(_trials(r["random"], "random"), "tuner string, trial int, params string, pr_auc double"))
 
 
 @register("m14_tuner_choice")
 def m14(spark, sf):
-    r = tuning_run(spark, sf)
+    r = T.churn_trials(spark, sf)
     g = max(s for _, s in r["grid"])
     q = max(s for _, s in r["random"])
     return finish(spark.createDataFrame([(r["best_name"], g, q, r["tuner"], str(sorted(r["params"].items())))],
@@ -221,7 +84,7 @@ def m14(spark, sf):
 @register("m09_calibration_moments")
 def m09(spark, sf):
     """M9 + X14: probability mean/std before and after isotonic calibration (test rows)."""
-    t = churn_run(spark, sf)["test_pred"]
+    t = T.churn_run(spark, sf).test()
     return finish(t.agg(F.avg("p").alias("mean_before"), F.stddev_pop("p").alias("std_before"),
                         F.avg("p_cal").alias("mean_after"), F.stddev_pop("p_cal").alias("std_after")))
 
@@ -229,156 +92,134 @@ def m09(spark, sf):
 @register("x07_model_f2_threshold")
 def x07m(spark, sf):
     """X7 on the calibration rows (not the test rows) for the final, tuned model."""
-    r = churn_run(spark, sf)
-    return finish(X.f2_threshold(r["cal_scored"], "Churn", "p_cal", THRESHOLD_FLOOR))
+    return finish(X.f2_threshold(T.churn_run(spark, sf).calibration(), "Churn", "p_cal", T.THRESHOLD_FLOOR))
 
 
 @register("x01_x05_model_test_metrics")
 def xtest(spark, sf):
     """X1-X5 of the calibrated model on the test rows at the tuned threshold."""
-    r = churn_run(spark, sf)
-    t = r["test_pred"]
+    r = T.churn_run(spark, sf)
+    t = r.test()
     auc = X.roc_auc(t, "Churn", "p_cal").select("auc").scalar()
     ap = X.pr_areas(t, "Churn", "p_cal")
-    cm = X.prf(X.threshold_counts(t, "Churn", "p_cal", r["threshold"]))
-    return finish(cm.crossJoin(ap).withColumn("auc", auc).withColumn("threshold", F.lit(r["threshold"])))
+    cm = X.prf(X.threshold_counts(t, "Churn", "p_cal", r.threshold))
+    return finish(cm.crossJoin(ap).withColumn("auc", auc).withColumn("threshold", F.lit(r.threshold)))
 
 
 @register("x08_model_calibration_curve")
 def x08m(spark, sf):
-    t = churn_run(spark, sf)["test_pred"]
+    t = T.churn_run(spark, sf).test()
     return finish(X.calibration_curve(t, "Churn", "p").withColumn("stage", F.lit("before")).unionByName(
         X.calibration_curve(t, "Churn", "p_cal").withColumn("stage", F.lit("after"))))
 
 
 @register("m15_feature_importance")
 def m15(spark, sf):
-    r = churn_run(spark, sf)
-    pairs = M.importances(r["model"], r["feats"], top=20)
+    r = T.churn_run(spark, sf)
+    pairs = M.importances(r.model, r.feats, top=20)
     return finish(spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double"))
 
 
-def _surrogate(spark, sf):
-    r = churn_run(spark, sf)
-    tree = M.surrogate_tree(r["train_pred"].select("features", "prediction_cal"), "prediction_cal", 3)
-    return r, r["test_pred"].select("features", "prediction_cal"), tree
+def _explaining_tree(spark, sf):
+    """M8: tree 0 of a forest, else a depth-3 surrogate of the thresholded calibrated model, fitted on train rows."""
+    r = T.churn_run(spark, sf)
+    features = "pca" if r.use_pca else "features"
+    if r.best_name == "Random Forest":
+        inner = r.model.inner if r.use_pca else r.model
+        return r, T.store(spark, sf).model("forest-tree", r.settings, lambda: inner.inner.trees[0], M.DecisionTreeClassificationModel), features
+    tree = T.store(spark, sf).model("surrogate", r.settings, lambda: M.surrogate_tree(
+        r.train().select("features", "prediction_cal"), "prediction_cal", 3), M.DecisionTreeClassificationModel)
+    return r, tree, "features"
 
 
 @register("m08_surrogate_tree_fidelity")
 def m08(spark, sf):
-    """M8: depth-3 surrogate of the thresholded calibrated model, fitted on train rows; fidelity on test rows."""
-    r, t, tree = _surrogate(spark, sf)
-    p = tree.transform(t)
+    """M8: share of test rows on which the explaining tree agrees with the thresholded calibrated model."""
+    r, tree, _ = _explaining_tree(spark, sf)
+    t = r.test().select("features", "prediction_cal")
+    p = tree.transform(T.churn_pca(spark, sf)[0].transform(t) if tree.getFeaturesCol() == "pca" else t)
     return finish(p.agg(F.avg((F.col("prediction") == F.col("prediction_cal")).cast("double")).alias("fidelity"),
                         F.count("*").cast("long").alias("n")))
 
 
+def _tree_nodes(spark, sf):
+    """Node table of the explaining tree, thresholds in scaled and original units, and its root-to-node conditions."""
+    r, tree, features = _explaining_tree(spark, sf)
+    path = T.store(spark, sf).path("surrogate" if features == "features" and r.best_name != "Random Forest" else "forest-tree", r.settings)
+    names = r.feats if features == "features" else [f"pca_{i}" for i in range(T.churn_pca(spark, sf)[0].getK())]
+    return r, tree, features, R.nodes(spark, path, names, r.prep.scale_mean, r.prep.scale_std)
+
+
 @register("m16_tree_rules")
 def m16(spark, sf):
-    """Surrogate tree nodes with split features, thresholds in scaled and
+    """The tree's nodes with split features, thresholds in scaled and
     original units (x·std + mean), class weights and majority label."""
-    r, t, tree = _surrogate(spark, sf)
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    nodes = M.tree_nodes(spark, tree, r["feats"], f"{root}/custaris-tree-{_fingerprint(sf)}")
-    prep = r["prep"]
-    mean = F.create_map(*[x for k, v in prep.scale_mean.items() for x in (F.lit(k), F.lit(v))])
-    std = F.create_map(*[x for k, v in prep.scale_std.items() for x in (F.lit(k), F.lit(v))])
-    orig = F.col("threshold") * F.try_element_at(std, F.col("feature")) + F.try_element_at(mean, F.col("feature"))
-    return finish(nodes.select("id", "feature", "threshold", orig.alias("threshold_original"),
-                               "leftChild", "rightChild", "prediction",
+    _, _, _, nodes = _tree_nodes(spark, sf)
+    return finish(nodes.select("id", "feature", "threshold", "threshold_original", "leftChild", "rightChild", "prediction",
                                F.when(F.col("prediction") == 1, "Churn").otherwise("Fidèle").alias("majority"),
-                               F.col("class_weights")[0].alias("weight_class0"),
-                               F.col("class_weights")[1].alias("weight_class1")))
+                               "weight_class0", "weight_class1"))
+
+
+@register("m16_rule_text")
+def m16t(spark, sf):
+    """One rule a leaf (conditions from the root, class counts of the train rows routed there), written and read as text."""
+    r, tree, features, nodes = _tree_nodes(spark, sf)
+    rows = r.train().select("features", "Churn")
+    rows = T.churn_pca(spark, sf)[0].transform(rows) if features == "pca" else rows
+    rules = R.leaf_rules(spark, nodes, R.leaf_counts(rows, nodes, features, "Churn"))
+    path = f"{T.store(spark, sf).base}/rule-text"
+    return R.write_rules(rules, path)
+
+
+def _leak_forest(spark, sf):
+    """Importances of the 50-tree, depth-5 forest of the leak check."""
+    got = T.store(spark, sf).value("leak-forest", {"trees": 50, "depth": 5}, lambda: M.ForestModel(M.RandomForestClassifier(
+        numTrees=50, maxDepth=5, seed=42, labelCol="Churn").fit(T.train_rows(spark, sf))).importances())
+    return sorted(zip(T.prepared(spark, sf).features, got), key=lambda t: (-t[1], t[0]))
 
 
 @register("c09_forest_importance_check")
 def c09(spark, sf):
     """50-tree depth-5 forest importances; dominant feature warning above 0.30."""
-    r = churn_run(spark, sf)
-    rf = M.RandomForestClassifier(numTrees=50, maxDepth=5, seed=42, labelCol="Churn").fit(r["train"])
-    pairs = M.importances(rf, r["feats"])
+    pairs = _leak_forest(spark, sf)
     df = spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double")
     return finish(df.withColumn("dominant", F.col("importance") > 0.30))
 
 
 def _target_corr(spark, sf):
-    r = churn_run(spark, sf)
-    return r, A.target_correlations(r["train"], r["feats"], "Churn")
+    feats = T.prepared(spark, sf).features
+    return feats, A.target_correlations(T.train_rows(spark, sf), feats, "Churn")
 
 
 @register("c08_suspect_check")
 def c08(spark, sf):
     """Named one-hot suspects (or the first three columns sharing their base name)."""
-    r, tc = _target_corr(spark, sf)
-    return finish(A.suspect_check(tc, r["feats"], SUSPECTS))
+    feats, tc = _target_corr(spark, sf)
+    return finish(A.suspect_check(tc, feats, SUSPECTS))
 
 
 @register("c10_recommended_drops")
 def c10(spark, sf):
     """High-tier ∪ leaky suspect variants ∪ dominant-importance variants, sorted."""
-    r, tc = _target_corr(spark, sf)
-    tiers = A.leak_tiers(tc)
-    sus = A.suspect_check(tc, r["feats"], SUSPECTS)
-    rf = M.RandomForestClassifier(numTrees=50, maxDepth=5, seed=42, labelCol="Churn").fit(r["train"])
-    imp = spark.createDataFrame([(f, float(v)) for f, v in M.importances(rf, r["feats"])],
-                                "feature string, importance double")
-    return A.recommended_drops(tiers, sus, r["feats"], imp)
+    feats, tc = _target_corr(spark, sf)
+    imp = spark.createDataFrame([(f, float(v)) for f, v in _leak_forest(spark, sf)], "feature string, importance double")
+    return A.recommended_drops(A.leak_tiers(tc), A.suspect_check(tc, feats, SUSPECTS), feats, imp)
 
 
 @register("d04_drift_top_features")
 def d04(spark, sf):
     """KS drift (train vs test) on the top-15 important features, the target and the prediction."""
-    r = churn_run(spark, sf)
-    top = [f for f, _ in M.importances(r["model"], r["feats"], top=15)]
-    tr = M.positive_probability(r["model"].transform(r["train"])).select(*top, "Churn", F.col("p").alias("prediction"),
-                                                                          F.lit("train").alias("side"))
-    te = r["test_pred"].select(*top, "Churn", F.col("p").alias("prediction"), F.lit("test").alias("side"))
-    return finish(D.ks_statistics(tr.unionByName(te), "side", [*top, "Churn", "prediction"], ref="train", cur="test"))
+    r = T.churn_run(spark, sf)
+    top = [f for f, _ in M.importances(r.model, r.feats, top=15)]
+    both = r.scored().select(*top, "Churn", F.col("p").alias("prediction"), F.col("split").alias("side"))
+    return finish(D.ks_statistics(both, "side", [*top, "Churn", "prediction"], ref="train", cur="test"))
 
 
 # ------------------------------------------------------------------ revenue (M4-M6)
-# fixed values: columns derived from the revenue target
-REVENUE_DROP = ["MonetaryTotal", "AvgBasketValue", "RevenueIndex", "MonetaryAvg", "MonetaryMax"]
-
-
-def _revenue_run_impl(spark, sf) -> dict:
-    tune = _tuned(spark)
-    key = _fingerprint(sf), tune
-    if key in _REV:
-        return _REV[key]
-    df, prep = _prepared(spark, sf)
-    raw = df.select("CustomerID", F.col("MonetaryTotal").alias("target_raw"))
-    x = E.hash_folds(prep.transform(df, keep=["split"]).join(raw, "CustomerID"), "CustomerID")
-    x, cap = FE.cap_at_quantile(x, "target_raw", F.col("split") == "train", 0.99, out="target_capped")  # F28
-    x = x.withColumn("label", F.log1p(F.greatest(F.col("target_capped"), F.lit(0.0))))
-    feats = [f for f in prep.features if f not in REVENUE_DROP]
-    vec = M.assemble(x, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
-    n = float(train.count())
-    train = M.size_partitions(train, int(n), len(feats)).persist(StorageLevel.MEMORY_AND_DISK)
-    ystd = float(train.agg(F.stddev_pop("label")).first()[0])
-    specs = {"Ridge": {"alpha": 1.0}, "Random Forest": {"n_estimators": 200, "max_depth": 8},
-             "Gradient Boosting": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8}}
-    # a fold's fit sees four fifths of the rows in its penalty
-    cv = M.regression_folds(train, {m: M.regressor(m, p, n * 0.8, ystd) for m, p in specs.items()}).persist()
-    summ = cv.groupBy("model").agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
-                                   F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
-    best = max(summ.collect(), key=lambda r: (r["r2_mean"], r["model"]))["model"]
-    tuned = _both_tuners(lambda points: M.search_regression(train, best, points, n * 0.8, ystd),
-                         M.REVENUE_GRIDS[best], M.REVENUE_SEARCH_SPACES[best]) if tune else dict(params=specs[best])
-    model = M.regressor(best, tuned["params"], n, ystd).fit(train)
-    tp = model.transform(test).withColumn("pred_raw", F.expm1(F.greatest(F.col("prediction"), F.lit(0.0))))
-    res = dict(prep=prep, cap=cap, cv=cv, summary=summ, best=best, model=model, test_pred=tp, feats=feats, tuned=tuned)
-    _REV[key] = res
-    return res
-
-
 @register("m12_m14_revenue_tuning")
 def m12r(spark, sf):
     """M12-M14 for revenue: mean R2 of every grid and random trial of the chosen model; ``chosen`` marks the final one."""
-    t = revenue_run(spark, sf)["tuned"]
-    if "grid" not in t:
-        raise ValueError("custaris.model.tune is false: no trials were run")
+    t = T.revenue_trials(spark, sf)
     rows = _trials(t["grid"], "grid") + _trials(t["random"], "random")
     picked = str(sorted(t["params"].items()))
     return finish(spark.createDataFrame([(*r, r[0] == t["tuner"] and r[2] == picked) for r in rows],
@@ -388,62 +229,33 @@ def m12r(spark, sf):
 @register("m04_m06_revenue_cv")
 def m04(spark, sf):
     """M4-M6 + M10 (regression): 5-fold R² and MAE of ridge, forest and boosting (log target)."""
-    return finish(revenue_run(spark, sf)["summary"])
+    return finish(T.revenue_folds(spark, sf).groupBy("model").agg(
+        F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
+        F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std")))
 
 
 @register("f28_revenue_cap")
 def f28(spark, sf):
     """train p99 cap and the number of rows above it per split."""
-    r = revenue_run(spark, sf)
-    df = _prepared(spark, sf)[0]
-    return finish(df.groupBy("split").agg(F.count_if(F.col("MonetaryTotal") > r["cap"]).cast("long").alias("n_above_cap"),
-                                          F.count("*").cast("long").alias("n"))
-                  .withColumn("cap", F.lit(float(r["cap"]))))
+    cap = T.revenue_cap(spark, sf)
+    return finish(T.split_customers(spark, sf).groupBy("split").agg(
+        F.count_if(F.col("MonetaryTotal") > cap).cast("long").alias("n_above_cap"), F.count("*").cast("long").alias("n"))
+        .withColumn("cap", F.lit(cap)))
 
 
 @register("x09_model_revenue_metrics")
 def x09m(spark, sf):
     """X9/X12 for the chosen revenue model: capped, uncapped and log scale on test."""
-    r = revenue_run(spark, sf)
-    t = r["test_pred"].withColumn("target_log", F.col("label"))
+    r = T.revenue_run(spark, sf)
+    t = r.test().withColumn("target_log", F.col("label"))
     parts = [X.regression_metrics(t, a, p).select(F.lit(s).alias("scale"), "*")
              for a, p, s in [("target_capped", "pred_raw", "capped"), ("target_raw", "pred_raw", "uncapped"),
                              ("target_log", "prediction", "log")]]
-    return finish(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("model", F.lit(r["best"])))
+    return finish(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("model", F.lit(r.best_name)))
 
 
 @register("m15_revenue_importance")
 def m15r(spark, sf):
-    r = revenue_run(spark, sf)
-    pairs = M.importances(r["model"], r["feats"], top=20)
+    r = T.revenue_run(spark, sf)
+    pairs = M.importances(r.model, r.feats, top=20)
     return finish(spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double"))
-
-
-def churn_run(spark, sf):
-    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
-    with _RUN_LOCK:
-        return _churn_run_impl(spark, sf)
-
-
-def cv_run(spark, sf):
-    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
-    with _RUN_LOCK:
-        return _cv_run_impl(spark, sf)
-
-
-def pca_run(spark, sf):
-    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
-    with _RUN_LOCK:
-        return _pca_run_impl(spark, sf)
-
-
-def tuning_run(spark, sf):
-    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
-    with _RUN_LOCK:
-        return _tuning_run_impl(spark, sf)
-
-
-def revenue_run(spark, sf):
-    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
-    with _RUN_LOCK:
-        return _revenue_run_impl(spark, sf)

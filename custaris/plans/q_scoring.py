@@ -9,7 +9,7 @@ from ..operators import models as M
 from ..sources import requests as RQ
 from ..streaming import scoring as ST
 from .catalog import c360, finish, register
-from .q_models import churn_run, revenue_run
+from .training import churn_run, revenue_run
 
 
 def score_batch(spark, sf, rows, keep=()):
@@ -41,13 +41,12 @@ def r02(spark, sf):
 def r05(spark, sf):
     """Revenue model → expm1(max(pred, 0)), high-spender flag (> cap), tier."""
     r = revenue_run(spark, sf)
-    x = r["prep"].transform(c360(spark, sf))
-    p = r["model"].transform(M.assemble(x, r["feats"]))
-    cap = float(r["cap"])
+    x = r.prep.transform(c360(spark, sf))
+    p = r.model.score(M.assemble(x, r.feats), "prediction")
     rev = F.expm1(F.greatest(F.col("prediction"), F.lit(0.0)))
     return finish(p.select("CustomerID", F.bround(rev, 2).alias("predicted_revenue"),
-                           (rev > cap).alias("high_spender"),
-                           SF.revenue_tier(rev, F.lit(cap)).alias("tier")))
+                           (rev > r.cap).alias("high_spender"),
+                           SF.revenue_tier(rev, F.lit(r.cap)).alias("tier")))
 
 
 @register("r08_stream_scoring")
@@ -68,12 +67,12 @@ def r04(spark, sf):
     """Churn result plus the customer's segment from the K-Means model (unknown id → 'Segment i')."""
     from . import q_segment as QS
     from ..operators import segment as SG
-    prep, cols, _, models, _, _, _, k, _ = QS.run(spark, sf)
+    seg = QS.segments(spark, sf)
     names = QS._names(spark, sf)
     rows = c360(spark, sf)
     # the segment model first, the raw row carried along; the churn model then reads the same rows
-    feats = prep.transform(rows.withColumn("raw", F.struct(*rows.columns)), keep=["raw"]).fillna(0.0, subset=cols)
-    clus = models[k].transform(SG.assemble(feats, cols)).select("raw.*", "Cluster")
+    feats = seg.prep.transform(rows.withColumn("raw", F.struct(*rows.columns)), keep=["raw"]).fillna(0.0, subset=seg.cols)
+    clus = seg.model.transform(SG.assemble(feats, seg.cols)).select("raw.*", "Cluster")
     churn = score_batch(spark, sf, clus, keep=["Cluster"])
     named = SG.assign_names(churn, names).withColumn(
         "ClusterName", F.coalesce("ClusterName", F.concat(F.lit("Segment "), F.col("Cluster").cast("string"))))
@@ -89,12 +88,12 @@ def r06(spark, sf):
     shown = ["Frequency", "MonetaryTotal", "EngagementScore"]
     rows = c360(spark, sf)
     # one transform for both models (they share the fitted transform)
-    x = r["prep"].transform(rows.withColumn("received", F.struct(*received)), keep=["received"])
-    p = r["iso"].transform(M.positive_probability(r["model"].transform(M.assemble(x, r["feats"]))))
+    x = r.prep.transform(rows.withColumn("received", F.struct(*received)), keep=["received"])
+    p = r.score(M.assemble(x, r.feats))
     churn = p.select(*x.columns, F.bround("p_cal", 4).alias("probability"),
-                     SF.churn_label((F.col("p_cal") >= r["threshold"]).cast("int")).alias("label"))
-    both = rv["model"].transform(M.assemble(churn, rv["feats"]))
+                     SF.churn_label(F.col("prediction_cal")).alias("label"))
+    both = rv.model.score(M.assemble(churn, rv.feats), "prediction")
     rev = F.expm1(F.greatest(F.col("prediction"), F.lit(0.0)))
     return finish(both.select("CustomerID", "received.*", *[F.col(c).alias(f"{c}_scaled") for c in shown],
                               "probability", "label", F.bround(rev, 2).alias("predicted_revenue"),
-                              SF.revenue_tier(rev, F.lit(float(rv["cap"]))).alias("tier")))
+                              SF.revenue_tier(rev, F.lit(rv.cap)).alias("tier")))

@@ -1,82 +1,109 @@
 """Registered segmentation queries.
 
-One segmentation run per input (K scan, silhouette scan, final model) is
-kept for the session, like the reference's fitted-model cache; each query
-then runs its own Spark aggregation over the assigned customers.
+The stages (K scan, silhouettes, assigned rows) are kept in the model store,
+like the reference's fitted-model cache; each query asks for the ones it
+shows and runs its own Spark aggregation over the assigned customers.
 """
 
 from __future__ import annotations
 
-import threading
-
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
-from ..operators import segment as SG
+from ..operators import kmeans as KM
 from ..operators import models as M
-from ..operators import split as E
-from .catalog import _fingerprint, c360, finish, register
-
-_RUN_LOCK = threading.RLock()
-_RUNS: dict[str, tuple] = {}
-K_SCAN = range(2, 11)
-SIL_SCAN = range(2, 8)
-
-
-def prepared(spark, sf):
-    """Train+test rows through the fitted R1 transform (fit on train only)."""
-    df = E.hash_split(c360(spark, sf), "CustomerID")
-    prep = FE.fit_prep(df, F.col("split") == "train", passthrough=["split"])
-    return prep, prep.transform(df, keep=["split"])
-
-
-def _run_impl(spark, sf):
-    key = _fingerprint(sf)
-    if key in _RUNS:
-        return _RUNS[key]
-    prep, x = prepared(spark, sf)
-    cols = [c for c in SG.CLUSTERING_FEATURES if c in prep.features]
-    x = x.fillna(0.0, subset=cols)
-    x = FE.drop_z_outliers(x, cols, 4.0)                        # F29
-    vec = SG.assemble(x, cols)
-    vec = M.size_partitions(vec, vec.count(), len(cols)).persist(StorageLevel.MEMORY_AND_DISK)
-    models, inertias, sils = {}, {}, {}
-    for k in K_SCAN:
-        m = SG.fit_kmeans(vec, k, seeds=tuple(range(42, 52)))
-        models[k], inertias[k] = m, float(m.summary.trainingCost)
-        if k in SIL_SCAN:
-            sils[k] = SG.silhouette_squared(m.transform(vec))
-    _, elbow_k = SG.elbow(spark, inertias)
-    k = SG.final_k(elbow_k, sils)
-    model = models[k]
-    assigned = model.transform(vec)
-    res = (prep, cols, vec, models, inertias, sils, elbow_k, k, assigned)
-    _RUNS[key] = res
-    return res
+from ..operators import segment as SG
+from . import training as T
+from .catalog import c360, finish, register
+
+K_SCAN = list(range(2, 11))
+SIL_SCAN = list(range(2, 8))
+SEEDS = list(range(42, 52))
+
+
+class Segments:
+    """Stages of the segmentation of one input."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf, self.store = spark, sf, T.store(spark, sf)
+        self.prep = T.prepared(spark, sf)
+        self.cols = [c for c in SG.CLUSTERING_FEATURES if c in self.prep.features]
+        self.scan = {"ks": K_SCAN, "seeds": SEEDS, "sil": SIL_SCAN}
+
+    def rows(self):
+        """Customers within 4 standard deviations (F29), nulls as 0 (F30), with the clustering features as a vector."""
+        def build():
+            x = T.feature_rows(self.spark, self.sf).select("CustomerID", "Churn", *self.cols).fillna(0.0, subset=self.cols)
+            x = SG.assemble(FE.drop_z_outliers(x, self.cols, 4.0), self.cols)
+            return x.repartition(M.parts_for(x.count(), len(self.cols)), "CustomerID")
+        return self.store.table("segment-rows", {"z": 4.0}, build)
+
+    @property
+    def models(self) -> dict[int, KM.Centers]:
+        """The best of ten starts for every K."""
+        got = self.store.value("kmeans", self.scan, lambda: [[k, m.to_dict()] for k, m in KM.fit_many(
+            self.rows(), K_SCAN, "CustomerID", SEEDS).items()])
+        return {int(k): KM.Centers.from_dict(m) for k, m in got}
+
+    @property
+    def inertias(self) -> dict[int, float]:
+        return {k: m.cost for k, m in self.models.items()}
+
+    def sample(self):
+        return self.store.table("silhouette-sample", {"rows": SG.SAMPLE_ROWS}, lambda: SG.silhouette_sample(self.rows(), "CustomerID"))
+
+    @property
+    def silhouettes(self) -> dict[int, float]:
+        """Mean silhouette of the sample's rows within the sample, by K."""
+        def build():
+            out = []
+            for k in SIL_SCAN:
+                at = self.models[k].transform(self.sample())
+                s = SG.silhouette_per_row(at, at, "CustomerID").agg(F.avg("silhouette")).first()[0]
+                out.append([k, float(s or 0.0)])
+            return out
+        return {int(k): v for k, v in self.store.value("silhouettes", self.scan, build)}
+
+    @property
+    def elbow_k(self) -> int:
+        return SG.elbow(self.spark, self.inertias)[1]
+
+    @property
+    def k(self) -> int:
+        return SG.final_k(self.elbow_k, self.silhouettes)
+
+    @property
+    def model(self) -> KM.Centers:
+        return self.models[self.k]
+
+    def assigned(self):
+        return self.store.table("segments", {**self.scan, "k": self.k}, lambda: self.model.transform(self.rows()))
+
+
+def segments(spark, sf) -> Segments:
+    return Segments(spark, sf)
 
 
 @register("m07_kmeans_centers")
 def m07(spark, sf):
     """M7: centres of the final K-Means model (long: cluster, feature, centre) and its cost."""
-    prep, cols, vec, models, inertias, sils, elbow_k, k, assigned = run(spark, sf)
-    m = models[k]
-    rows = [(i, c, float(v)) for i, ctr in enumerate(m.clusterCenters()) for c, v in zip(cols, ctr)]
+    s = segments(spark, sf)
+    m = s.model
+    rows = [(i, c, float(v)) for i, ctr in enumerate(m.clusterCenters()) for c, v in zip(s.cols, ctr)]
     return finish(spark.createDataFrame(rows, "Cluster int, feature string, center double")
-                  .withColumn("training_cost", F.lit(inertias[k])))
+                  .withColumn("training_cost", F.lit(m.cost)))
 
 
 @register("m17_elbow")
 def m17(spark, sf):
     """Inertia for K = 2..10 and the elbow K."""
-    _, _, _, _, inertias, _, _, _, _ = run(spark, sf)
-    return finish(SG.elbow(spark, inertias)[0])
+    return finish(SG.elbow(spark, segments(spark, sf).inertias)[0])
 
 
 @register("m18_silhouette_by_k")
 def m18(spark, sf):
-    """Mean squared-Euclidean silhouette for K = 2..7."""
-    _, _, _, _, _, sils, _, k, _ = run(spark, sf)
+    """Mean Euclidean silhouette on the sample for K = 2..7."""
+    sils = segments(spark, sf).silhouettes
     best = max(sils, key=sils.get)
     return finish(spark.createDataFrame([(kk, v, kk == best) for kk, v in sorted(sils.items())],
                                         "k int, silhouette double, is_best boolean"))
@@ -84,9 +111,9 @@ def m18(spark, sf):
 
 @register("m19_silhouette_per_cluster")
 def m19(spark, sf):
-    """Per-row silhouette (squared Euclidean), distribution per cluster."""
-    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
-    s = SG.silhouette_per_row(assigned)
+    """Euclidean silhouette of every row by its distances to the sample, distribution per cluster."""
+    seg = segments(spark, sf)
+    s = SG.silhouette_per_row(seg.assigned(), seg.model.transform(seg.sample()), "CustomerID")
     return finish(s.groupBy("Cluster").agg(F.count("*").cast("long").alias("n"), F.avg("silhouette").alias("mean"),
                                            F.min("silhouette").alias("min"), F.max("silhouette").alias("max"),
                                            F.count_if(F.col("silhouette") < 0).cast("long").alias("n_negative")))
@@ -95,21 +122,22 @@ def m19(spark, sf):
 @register("m20_final_k")
 def m20(spark, sf):
     """The K choice rule over the elbow and silhouette tables."""
-    _, _, _, _, _, sils, elbow_k, k, _ = run(spark, sf)
+    seg = segments(spark, sf)
+    sils = seg.silhouettes
     best = max(sils, key=sils.get)
-    return finish(spark.createDataFrame([(elbow_k, best, sils[best], k)],
+    return finish(spark.createDataFrame([(seg.elbow_k, best, sils[best], seg.k)],
                                         "elbow_k int, best_silhouette_k int, max_silhouette double, final_k int"))
 
 
 @register("m21_cluster_sizes")
 def m21(spark, sf):
-    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    assigned = segments(spark, sf).assigned()
     return finish(SG.cluster_sizes(assigned))
 
 
 def _profile(spark, sf):
-    prep, cols, _, _, _, _, _, _, assigned = run(spark, sf)
-    return SG.profile(assigned, cols, "Churn", prep.scale_mean, prep.scale_std)
+    s = segments(spark, sf)
+    return SG.profile(s.assigned(), s.cols, "Churn", s.prep.scale_mean, s.prep.scale_std)
 
 
 @register("m22_cluster_profile")
@@ -120,7 +148,7 @@ def m22(spark, sf):
 
 @register("m23_churn_by_cluster")
 def m23(spark, sf):
-    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    assigned = segments(spark, sf).assigned()
     return finish(SG.churn_by_cluster(assigned, "Churn"))
 
 
@@ -142,7 +170,7 @@ def m24(spark, sf):
 @register("m25_cluster_assignments")
 def m25(spark, sf):
     """Every kept customer with its cluster id, name and churn label."""
-    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    assigned = segments(spark, sf).assigned()
     named = SG.assign_names(assigned, _names(spark, sf))
     return named.select("CustomerID", "Cluster", "ClusterName", "Churn")
 
@@ -150,7 +178,7 @@ def m25(spark, sf):
 @register("m26_legacy_cluster_names")
 def m26(spark, sf):
     """Legacy naming from churn % and mean recency (raw days) per cluster."""
-    _, _, _, _, _, _, _, _, assigned = run(spark, sf)
+    assigned = segments(spark, sf).assigned()
     raw = c360(spark, sf).select("CustomerID", "Recency")
     g = assigned.join(raw, "CustomerID").groupBy("Cluster").agg(
         (F.avg(F.col("Churn").cast("double")) * 100).alias("churn_pct"),
@@ -176,16 +204,9 @@ def f37(spark, sf):
 @register("f26_pca_projection_2d")
 def f26(spark, sf):
     """2-D PCA projection of the clustered customers with cluster and churn, plus PC1/PC2 variance share."""
-    from ..operators import models as M
-    _, _, vec, _, _, _, _, _, assigned = run(spark, sf)
+    assigned = segments(spark, sf).assigned()
     model, ev = M.pca_fit(assigned, "features", 2, threshold=2.0)
     from pyspark.ml.functions import vector_to_array
     pts = model.transform(assigned).select("CustomerID", "Cluster", "Churn", vector_to_array("pca").alias("pc"))
     return finish(pts.select("CustomerID", "Cluster", "Churn", F.col("pc")[0].alias("PC1"), F.col("pc")[1].alias("PC2"))
                   .withColumn("pc1_var_pct", F.lit(float(ev[0]) * 100)).withColumn("pc2_var_pct", F.lit(float(ev[1]) * 100)))
-
-
-def run(spark, sf):
-    """Locked, memoised wrapper (one run per input even under concurrent queries)."""
-    with _RUN_LOCK:
-        return _run_impl(spark, sf)

@@ -33,18 +33,16 @@ def write_arrivals(df: DataFrame, path: str, n_files: int = 4, key: str = "Custo
     (bodies.repartition(n_files, F.xxhash64("body")).write.mode("overwrite").text(path))
 
 
-def score_rows(rows: DataFrame, run: dict, keep=()) -> DataFrame:
+def score_rows(rows: DataFrame, run, keep=()) -> DataFrame:
     """Raw customer rows → probability (4 digits), prediction, label, risk band, threshold (3 digits)."""
-    x = run["prep"].transform(rows, keep=keep)
-    p = run["iso"].transform(M.positive_probability(run["model"].transform(M.assemble(x, run["feats"]))))
-    thr = run["threshold"]
-    hit = (F.col("p_cal") >= thr).cast("int")
+    p = run.score(M.assemble(run.prep.transform(rows, keep=keep), run.feats))
+    hit = F.col("prediction_cal")
     return p.select("CustomerID", F.bround("p_cal", 4).alias("probability"), hit.alias("prediction"),
                     SF.churn_label(hit).alias("label"), SF.risk_band(F.col("p_cal")).alias("risk_level"),
-                    F.lit(round(thr, 3)).alias("threshold_used"), *keep)
+                    F.lit(round(run.threshold, 3)).alias("threshold_used"), *keep)
 
 
-def score_requests(bodies: DataFrame, run: dict, body_col: str = "body") -> DataFrame:
+def score_requests(bodies: DataFrame, run, body_col: str = "body") -> DataFrame:
     """Request bodies → one result row each.  A body that can't be
     read keeps its row, with null results and the reason in ``error``."""
     scored = score_rows(RQ.parse_requests(bodies, body_col), run, keep=["_corrupt"])
@@ -59,7 +57,7 @@ def write_batch(df: DataFrame, sink: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
 
-def score_stream(spark: SparkSession, sf: str, customers: DataFrame, run: dict, n_files: int = 4) -> DataFrame:
+def score_stream(spark: SparkSession, sf: str, customers: DataFrame, run, n_files: int = 4) -> DataFrame:
     """File stream of requests → micro-batch scoring → Parquet sink (read back)."""
     src, sink, ckpt = (_scratch(spark, t) for t in ("in", "out", "ckpt"))
     write_arrivals(customers, src, n_files)

@@ -52,7 +52,7 @@ def test_separable_rows_and_dependent_columns(spark):
 def test_folds_predict_only_rows_left_out(rows):
     jobs = [L.LogisticJob(t, c, f) for t, c in (("x", 0.1), ("y", 5.0)) for f in range(5)]
     models = L.fit_logistic(rows, jobs)
-    got = L.predict_folds(rows, jobs, models)
+    got = L.predict_folds(rows, {(j.tag, j.leave): m for j, m in zip(jobs, models)})
     assert got.count() == 2 * 600
     by = dict(zip([(j.tag, j.leave) for j in jobs], models))
     one = rows.where("fold = 2")
@@ -81,3 +81,15 @@ def test_a_fold_without_other_rows_is_an_error(spark):
         spark.createDataFrame([(1.0, 1, 1.0, 0)], "a double, Churn int, weight double, fold int"))
     with pytest.raises(ValueError):
         L.fit_logistic(df.where("fold = 9"), [L.LogisticJob("t", 1.0)])
+
+
+def test_penalised_intercept(rows):
+    """The intercept as one more column of ones whose penalty is the others'."""
+    (m,) = L.fit_logistic(rows, [L.LogisticJob("t", 0.01, None, True)])
+    (free,) = L.fit_logistic(rows, [L.LogisticJob("t", 0.01)])
+    assert abs(m.intercept) < abs(free.intercept)
+    x = np.array([[1, *r.features.toArray()] for r in rows.orderBy("a").collect()])
+    y, w = (np.array([r[c] for r in rows.orderBy("a").collect()]) for c in ("Churn", "weight"))
+    b = np.array([m.intercept, *m.coefficients])
+    g = x.T @ (w * (1 / (1 + np.exp(-x @ b)) - y)) + b / 0.01
+    assert np.abs(g).max() < 1e-4
