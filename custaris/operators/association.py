@@ -240,22 +240,55 @@ def gram_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def vif_from_gram(spark, gram: DataFrame, cols: Sequence[str]) -> DataFrame:
     """C7 (part 2): VIF_i = (XᵀX)_ii · ((XᵀX)⁻¹)_ii, uncentred as in OLS without
-    intercept.  The k×k matrix (k ≤ max_features) is the only thing brought to
-    the driver."""
+    intercept; infinite for a column that the others give exactly, null for
+    one that is all zeros.  The k×k matrix (k ≤ max_features) is the only
+    thing brought to the driver."""
     k = len(cols)
     idx = {c: i for i, c in enumerate(cols)}
     g = np.zeros((k, k))
     for r in gram.collect():  # k(k+1)/2 rows, bounded by the feature list
         i, j = idx[r["feature_a"]], idx[r["feature_b"]]
         g[i, j] = g[j, i] = r["xtx"] or 0.0
-    inv = np.linalg.pinv(g)
-    vif = [float(g[i, i] * inv[i, i]) for i in range(k)]
-    pdf = pd.DataFrame({"feature": list(cols), "vif": vif})
-    out = spark.createDataFrame(pdf, "feature string, vif double")
+    vif = inflation(g)
+    out = spark.createDataFrame([(c, v) for c, v in zip(cols, vif)], "feature string, vif double")
     return out.withColumn("severity", F.when(F.col("vif") > 10, "severe").when(F.col("vif") > 5, "moderate")
                           .otherwise("ok")).orderBy(F.desc("vif"))
 
 
+RANK_TOLERANCE = 1e-10     # share of a column's square sum, not explained by the columns before it, that counts as none
+
+
+def inflation(gram: np.ndarray) -> list[float | None]:
+    """Variance inflation of each column of a Gram matrix, by pivoted Cholesky.
+
+    Pivoting takes the column that the taken ones explain least, until none is left that they don't explain; the columns
+    left out, and all those that take part in explaining them, are dependent.
+    """
+    size = np.sqrt(np.diag(gram))
+    own = np.flatnonzero(size > 0)
+    g = gram[np.ix_(own, own)] / np.outer(size[own], size[own])
+    left, taken, rows = np.ones(len(own)), [], np.zeros((0, len(own)))
+    while len(taken) < len(own):
+        rest = left.copy()
+        rest[taken] = -1
+        p = int(rest.argmax())
+        if rest[p] <= RANK_TOLERANCE:
+            break
+        row = (g[p] - rows[:, p] @ rows) / np.sqrt(left[p])
+        rows, left = np.vstack([rows, row]), left - row * row
+        taken.append(p)
+    out: list[float | None] = [None] * len(gram)
+    inverse = np.linalg.inv(g[np.ix_(taken, taken)]) if taken else np.zeros((0, 0))
+    others = [j for j in range(len(own)) if j not in taken]
+    share = np.abs(inverse @ g[np.ix_(taken, others)]) if others else np.zeros((len(taken), 0))
+    for n, j in enumerate(taken):
+        # the columns left out have no part in a column that explains none of them
+        out[own[j]] = float("inf") if (share[n] > 1e-6).any() else float(inverse[n, n])
+    for j in others:
+        out[own[j]] = float("inf")
+    return out
+
+
 def compute_vif(df: DataFrame, cols: Sequence[str], max_features: int | None = None) -> DataFrame:
     cols = list(cols)[:max_features]
     return vif_from_gram(df.sparkSession, gram_matrix(df, cols), cols)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as SF
-from ..functions.numeric import fix_sql, sig_sql
+from ..functions.numeric import fix_sql, sig_col, sig_sql
+from ..operators import density as KD
 from ..operators import profile as P
 from ..operators import ranks as R
 from .catalog import c360, finish, oracle, register
@@ -251,6 +252,18 @@ def p19(spark, sf):
     return finish(c360(spark, sf).select("CustomerID", "Churn", *_SCATTER))
 
 
+# ---------------------------------------------------------------- P16 density
+_DENSE = ["MonetaryTotal", "Frequency", "Recency", "CustomerTenureDays", "ReturnRatio", "UniqueProducts"]
+
+
+@register("p16_kernel_density", oracle(KD.density_sql(_DENSE, "Churn", 1000), "x"))
+def p16(spark, sf):
+    """Kernel density of features per class on 1,000 grid points, in units of one over the range (6 digits)."""
+    d = KD.kernel_density(c360(spark, sf), _DENSE, "Churn")
+    return d.select("feature", "Churn", "point", sig_col(F.col("x")).alias("x"),
+                    F.bround(F.col("density") * F.col("range"), 6).alias("scaled_density"), "n")
+
+
 # ---------------------------------------------------------------- P20 qcut
 @register("p20_qcut_rate_monetary", oracle("""
 WITH e AS (SELECT list_sort(list_distinct(quantile_cont(MonetaryTotal, [0, 0.25, 0.5, 0.75, 1]))) AS edges FROM c360),

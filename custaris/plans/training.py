@@ -256,8 +256,11 @@ def revenue_choice(spark, sf) -> str:
 def revenue_trials(spark, sf) -> dict:
     name = revenue_choice(spark, sf)
     grid, space = M.REVENUE_GRIDS[name], M.REVENUE_SEARCH_SPACES[name]
-    return store(spark, sf).value("revenue-trials", {"model": name, **_spaces(grid, space)}, lambda: both_tuners(
-        lambda points: M.search(_revenue_train(spark, sf), name, points, regression=True), grid, space))
+
+    def build():
+        rows = _revenue_train(spark, sf)
+        return both_tuners(lambda points: M.search(rows, name, points, regression=True), grid, space)
+    return store(spark, sf).value("revenue-trials", {"model": name, **_spaces(grid, space)}, build)
 
 
 class RevenueRun:

@@ -16,9 +16,9 @@ def test_stream_scoring_equals_batch(spark):
 
 
 def test_calibrated_probabilities_monotone_and_bounded(spark):
-    from custaris.plans.q_models import churn_run
+    from custaris.plans.training import churn_run
     r = churn_run(spark, SF)
-    rows = r["test_pred"].select("p", "p_cal").orderBy("p").collect()
+    rows = r.test().select("p", "p_cal").orderBy("p").collect()
     cal = [x["p_cal"] for x in rows]
     assert all(0.0 <= v <= 1.0 for v in cal)
     assert all(a <= b + 1e-12 for a, b in zip(cal, cal[1:]))
