@@ -12,32 +12,36 @@ Here the work is split in two levels instead:
 
 1. rows are reduced to distinct ``(group, value)`` with summed weights
    (map-side combined), so a value held by a third of all rows is one row;
-2. an approximate quantile sketch (mergeable, bounded memory) cuts each group
-   into ``BUCKETS`` value ranges;
+   these counts are written once, so that what follows reads them and never
+   the input again;
+2. an approximate quantile sketch of the counts (mergeable, bounded memory)
+   cuts each group into value ranges, about one for ``BUCKET_ROWS`` counts;
 3. a window partitioned by ``(group, bucket)`` gives prefix sums inside a
    bucket; bucket totals (groups × buckets rows) get their own prefix sum and
    are joined back (AQE broadcasts them when the runtime size is small).
 
 The result is exact; only the bucket boundaries are approximate, and they
-influence only how the work is spread.  There is one path at every size.  No
-large exchange is keyed on the group alone: rows move by ``(group, bucket)``,
-and what moves by group are sketches and at most ``BUCKETS`` totals a group.
-Null group values are groups of their own.
+influence only how the work is spread.  No large exchange is keyed on the
+group alone: rows move by ``(group, bucket)``, and what moves by group are
+sketches and at most ``MAX_BUCKETS`` totals a group.  Null group values are
+groups of their own.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
+from ..session import ensure_checkpoint_dir
 
 _G = "__grp"
-_STEP = 32
-BUCKETS = _STEP * _STEP
-MAX_BROADCAST_GROUPS = 4096  # bounds are BUCKETS doubles a group; beyond it the bounds are joined by shuffle
+BUCKET_ROWS = 100_000        # counts of a bucket
+MAX_BUCKETS = 1 << 14
+MAX_BROADCAST_BOUNDS = 4 << 20  # bounds (groups × buckets doubles) that are broadcast; beyond it they are joined by shuffle
 
 
 def _with_key(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -46,20 +50,33 @@ def _with_key(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return df.withColumn(_G, F.concat_ws("\u0001", F.lit("g"), *parts))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/custaris-ranks-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _bucketed(df: DataFrame, group_cols: Sequence[str], order_col: str, weight_cols: Sequence[str],
               descending: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with key, bucket and prefix sums inside the bucket; bucket totals with their offsets)."""
     key = -F.col(order_col) if descending else F.col(order_col)
-    df = _with_key(df, group_cols).withColumn("__ord", key.cast("double"))
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = df.groupBy(_G).agg(F.percentile_approx("__ord", probs, 4 * BUCKETS).alias("__bounds"))
-    # every _STEP-th bound is kept apart, so a row looks at 2 * _STEP bounds and not at all of them
-    bounds = bounds.select(F.col(_G), "__bounds", F.expr(f"filter(__bounds, (b, i) -> i % {_STEP} = {_STEP - 1})").alias("__coarse"))
-    step = F.size(F.filter("__coarse", lambda b: b < F.col("__ord")))
-    tagged = (df.join(bounded_broadcast(bounds, MAX_BROADCAST_GROUPS), _G, "inner").withColumn("__step", step)
-              .withColumn("__bucket", (F.col("__step") * _STEP + F.size(F.filter(
-                  F.slice("__bounds", F.col("__step") * _STEP + 1, F.lit(_STEP)), lambda b: b < F.col("__ord")))).cast("int"))
-              .drop("__bounds", "__coarse", "__step"))
+    rows = _stored(_with_key(df, group_cols).withColumn("__ord", key.cast("double")))
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(rows.count() / BUCKET_ROWS)))  # the count comes from the files' footers
+    if buckets == 1:
+        tagged = rows.withColumn("__bucket", F.lit(0))
+    else:
+        step = math.ceil(math.sqrt(buckets))
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = _stored(rows.groupBy(_G).agg(F.percentile_approx("__ord", probs, max(10_000, 4 * buckets)).alias("__bounds")))
+        # every step-th bound is kept apart, so a row looks at 2 * step bounds and not at all of them
+        small = bounds.count() * buckets <= MAX_BROADCAST_BOUNDS
+        bounds = bounds.select(_G, "__bounds", F.expr(f"filter(__bounds, (b, i) -> i % {step} = {step - 1})").alias("__coarse"))
+        at = F.size(F.filter("__coarse", lambda b: b < F.col("__ord")))
+        tagged = (rows.join(F.broadcast(bounds) if small else bounds, _G, "inner").withColumn("__step", at)
+                  .withColumn("__bucket", (F.col("__step") * step + F.size(F.filter(
+                      F.slice("__bounds", F.col("__step") * step + 1, F.lit(step)), lambda b: b < F.col("__ord")))).cast("int"))
+                  .drop("__bounds", "__coarse", "__step"))
     w_in = (Window.partitionBy(_G, "__bucket").orderBy("__ord")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = tagged.groupBy(_G, "__bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weight_cols])
