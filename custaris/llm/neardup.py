@@ -38,7 +38,7 @@ DEPTH = 8
 SMALL_NODE = 2000          # nodes up to here are compared exhaustively in one task
 DENSE = 0.7                # a child with more than this part of its parent is compared, not split
 BLOCK = 512                # representatives of a candidate component compared at once ..
-BLOCK_SHINGLES = 2_000_000  # .. and their shingles
+BLOCK_SHINGLES = 500_000  # .. and their shingles
 
 
 def trees(percent: int) -> int:

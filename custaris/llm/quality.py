@@ -123,9 +123,9 @@ def thresholds(counts: DataFrame) -> DataFrame:
     return t.select(F.col("lang").alias("__tl"), F.col("source").alias("__ts"), *[pick(c).alias(f"__t_{c}") for c in names])
 
 
-def judge(counts: DataFrame) -> DataFrame:
-    """``counts`` (with lang, source and the count columns) plus base_failed and kept."""
-    t = bounded_broadcast(thresholds(counts), 200_000)
+def judge(counts: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """``counts`` (with lang, source and the count columns) plus base_failed and kept; ``limits``: their thresholds."""
+    t = bounded_broadcast(thresholds(counts) if limits is None else limits, 200_000)
     j = counts.join(t, counts["lang"].eqNullSafe(t["__tl"]) & counts["source"].eqNullSafe(t["__ts"]), "left")
     bad = F.lit(False)
     for k, v in ratios().items():
@@ -139,10 +139,11 @@ def judge(counts: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns; repeated rows stay repeated."""
-    x = materialize(features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d")
-                                         ).withColumn("text", F.col("__d.text")).withColumn("lang", F.col("__d.lang"))
-                             .withColumn("source", F.col("__d.source")), "text").select("__d", "lang", "source", "__q.*"), "quality")
-    return judge(x).where("kept").select("__d.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d")
+    x = features(docs.select(whole).select("__d", "__d.text", "__d.lang", "__d.source"), "text").select("__d", "lang", "source", "__q.*")
+    # only the sketches are written between the two passes: texts are counted twice and never copied
+    limits = materialize(thresholds(x.drop("__d")), "thresholds")
+    return judge(x, limits).where("kept").select("__d.*")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ _B = _R.integers(0, 2 ** 32, SKETCH, dtype=np.uint64).astype(np.uint32)[:, None]
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to ``limit`` words (speed only)."""
 
-    limit = 200_000
+    limit = 50_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.limit:
