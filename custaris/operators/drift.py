@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +54,43 @@ def ks_from_counts(counts: DataFrame, min_n: int = 5) -> DataFrame:
                     F.col("n_cur").cast("long").alias("n_cur"), "ref_mean", "cur_mean"))
 
 
+def ks_against(reference: DataFrame, current: DataFrame, groups: Sequence[str], min_n: int = 5) -> DataFrame:
+    """D1 of many current sets against one reference: ``reference`` holds (feature, value, r), ``current``
+    (``groups``, feature, value, c), one row a value.
+
+    Between two neighbouring current values the current CDF is flat and the reference's only rises, so the largest
+    gap is met at a current value or just before it.  The reference is therefore ordered once, with the current
+    values put in as rows of no weight, whatever the number of groups.
+    """
+    marks = current.select("feature", "value", F.lit(0).cast("long").alias("r"))
+    grid = reference.select("feature", "value", "r").unionByName(marks).groupBy("feature", "value").agg(F.sum("r").alias("r"))
+    ref = R.prefix_sums(grid, ["feature"], "value", ["r"])
+    means = reference.groupBy("feature").agg(F.try_divide(F.sum(F.col("value") * F.col("r")), F.sum("r")).alias("ref_mean"))
+    cur = R.prefix_sums(current.select(*groups, "feature", "value", "c"), [*groups, "feature"], "value", ["c"])
+
+    def share(part, total):
+        return F.try_divide(part.cast("double"), F.col(total).cast("double"))
+
+    before = F.abs(share(F.col("r_before"), "r_total") - share(F.col("c_before"), "c_total"))
+    at = F.abs(share(F.col("r_before") + F.col("r"), "r_total") - share(F.col("c_before") + F.col("c"), "c_total"))
+    d = cur.join(ref, ["feature", "value"]).groupBy(*groups, "feature").agg(
+        F.max(F.greatest(before, at)).alias("ks_stat"), F.max("r_total").alias("n_ref"), F.max("c_total").alias("n_cur"),
+        F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum("c")).alias("cur_mean"))
+    return (d.where((F.col("n_ref") >= min_n) & (F.col("n_cur") >= min_n)).join(means, "feature", "left")
+            .select(*groups, "feature", "ks_stat", F.col("n_ref").cast("long").alias("n_ref"),
+                    F.col("n_cur").cast("long").alias("n_cur"), "ref_mean", "cur_mean"))
+
+
+EXACT_ROWS = 10_000  # rows of the larger side up to which the p-value is exact
+
+
 def ks_pvalue(d: float, n1: float, n2: float) -> float:
-    """Asymptotic two-sided KS p-value (Kolmogorov series with the Stephens
-    small-sample correction)."""
+    """Two-sided two-sample KS p-value: exact while both sides have at most
+    ``EXACT_ROWS`` rows, else Kolmogorov's series with the Stephens correction."""
     if d is None or n1 is None or n2 is None or n1 <= 0 or n2 <= 0:
         return float("nan")
+    if max(n1, n2) <= EXACT_ROWS:
+        return ks_exact(d, int(n1), int(n2))
     en = math.sqrt(n1 * n2 / (n1 + n2))
     lam = (en + 0.12 + 0.11 / en) * d
     if lam < 1e-3:
@@ -72,6 +105,33 @@ def ks_pvalue(d: float, n1: float, n2: float) -> float:
     return min(max(s, 0.0), 1.0)
 
 
+def ks_exact(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) over all orders of n1 and n2 rows: one minus the chance that a
+    random lattice path keeps every |i/n1 - j/n2| below d.
+
+    ``stay[i]`` is the chance that a path to (i, t - i) has stayed inside; its
+    last step came from the left with chance i / t.  Whole numbers decide which
+    points are inside, and a step touches only those.
+    """
+    gap = round(d * n1 * n2)                    # |i*n2 - j*n1| of the largest gap
+    if gap <= 0:
+        return 1.0
+    total, index = n1 + n2, np.arange(n1 + 1, dtype="float64")
+    stay = np.zeros(n1 + 2)                     # one place more on the left, always 0
+    stay[1] = 1.0
+    for t in range(1, total + 1):
+        lo = max(0, t - n2, (t * n1 - gap) // total + 1)
+        hi = min(t, n1, (t * n1 + gap - 1) // total)
+        if lo > hi:
+            return 1.0
+        i = index[lo:hi + 1]
+        step = (i * stay[lo:hi + 1] + (t - i) * stay[lo + 1:hi + 2]) / t
+        stay[max(1, lo - 1):lo + 1] = 0.0       # the band only moves up; what it leaves behind counts no more
+        stay[lo + 1:hi + 2] = step
+        stay[hi + 2:hi + 4] = 0.0
+    return min(max(1.0 - float(stay[n1 + 1]), 0.0), 1.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def ks_pvalue_udf(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([ks_pvalue(float(a), float(b), float(c)) if not (pd.isna(a) or pd.isna(b) or pd.isna(c))
