@@ -16,20 +16,26 @@ from pyspark.sql import functions as F
 from . import ranks as R
 
 
-def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row per distinct score: positives, negatives."""
+def score_counts(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct score (of a group): positives, negatives."""
     y = F.col(label)
     return (df.where(F.col(score).isNotNull() & y.isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
+            .groupBy(*groups, F.col(score).cast("double").alias("score"))
             .agg(F.count_if(y == 1).cast("long").alias("pos"), F.count_if(y != 1).cast("long").alias("neg")))
 
 
+def auc_of_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """X1 from :func:`score_counts`: one row a group, with its numbers of positives and negatives."""
+    sc = R.prefix_sums(counts, groups, "score", ["pos", "neg"])
+    g = sc.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("u"),
+                                F.max("pos_total").alias("n_pos"), F.max("neg_total").alias("n_neg"))
+    return g.select(*groups, F.try_divide(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"),
+                    "n_pos", "n_neg")
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under ROC (exact, ties half) — one row ``auc``."""
-    sc = R.prefix_sums(score_counts(df, label, score), [], "score", ["pos", "neg"])
-    part = sc.agg(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("u"),
-                  F.max("pos_total").alias("P"), F.max("neg_total").alias("N"))
-    return part.select(F.try_divide(F.col("u"), F.col("P").cast("double") * F.col("N")).alias("auc"))
+    return auc_of_counts(score_counts(df, label, score), []).select("auc")
 
 
 def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
