@@ -61,6 +61,18 @@ def time_or_hash_halves(df: DataFrame, key: str, time_col: str | None = None,
     return df.withColumn(col, side)
 
 
+def monitoring_sides(reference: DataFrame, key: str, production: DataFrame | None = None, time_col: str | None = None,
+                     cut=None, seed: int = 42, col: str = "side", flag: str = "placeholder") -> DataFrame:
+    """E5: what drift monitoring compares.  With a production set, all of ``reference`` against all of it
+    (columns only one side has are null on the other); without one, halves of ``reference`` by date or hash.
+    ``flag`` is true for hash halves: they hold no new data, so their differences are noise."""
+    if production is not None:
+        both = concat_rows([reference.withColumn(col, F.lit("reference")), production.withColumn(col, F.lit("current"))])
+        return both.withColumn(flag, F.lit(False))
+    halves = time_or_hash_halves(reference, key, time_col, cut, seed, col)
+    return halves.withColumn(flag, F.lit(time_col is None or cut is None))
+
+
 def balanced_weights(df: DataFrame, label: str, col: str = "weight") -> DataFrame:
     """N / (n_classes · n_c) per row (sklearn 'balanced')."""
     counts = df.groupBy(label).agg(F.count("*").alias("__nc"))
