@@ -330,3 +330,34 @@ def range_overlap(df: DataFrame, group: str, col: str) -> DataFrame:
 def match_rate(df: DataFrame, left: Column, right: Column) -> Column:
     """P25 building block: share of rows where two expressions agree."""
     return F.avg(F.when(left == right, 1.0).otherwise(0.0))
+
+
+# fixed values: columns derived from the target, named in the findings beside the measured ones
+DERIVED_FROM_CHURN = ["ChurnRiskCategory", "RFMSegment", "LoyaltyLevel", "CustomerType"]
+
+
+def findings(df: DataFrame, label: str, category: str, target_r: DataFrame, pair_r: DataFrame, skew: DataFrame,
+             leaky: float = 0.5, redundant: float = 0.8, top_pairs: int = 5) -> DataFrame:
+    """(finding, rank, item, value) from the results of C2, C5 and P14: every column whose |r| with the target is
+    over ``leaky``, the strongest pairs over ``redundant``, every log candidate, and the two single figures.
+
+    The lists are bounded by the feature list, so the ranking window runs over few rows; ties go by name.
+    """
+    def part(name, rows, item, value):
+        return rows.select(F.lit(name).alias("finding"), item.alias("item"), value.cast("double").alias("value"))
+
+    lists = (part("leaky", target_r.where(F.abs("r") > leaky), F.col("feature"), F.col("r"))
+             .unionByName(part("redundant", pair_r.where(F.abs("r") > redundant),
+                               F.concat_ws(" ~ ", "feature_a", "feature_b"), F.col("r")))
+             .unionByName(part("log_candidate", skew.where("log_candidate"), F.col("feature"), F.col("skew"))))
+    w = Window.partitionBy("finding").orderBy(F.desc(F.abs("value")), "item")
+    ranked = lists.withColumn("rank", F.row_number().over(w)).where((F.col("finding") != "redundant") | (F.col("rank") <= top_pairs))
+    named = df.sparkSession.createDataFrame(
+        [("derived_from_churn", i, c, None) for i, c in enumerate(DERIVED_FROM_CHURN, 1)],
+        "finding string, rank int, item string, value double")
+    single = df.agg(F.avg(F.col(label).cast("double")).alias("rate"), F.count_distinct(category).cast("double").alias("n")).select(
+        F.inline(F.array(F.struct(F.lit("churn_rate").alias("finding"), F.lit(1).alias("rank"), F.lit(label).alias("item"),
+                                  F.col("rate").alias("value")),
+                         F.struct(F.lit("n_countries").alias("finding"), F.lit(1).alias("rank"), F.lit(category).alias("item"),
+                                  F.col("n").alias("value")))))
+    return ranked.select("finding", "rank", "item", "value").unionByName(named).unionByName(single)

@@ -10,7 +10,7 @@ from ..operators import density as KD
 from ..operators import profile as P
 from ..operators import ranks as R
 from .catalog import c360, finish, oracle, register
-from .sqlfrag import corr_sql
+from .sqlfrag import corr_sql, pairs_sql
 from .customer360 import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from .standin import month_to_season as season_sql
 
@@ -412,3 +412,27 @@ def p30(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return finish(out)
+
+
+_TC = f"tc AS (SELECT * FROM ({pairs_sql([(c, 'Churn') for c in NUM])}))"
+_PC = f"pc AS (SELECT * FROM ({pairs_sql([(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1:]])}))"
+
+
+@register("p30_findings_lists", oracle(f"""
+WITH {_TC}, {_PC}, sk AS (SELECT feature, {fix_sql('skewness(value)')} AS skew FROM {duck_long(NUM)} GROUP BY feature),
+f AS (SELECT 'leaky' AS finding, feature_a AS item, r AS value FROM tc WHERE abs(r) > 0.5
+      UNION ALL SELECT 'redundant', feature_a || ' ~ ' || feature_b, r FROM pc WHERE abs(r) > 0.8
+      UNION ALL SELECT 'log_candidate', feature, skew FROM sk WHERE abs(skew) > 1),
+k AS (SELECT finding, CAST(row_number() OVER (PARTITION BY finding ORDER BY abs(value) DESC, item) AS INTEGER) AS "rank", item, value FROM f),
+k5 AS (SELECT * FROM k WHERE finding <> 'redundant' OR "rank" <= 5)
+SELECT finding, "rank", item, value FROM k5
+UNION ALL SELECT 'derived_from_churn', CAST(i AS INTEGER), ['{"', '".join(P.DERIVED_FROM_CHURN)}'][i], CAST(NULL AS DOUBLE)
+FROM (SELECT unnest(range(1, {len(P.DERIVED_FROM_CHURN) + 1})) AS i)
+UNION ALL SELECT 'churn_rate', 1, 'Churn', avg(CAST(Churn AS DOUBLE)) FROM c360
+UNION ALL SELECT 'n_countries', 1, 'Country', CAST(count(DISTINCT Country) AS DOUBLE) FROM c360""", "value"))
+def p30_lists(spark, sf):
+    """The lists behind the counts: leaky columns, the five strongest redundant pairs, log candidates."""
+    from ..operators import association as A
+    df = c360(spark, sf)
+    return finish(P.findings(df, "Churn", "Country", A.target_correlations(df, NUM, "Churn"),
+                             A.correlation_matrix(df, NUM), P.skewness_table(df, NUM)))
