@@ -14,8 +14,9 @@ only per-feature scalars (bounded by the feature list) reach the driver.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+import uuid
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from . import ranks as R
 from ..functions import scalar as SF
 from ..functions.numeric import signed_log1p
+from ..session import ensure_checkpoint_dir
 
 # --- fixed values shared with the reference -------------------------------------------
 # Columns removed before modelling (constant / redundant / id / leaky / multicollinear).
@@ -43,7 +45,8 @@ LOG_COLUMNS = [
 MEDIAN_FILL = ["Age", "AgeCategory", "SupportTicketsCount", "RegYear", "RegMonth", "RegDay", "RegWeekday"]
 TARGET_ENCODE_SMOOTHING = 10.0
 STD_EPS = 1e-8
-MAX_CATEGORIES = 10_000
+MAX_CATEGORIES = 10_000  # one-hot categories: each is a column of the plan
+MAX_INLINE = 10_000      # rows of the target-encoding map that the fitted state holds itself
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ class FittedPrep:
     categories: dict[str, list[str]]          # F7: kept (non-reference) categories per column
     onehot_source: list[str]
     te_global: float                           # F9
-    te_rows: list[tuple[str, float]]           # F9 map (bounded by distinct countries)
+    te_rows: list[tuple[str, float]]           # F9 map of up to MAX_INLINE categories
     medians: dict[str, float]                  # F11
     ip_mode: float                             # F13
     rr_mean: float
@@ -65,6 +68,7 @@ class FittedPrep:
     scale_mean: dict[str, float]               # F22
     scale_std: dict[str, float]
     features: list[str] = field(default_factory=list)
+    te_path: str | None = None                 # F9 map of more categories: a table in the shared folder
 
     # ---------------------------------------------------------------- S5 round trip
     def to_json(self) -> str:
@@ -77,7 +81,12 @@ class FittedPrep:
         return FittedPrep(**d)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(self.to_json(),)], "state string").write.mode("overwrite").parquet(path)
+        """The state as one row; a map kept as a table is copied beside it, so that the saved state stands alone."""
+        state = self
+        if self.te_path:
+            state = replace(self, te_path=f"{path.rstrip('/')}-encoding")
+            self.te_table(spark).write.mode("overwrite").parquet(state.te_path)
+        spark.createDataFrame([(state.to_json(),)], "state string").write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedPrep":
@@ -85,6 +94,8 @@ class FittedPrep:
 
     # ---------------------------------------------------------------- apply
     def te_table(self, spark: SparkSession) -> DataFrame:
+        if self.te_path:
+            return spark.read.schema("Country string, Country_TargetEnc double").parquet(self.te_path)
         return spark.createDataFrame(self.te_rows or [("", 0.0)], "Country string, Country_TargetEnc double") \
             .where(F.lit(bool(self.te_rows)))
 
@@ -94,7 +105,7 @@ class FittedPrep:
         x = base_clean(df)
         x = one_hot(x, self.categories)
         tab = self.te_table(spark)
-        te = F.broadcast(tab) if len(self.te_rows) <= 1_000_000 else tab  # size known: one row per category
+        te = tab if self.te_path else F.broadcast(tab)  # inline: at most MAX_INLINE rows; a table is joined by shuffle
         x = (x.join(te, "Country", "left")
              .withColumn("Country_TargetEnc", F.coalesce("Country_TargetEnc", F.lit(self.te_global)))
              .drop("Country"))
@@ -173,9 +184,10 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     return df.select("*", *adds).drop(*[c for c in categories if c in df.columns])
 
 
-def target_encoding(train: DataFrame, col: str, label: str, k: float = TARGET_ENCODE_SMOOTHING) -> DataFrame:
-    """F9 fit: (n·mean + k·global)/(n + k) per category, from training rows."""
-    glob = train.agg(F.avg(F.col(label).cast("double"))).scalar()
+def target_encoding(train: DataFrame, col: str, label: str, k: float = TARGET_ENCODE_SMOOTHING,
+                    overall: float | None = None) -> DataFrame:
+    """F9 fit: (n·mean + k·global)/(n + k) per category, from training rows; ``overall``: the global mean if known."""
+    glob = train.agg(F.avg(F.col(label).cast("double"))).scalar() if overall is None else F.lit(overall)
     return (train.where(F.col(col).isNotNull()).groupBy(col)
             .agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("m"))
             .select(col, ((F.col("n") * F.col("m") + k * glob) / (F.col("n") + k)).alias(f"{col}_TargetEnc")))
@@ -232,12 +244,12 @@ def fit_prep(df: DataFrame, train_filter: Column, key: str = "CustomerID", label
     x = one_hot(a, cats)
     train = x.where(train_filter)
 
-    te = target_encoding(train, "Country", label)
-    n_te = te.limit(MAX_CATEGORIES + 1).count()
-    if n_te > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} Country values; target-encoding map is not bounded")
-    te_rows = [(r["Country"], float(r["Country_TargetEnc"])) for r in te.collect()]  # ≤ MAX_CATEGORIES rows
     te_global = float(train.agg(F.avg(F.col(label).cast("double"))).first()[0])
+    te_path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/custaris-encoding-{uuid.uuid4().hex[:12]}"
+    target_encoding(train, "Country", label, overall=te_global).write.parquet(te_path)
+    te = df.sparkSession.read.schema("Country string, Country_TargetEnc double").parquet(te_path)
+    small = te.count() <= MAX_INLINE            # from the files' footers
+    te_rows = [(r["Country"], float(r["Country_TargetEnc"])) for r in te.collect()] if small else []
 
     med_cols = [c for c in MEDIAN_FILL if c in train.columns]
     long = train.select(*[F.col(c).cast("double").alias(c) for c in med_cols]).unpivot([], med_cols, "feature", "v")
@@ -253,7 +265,7 @@ def fit_prep(df: DataFrame, train_filter: Column, key: str = "CustomerID", label
     rr_std = (s["rr_s"] or 0.0) + STD_EPS
     ct_std = (s["ct_s"] or 0.0) + STD_EPS
 
-    x2 = (x.join(F.broadcast(te), "Country", "left")  # te: one row per country of the train split
+    x2 = (x.join(F.broadcast(te) if small else te, "Country", "left")
           .withColumn("Country_TargetEnc", F.coalesce("Country_TargetEnc", F.lit(te_global))).drop("Country"))
     x2 = impute(x2, medians, ip_mode)
     x2 = engineer(x2, s["rr_m"], rr_std, s["ct_m"], ct_std, s["rev_m"])
@@ -274,7 +286,8 @@ def fit_prep(df: DataFrame, train_filter: Column, key: str = "CustomerID", label
     return FittedPrep(key=key, label=label, categories=cats, onehot_source=onehot_src, te_global=te_global,
                       te_rows=te_rows, medians=medians, ip_mode=ip_mode, rr_mean=float(s["rr_m"]),
                       rr_std=rr_std, ct_mean=float(s["ct_m"]), ct_std=ct_std, revenue_mean=float(s["rev_m"]),
-                      net_medians=net_medians, scale_mean=scale_mean, scale_std=scale_std, features=feats)
+                      net_medians=net_medians, scale_mean=scale_mean, scale_std=scale_std, features=feats,
+                      te_path=None if small else te_path)
 
 
 # --- other fitted helpers -------------------------------------------------------------
