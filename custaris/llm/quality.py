@@ -1,9 +1,12 @@
 """Quality rules with adaptive thresholds (DataFrame only).
 
 Per (language, source) each ratio is summarised by a mergeable quantile sketch: counts in logarithmic buckets
-(``ceil(ln v / ln 1.02)``, zero apart), about 1 % relative error, merged by adding counts.  Thresholds are far-out
-fences of the sketch's quartiles, with a least spread so that a constant column rejects nothing by itself; groups of
-under 200 documents use their language's merged sketch, and small languages the merged sketch of all.
+(``ceil(ln v / ln 1.02)``, zero apart), about 1 % relative error, merged by adding counts.  A threshold is the upper
+quantile of the sketch plus a multiple of the distance between two of its quantiles (``RULES``: which quantiles, how
+many distances); no cutoff is a fixed number.  Groups of under 200 documents take their language's merged sketch, small
+languages that of all.  Each ratio is a count over the document's words or lines, so a document fails only if
+its ratio less three standard errors of that count (its square root) exceeds the threshold: a short text may stray
+further than a long one, and in a group without symbols, whose threshold is 0, nine are still let by.
 
 Defined results: null or empty text has no words and fails the base rules; null language or source form groups of
 their own; equal rows are separate documents; an empty table gives no rows; other columns are left alone.
@@ -20,9 +23,10 @@ from .common import SPACE_RE, WORD_RE, documents, let, materialize
 GAMMA = 1.02
 MIN_GROUP = 200
 ZERO = -100000
-#: ratio: (fence factor, least spread, low side too)
-FENCES = {"word_len": (4.0, 0.8, True), "symbol_share": (6.0, 0.02, False),
-          "dup_line_share": (6.0, 0.05, False), "repeat_share": (6.0, 0.06, False)}
+#: ratio: (lower and upper quantile in percent, distances beyond them, denominator, low side too)
+RULES = {"word_len": (25, 75, 6, "n_words", True), "symbol_share": (50, 90, 3, "n_words", False),
+         "dup_line_share": (50, 95, 3, "n_lines", False), "repeat_share": (50, 90, 3, "n_words", False)}
+ERRORS = 3     # standard errors of its own ratio that a document is allowed
 
 
 def word_list(text: Column) -> Column:
@@ -84,43 +88,52 @@ def sketch(counts: DataFrame) -> DataFrame:
 GAMMA_LN = 0.01980262729617973     # ln 1.02
 
 
-def _quartiles(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + metric + total, q1, q3 from merged bucket counts (buckets of a group are bounded by the value range)."""
+def _quantiles(sk: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + metric + total, q_lo, q_hi from merged bucket counts (buckets of a group are bounded by the value range)."""
     m = sk.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     arr = F.sort_array(F.collect_list(F.struct("bucket", "n")))
     g = m.groupBy(*keys, "metric").agg(F.sum("n").alias("total"), arr.alias("b"))
 
-    def quantile(q):
+    def percent(at):
+        return F.coalesce(*[F.when(F.col("metric") == k, F.lit(r[at])) for k, r in RULES.items()])
+
+    def quantile(pc):
         hit = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("k")),
                           lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(
-                              a["k"].isNull() & ((a["c"] + x["n"]) * 4 >= F.col("total") * q), x["bucket"]).otherwise(a["k"]).alias("k")))
+                              a["k"].isNull() & ((a["c"] + x["n"]) * 100 >= F.col("total") * pc), x["bucket"]).otherwise(a["k"]).alias("k")))
         k = hit["k"]
         return F.when(k == ZERO, F.lit(0.0)).otherwise(F.exp(k * F.lit(GAMMA_LN)))
-    return g.select(*keys, "metric", "total", quantile(1).alias("q1"), quantile(3).alias("q3"))
+    return g.select(*keys, "metric", "total", quantile(percent(0)).alias("q_lo"), quantile(percent(1)).alias("q_hi"))
 
 
-def _fences(q: DataFrame, keys: list[str], tag: str) -> DataFrame:
+def _levels(q: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """One row a group: its documents and, for every ratio, both quantiles."""
     out = []
-    for k, (f, least, two) in FENCES.items():
+    for k in RULES:
         here = F.col("metric") == k
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * f
-        out.append(F.max(F.when(here, F.col("q3") + spread)).alias(f"{tag}_{k}_hi"))
-        if two:
-            out.append(F.max(F.when(here, F.col("q1") - spread)).alias(f"{tag}_{k}_lo"))
+        out += [F.max(F.when(here, F.col(c))).alias(f"{tag}_{k}_{c}") for c in ("q_lo", "q_hi")]
     return q.groupBy(*keys).agg(F.max("total").alias(f"{tag}_n"), *out)
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """(lang, source) with the fences that hold there; one row a group."""
+    """(lang, source) with the thresholds that hold there; one row a group."""
     sk = materialize(sketch(counts), "sketch")
-    own = _fences(_quartiles(sk, ["lang", "source"]), ["lang", "source"], "s")
-    lang = _fences(_quartiles(sk, ["lang"]), ["lang"], "l").withColumnRenamed("lang", "__lang")
-    every = _fences(_quartiles(sk, []), [], "a").first().asDict()     # one row of a few numbers
+    own = _levels(_quantiles(sk, ["lang", "source"]), ["lang", "source"], "s")
+    lang = _levels(_quantiles(sk, ["lang"]), ["lang"], "l").withColumnRenamed("lang", "__lang")
+    every = _levels(_quantiles(sk, []), [], "a").first().asDict()     # one row of a few numbers
     t = own.join(lang, own["lang"].eqNullSafe(lang["__lang"]), "left")
-    names = [c[2:] for c in every if c != "a_n"]
-    pick = lambda c: F.when(F.col("s_n") >= MIN_GROUP, F.col(f"s_{c}")).when(
-        F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.lit(every[f"a_{c}"]).cast("double"))
-    return t.select(F.col("lang").alias("__tl"), F.col("source").alias("__ts"), *[pick(c).alias(f"__t_{c}") for c in names])
+
+    def pick(c):
+        return F.coalesce(F.when(F.col("s_n") >= MIN_GROUP, F.col(f"s_{c}")), F.when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")),
+                          F.lit(every[f"a_{c}"]).cast("double"))
+
+    out = []
+    for k, (_, _, times, _, two) in RULES.items():
+        lo, hi = pick(f"{k}_q_lo"), pick(f"{k}_q_hi")
+        out.append((hi + (hi - lo) * F.lit(float(times))).alias(f"__t_{k}_hi"))
+        if two:
+            out.append((lo - (hi - lo) * F.lit(float(times))).alias(f"__t_{k}_lo"))
+    return t.select(F.col("lang").alias("__tl"), F.col("source").alias("__ts"), *out)
 
 
 def judge(counts: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -129,9 +142,10 @@ def judge(counts: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     j = counts.join(t, counts["lang"].eqNullSafe(t["__tl"]) & counts["source"].eqNullSafe(t["__ts"]), "left")
     bad = F.lit(False)
     for k, v in ratios().items():
-        bad = bad | F.coalesce(v > F.col(f"__t_{k}_hi"), F.lit(False))
-        if FENCES[k][2]:
-            bad = bad | F.coalesce(v < F.col(f"__t_{k}_lo"), F.lit(False))
+        stray = ERRORS * F.sqrt(v / F.col(RULES[k][3]).cast("double"))
+        bad = bad | F.coalesce(v - stray > F.col(f"__t_{k}_hi"), F.lit(False))
+        if RULES[k][4]:
+            bad = bad | F.coalesce(v + stray < F.col(f"__t_{k}_lo"), F.lit(False))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     j = j.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.when(F.col("n_words") > 0, ~bad).otherwise(F.lit(False)))
     return j.drop(*[c for c in t.columns])
@@ -162,26 +176,35 @@ def _oracle() -> str:
         f"SELECT lang, source, '{k}' AS metric, CASE WHEN {v} <= 0 THEN {ZERO} ELSE CAST(ceil(ln({v}) / {GAMMA_LN}) AS INT) END AS bucket "
         "FROM c WHERE n_words > 0" for k, v in _RATIO_SQL.items())
 
+    pc = lambda at: "CASE metric " + " ".join(f"WHEN '{k}' THEN {r[at]}" for k, r in RULES.items()) + " END"
+
     def level(tag, keys):
         ks = "".join(f"{k}, " for k in keys)
         part = f"PARTITION BY {ks}metric"
-        fences = ", ".join(
-            f"max(CASE WHEN metric = '{k}' THEN q3 + greatest(q3 - q1, {s}::DOUBLE) * {f}::DOUBLE END) AS {k}_hi"
-            + (f", max(CASE WHEN metric = '{k}' THEN q1 - greatest(q3 - q1, {s}::DOUBLE) * {f}::DOUBLE END) AS {k}_lo" if two else "")
-            for k, (f, s, two) in FENCES.items())
+        cols = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {c} END) AS {k}_{c}" for k in RULES for c in ("q_lo", "q_hi"))
         group = f"GROUP BY {ks[:-2]}" if keys else ""
         return f"""
 {tag}_b AS (SELECT {ks}metric, bucket, sum(n) AS n FROM sk GROUP BY {ks}metric, bucket),
 {tag}_r AS (SELECT *, sum(n) OVER ({part} ORDER BY bucket) AS cum, sum(n) OVER ({part}) AS total FROM {tag}_b),
-{tag}_k AS (SELECT {ks}metric, any_value(total) AS total, min(CASE WHEN cum * 4 >= total THEN bucket END) AS k1,
-   min(CASE WHEN cum * 4 >= total * 3 THEN bucket END) AS k3 FROM {tag}_r GROUP BY {ks}metric),
-{tag}_q AS (SELECT *, CASE WHEN k1 = {ZERO} THEN 0 ELSE exp(k1 * {GAMMA_LN}::DOUBLE) END AS q1,
-   CASE WHEN k3 = {ZERO} THEN 0 ELSE exp(k3 * {GAMMA_LN}::DOUBLE) END AS q3 FROM {tag}_k),
-{tag}_f AS (SELECT {ks}max(total) AS n, {fences} FROM {tag}_q {group})"""
-    cols = [f"{k}_hi" for k in FENCES] + [f"{k}_lo" for k, x in FENCES.items() if x[2]]
-    pick = ", ".join(f"CASE WHEN s_f.n >= {MIN_GROUP} THEN s_f.{c} WHEN l_f.n >= {MIN_GROUP} THEN l_f.{c} ELSE a_f.{c} END AS {c}" for c in cols)
-    bad = " OR ".join([f"coalesce({v} > {k}_hi, false)" for k, v in _RATIO_SQL.items()]
-                      + [f"coalesce({_RATIO_SQL[k]} < {k}_lo, false)" for k, x in FENCES.items() if x[2]])
+{tag}_k AS (SELECT {ks}metric, any_value(total) AS total, min(CASE WHEN cum * 100 >= total * ({pc(0)}) THEN bucket END) AS k_lo,
+   min(CASE WHEN cum * 100 >= total * ({pc(1)}) THEN bucket END) AS k_hi FROM {tag}_r GROUP BY {ks}metric),
+{tag}_q AS (SELECT *, CASE WHEN k_lo = {ZERO} THEN 0 ELSE exp(k_lo * {GAMMA_LN}::DOUBLE) END AS q_lo,
+   CASE WHEN k_hi = {ZERO} THEN 0 ELSE exp(k_hi * {GAMMA_LN}::DOUBLE) END AS q_hi FROM {tag}_k),
+{tag}_f AS (SELECT {ks}max(total) AS n, {cols} FROM {tag}_q {group})"""
+
+    def at_level(c):
+        return f"coalesce(CASE WHEN s_f.n >= {MIN_GROUP} THEN s_f.{c} END, CASE WHEN l_f.n >= {MIN_GROUP} THEN l_f.{c} END, a_f.{c})"
+
+    pick, tests = [], []
+    for k, (_, _, times, unit, two) in RULES.items():
+        v, lo, hi = _RATIO_SQL[k], at_level(f"{k}_q_lo"), at_level(f"{k}_q_hi")
+        pick.append(f"{hi} + ({hi} - {lo}) * {times}::DOUBLE AS {k}_hi")
+        stray = f"{ERRORS} * sqrt(({v}) / {unit}::DOUBLE)"
+        tests.append(f"coalesce(({v}) - {stray} > {k}_hi, false)")
+        if two:
+            pick.append(f"{lo} - ({hi} - {lo}) * {times}::DOUBLE AS {k}_lo")
+            tests.append(f"coalesce(({v}) + {stray} < {k}_lo, false)")
+    pick, bad = ", ".join(pick), " OR ".join(tests)
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
