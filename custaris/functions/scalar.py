@@ -7,7 +7,7 @@ whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values shared with the reference -------------------------------------------
@@ -16,7 +16,10 @@ AGE_CATEGORY_ORDER = {"18-24": 0, "25-34": 1, "35-44": 2, "45-54": 3, "55-64": 4
 TIME_OF_DAY_ORDER = {"Nuit": 0, "Matin": 1, "Midi": 2, "Après-midi": 3, "Soir": 4}
 # Older ordinal maps (legacy variant).
 SPENDING_ORDER = {"Low": 0, "Medium": 1, "High": 2, "VIP": 3}
-BASKET_ORDER = {"Petit": 0, "Moyen": 1, "Grand": 2}
+BASKET_ORDER = {"Petit": 0, "Moyen": 1, "Grand": 2, "Inconnu": 3}
+# Ordinal columns when scoring: map and the default of an unknown or missing value.
+SCORING_ORDINALS = {"AgeCategory": (AGE_CATEGORY_ORDER, 3), "PreferredTimeOfDay": (TIME_OF_DAY_ORDER, 2),
+                    "SpendingCategory": (SPENDING_ORDER, 1), "BasketSizeCategory": (BASKET_ORDER, 1)}
 # Seasons by month.
 SEASON_MONTHS = {"Hiver": (12, 1, 2), "Printemps": (3, 4, 5), "Été": (6, 7, 8), "Automne": (9, 10, 11)}
 # Sentinels replaced by null.
@@ -98,10 +101,16 @@ def null_sentinels(c: Column, sentinels) -> Column:
     return F.when(c.isin(*sentinels), F.lit(None)).otherwise(c)
 
 
-def ordinal(c: Column, mapping: dict[str, int]) -> Column:
-    """map lookup; a missing key gives null."""
+def ordinal(c: Column, mapping: dict[str, int], default: int | None = None) -> Column:
+    """map lookup; a missing key or a null gives ``default`` (null in training)."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return F.try_element_at(m, c)
+    found = F.try_element_at(m, c)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def scoring_ordinals(df: DataFrame) -> DataFrame:
+    """F6 when scoring: every ordinal column that is present, with its default; absent ones stay absent."""
+    return df.withColumns({c: ordinal(F.col(c), m, d) for c, (m, d) in SCORING_ORDINALS.items() if c in df.columns})
 
 
 def month_to_season(m: Column) -> Column:
@@ -135,6 +144,11 @@ def churn_label(pred: Column) -> Column:
     return F.when(pred == 1, "Churn").otherwise("Fidèle")
 
 
+def money(c: Column, symbol: str = "£") -> Column:
+    """whole pounds with thousands separators, half to even; null stays null."""
+    return F.concat(F.lit(symbol), F.format_number(F.bround(c.cast("double"), 0), 0))
+
+
 def half_even(c: Column, digits: int) -> Column:
     """numpy/Python rounding (half to even)."""
     return F.bround(c, digits)

@@ -219,6 +219,11 @@ def engineer(df: DataFrame, rr_mean: float, rr_std: float, ct_mean: float, ct_st
     })
 
 
+def legacy_disengagement(df: DataFrame, col: str = "DisengagementScore") -> DataFrame:
+    """F17, older variant and the one-record form: ReturnRatio + CancelledTransactions / 10, without fitted state."""
+    return df.withColumn(col, F.col("ReturnRatio") + F.col("CancelledTransactions").cast("double") / 10)
+
+
 def log_columns(df: DataFrame, cols: Sequence[str] = LOG_COLUMNS) -> DataFrame:
     """sign(x)·log1p(|x|) on the named columns that are present."""
     return df.withColumns({c: signed_log1p(F.col(c).cast("double")) for c in cols if c in df.columns})

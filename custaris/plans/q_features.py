@@ -107,6 +107,30 @@ def f05(spark, sf):
                      .alias("PreferredTimeOfDay"))
 
 
+_SCORING_CASES = ", ".join(
+    f"coalesce(CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + f" END, {d}) AS {c}"
+    for c, (m, d) in SF.SCORING_ORDINALS.items())
+
+
+@register("f06_scoring_ordinals", oracle(f"SELECT CustomerID, {_SCORING_CASES} FROM c360"))
+def f06s(spark, sf):
+    """F6 when scoring: unknown categories take their defaults instead of null."""
+    return SF.scoring_ordinals(c360(spark, sf).select("CustomerID", *SF.SCORING_ORDINALS))
+
+
+@register("f17_legacy_disengagement", oracle("""
+SELECT CustomerID, ReturnRatio + CAST(CancelledTransactions AS DOUBLE) / 10 AS DisengagementScore FROM c360""",
+    "DisengagementScore"))
+def f17l(spark, sf):
+    return finish(FE.legacy_disengagement(c360(spark, sf)).select("CustomerID", "DisengagementScore"))
+
+
+@register("f33_money_text", oracle("""
+SELECT CustomerID, '£' || format('{:,}', CAST(round_even(MonetaryTotal, 0) AS BIGINT)) AS monetary_text FROM c360"""))
+def f33m(spark, sf):
+    return c360(spark, sf).select("CustomerID", SF.money(F.col("MonetaryTotal")).alias("monetary_text"))
+
+
 # ------------------------------------------------------------------ F7 one-hot (long form: columns depend on data)
 _ONEHOT_CTES = f"""{BASE_CLEAN_CTE},
 _src AS (UNPIVOT (SELECT CustomerID, {', '.join(ONEHOT_SOURCES)} FROM _bc) ON {', '.join(ONEHOT_SOURCES)}
