@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as SF
+from ..operators import metrics as X
 from ..operators import models as M
 from ..sources import requests as RQ
 from ..streaming import scoring as ST
@@ -49,6 +50,22 @@ def r05(spark, sf):
                            SF.revenue_tier(rev, F.lit(r.cap)).alias("tier")))
 
 
+@register("r05_revenue_report")
+def r05_report(spark, sf):
+    """R5 as it is shown: revenue and cap as numbers and as money text, tier, flag, and the model's name and test
+    metrics on the capped target (R2 with 4 digits, MedAE and MAE in whole pounds)."""
+    r = revenue_run(spark, sf)
+    m = X.regression_metrics(r.test(), "target_capped", "pred_raw").first()     # one row
+    p = r.model.score(M.assemble(r.prep.transform(c360(spark, sf)), r.feats), "prediction")
+    rev, cap = F.expm1(F.greatest(F.col("prediction"), F.lit(0.0))), F.lit(float(r.cap))
+    return p.select(  # digits as shown, not rounded further
+        "CustomerID", F.bround(rev, 2).alias("predicted_revenue"), SF.money(rev).alias("predicted_revenue_text"),
+        SF.revenue_tier(rev, cap).alias("tier"), (rev > cap).alias("high_spender"),
+        F.bround(cap, 0).alias("cap_value"), SF.money(cap).alias("cap_text"), F.lit(r.best_name).alias("model_name"),
+        F.bround(F.lit(m["r2"]), 4).alias("r2"), F.bround(F.lit(m["medae"]), 0).alias("medae"),
+        F.bround(F.lit(m["mae"]), 0).alias("mae"))
+
+
 @register("r08_stream_scoring")
 def r08(spark, sf):
     """Request files arriving on a stream, scored per micro-batch (== batch result)."""
