@@ -1,7 +1,9 @@
 """Steps whose time or memory grew past the limits on larger tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 
 from custaris.operators import boosting as B
 from custaris.operators import kmeans as KM
@@ -59,3 +61,48 @@ def test_lines_of_a_task_stay_bounded():
     assert C.line_tasks(0) == 1 and C.line_tasks(600_000) == 6
     for n in (36_000_000, 216_000_000, 10 ** 12):
         assert n / C.line_tasks(n) <= C.MOST_LINES_A_TASK
+
+
+def test_sums_of_runs_together():
+    """The sums of all runs of a step are those of each row's nearest centre, the first one on a tie."""
+    rng = np.random.default_rng(7)
+    x = np.round(4 * rng.normal(size=(700, 3)))      # whole numbers: ties are exact
+    todo = {(k, i): x[rng.choice(len(x), k, False)] for k in (2, 5, 3) for i in range(3)}
+    todo[5, 1][3] = todo[5, 1][1]       # two equal centres
+    todo[2, 0][1] = todo[2, 0][0]
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(np.arange(len(x)))], names=["x", "row"])
+    got = KM._sums(todo)(batch)
+    for j, ((k, _), at) in enumerate(todo.items()):
+        far = ((x[:, None] - at[None]) ** 2).sum(2)
+        near = far.argmin(1)
+        assert got[j][0] == pytest.approx(far.min(1).sum())
+        assert got[j][1:1 + k].tolist() == np.bincount(near, minlength=k).tolist()
+        assert np.allclose(got[j][1 + k:].reshape(k, 3), [x[near == c].sum(0) for c in range(k)])
+
+
+def test_settled_runs_leave_whatever_the_order_of_the_sums(spark, monkeypatch):
+    """Sums that differ by rounding from step to step don't keep a settled run in the scan."""
+    rng = np.random.default_rng(8)
+    rows = [(i, Vectors.dense([float(v) for v in r])) for i, r in enumerate(rng.normal(size=(60, 2)))]
+    df, sizes, summed = spark.createDataFrame(rows, ["k", "features"]), [], KM.summed
+
+    def noisy(rows, reduce, size, *block):
+        got = summed(rows, reduce, size, *block)
+        if block:
+            sizes.append(len(got))
+            got = {k: v * (1 + 1e-15 * rng.integers(-1, 2, len(v))) for k, v in got.items()}
+        return got
+    monkeypatch.setattr(KM, "summed", noisy)
+    KM.fit_many(df, [2, 8], "k", seeds=(1, 2, 3), tolerance=0.0, max_steps=40)
+    assert sizes[-1] < sizes[0] and len(sizes) < 41
+
+
+def test_packed_rows_are_the_rows(spark):
+    """K-Means reads packed blocks: all rows with their keys, whatever the batches."""
+    rows = spark.range(0, 5000, 1, 3).selectExpr("array(id * 1.0D, id / 7.0D) AS x", "id * 11 AS row")
+    blocks = KM._blocks(rows)
+    got = blocks.toArrow().combine_chunks().to_batches()[0]
+    x, keys = KM._matrix(got), KM._keys(got)
+    assert blocks.count() < 20 and sorted(keys.tolist()) == [11 * i for i in range(5000)]
+    assert np.array_equal(x, np.stack([keys / 11.0, keys / 11.0 / 7.0], 1))
+    assert np.array_equal(KM._draw(rows, None, [42, 43], 0), KM._draw(blocks, None, [42, 43], 0))
