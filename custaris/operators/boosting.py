@@ -85,7 +85,9 @@ class Grower:
 
     @property
     def done(self) -> bool:
-        return self.level >= self.spec.depth or not self.open
+        """No cut is left; a tree with all its leaves needs no sums to know it."""
+        full = self.level and self.spec.leaves is not None and self.count >= self.spec.leaves
+        return self.level >= self.spec.depth or not self.open or bool(full)
 
     def cut(self, cells: np.ndarray, g: np.ndarray, h: np.ndarray, c: np.ndarray, n_features: int) -> None:
         """Cut the open nodes by the sums of the cells that hold rows, in the order (node, feature, bin)."""
@@ -282,7 +284,9 @@ class Packed:
     def __init__(self, bins: np.ndarray):
         self.bins = np.ascontiguousarray(bins.T)
         wide = [int(c.max()) + 1 for c in self.bins]
-        self.codes: list[tuple[np.ndarray, list[int], list[int]]] = []      # joint code of each row, features, bins of each
+        self.first = np.cumsum([0, *wide])         # a feature's cells among those of all features, as many as it has bins
+        self.cell = np.concatenate([f * (BINS + 1) + np.arange(n) for f, n in enumerate(wide)])
+        self.codes: list[tuple[np.ndarray, int, np.ndarray | None, np.ndarray]] = []   # joint code of each row, codes, (code, cell) marks, cells
         held: list[int] = []
         for f in sorted(range(len(wide)), key=lambda f: wide[f]):
             if held and int(np.prod([wide[x] for x in held])) * wide[f] > CODES:
@@ -295,28 +299,36 @@ class Packed:
         code = np.zeros(self.bins.shape[1], np.uint16)
         for f in held:
             code = code * np.uint16(wide[f]) + self.bins[f]
-        self.codes.append((code, held, [wide[f] for f in held]))
-
-    def sums(self, parts: list[np.ndarray], values: Sequence[np.ndarray]) -> np.ndarray:
-        """(value, part, feature, bin) sums of ``values`` over the rows of each part; the last value: the rows themselves."""
-        d, n = len(self.bins), len(parts)
-        out = np.zeros((len(values) + 1, n, d, BINS + 1))
+        size = int(np.prod([wide[f] for f in held]))
+        places = np.unravel_index(np.arange(size), [wide[f] for f in held])
+        marks = np.hstack([(p[:, None] == np.arange(wide[f])).astype(float) for f, p in zip(held, places)]) if len(held) > 1 else None
+        self.codes.append((code, size, marks, np.concatenate([np.arange(self.first[f], self.first[f + 1]) for f in held])))
+
+    def cells(self, parts: list[np.ndarray], values: Sequence[np.ndarray]) -> np.ndarray:
+        """(value, part, cell) sums of ``values`` over the rows of each part; the last value: the rows themselves."""
+        n = len(parts)
+        out = np.empty((len(values) + 1, n, len(self.cell)))
         rows = parts[0] if n == 1 else np.concatenate(parts)
         whole = n == 1 and len(rows) == self.bins.shape[1]      # then the parts' rows are all of them, in order
         at = np.repeat(np.arange(n), [len(x) for x in parts])
         weights = [*(v if whole else v[rows] for v in values), None]
-        for code, held, wide in self.codes:
-            size = int(np.prod(wide))
+        for code, size, marks, cells in self.codes:
             key = code.astype(np.int64) if whole else code[rows].astype(np.int64)
             if n > 1:
                 key += at * size
+            one_feature = slice(cells[0], cells[-1] + 1) if marks is None else cells
             for k, v in enumerate(weights):
-                joint = np.bincount(key, v, n * size).reshape(n, *wide)
-                for j, f in enumerate(held):
-                    others = tuple(i + 1 for i in range(len(held)) if i != j)
-                    out[k, :, f, :wide[j]] = joint.sum(others) if others else joint
+                joint = np.bincount(key, v, n * size).reshape(n, size)
+                out[k][:, one_feature] = joint if marks is None else joint @ marks
         return out
 
+    def sums(self, parts: list[np.ndarray], values: Sequence[np.ndarray]) -> np.ndarray:
+        """:meth:`cells` as (value, part, feature, bin)."""
+        got = self.cells(parts, values)
+        out = np.zeros((*got.shape[:2], len(self.bins) * (BINS + 1)))
+        out[:, :, self.cell] = got
+        return out.reshape(*got.shape[:2], len(self.bins), BINS + 1)
+
     def leaves(self, tree: Tree, at: int = 0, rows: np.ndarray | None = None):
         """(leaf, its rows) of every leaf."""
         rows = np.arange(self.bins.shape[1]) if rows is None else rows
@@ -346,7 +358,7 @@ def _grow_packed(spec: Boost, data: Packed, g: np.ndarray, h: np.ndarray, use: n
             first = used(0)
             if not len(first):
                 break
-            now[0] = data.sums([first], values)[:, 0]
+            now[0] = data.cells([first], values)[:, 0]
         else:
             todo = []
             for above, low, high in pairs:
@@ -355,15 +367,15 @@ def _grow_packed(spec: Boost, data: Packed, g: np.ndarray, h: np.ndarray, use: n
                     todo.append((above, low, high, a) if len(a) <= len(b) else (above, high, low, b))
             if not todo:
                 break
-            got = data.sums([x[3] for x in todo], values)
+            got = data.cells([x[3] for x in todo], values)
             for j, (above, small, large, _) in enumerate(todo):
                 now[small], now[large] = got[:, j], known[above] - got[:, j]
         known = now
         before = grow.open
         there = [k for k, at in enumerate(before) if at in now]
-        dense = np.stack([now[before[k]] for k in there], 1).reshape(len(values) + 1, len(there), -1)
+        dense = np.stack([now[before[k]] for k in there], 1)
         node, cell = np.nonzero(dense[-1])
-        cells = np.array(there)[node] * (d * (BINS + 1)) + cell
+        cells = np.array(there)[node] * (d * (BINS + 1)) + data.cell[cell]
         got = [v[node, cell] for v in dense]
         grow.cut(cells, got[0], got[-1] if plain else got[1], got[-1], d)
         pairs = [(at, tree.low[at], tree.high[at]) for at in before if tree.feature[at] >= 0]
