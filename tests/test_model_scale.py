@@ -1,5 +1,8 @@
 """Steps whose time or memory grew past the limits on larger tables."""
 
+import re
+from datetime import datetime
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -106,3 +109,29 @@ def test_packed_rows_are_the_rows(spark):
     assert blocks.count() < 20 and sorted(keys.tolist()) == [11 * i for i in range(5000)]
     assert np.array_equal(x, np.stack([keys / 11.0, keys / 11.0 / 7.0], 1))
     assert np.array_equal(KM._draw(rows, None, [42, 43], 0), KM._draw(blocks, None, [42, 43], 0))
+
+
+def test_pairs_of_customers_and_parts_are_dealt_like_the_lines(spark, tmp_path, monkeypatch):
+    """Distinct parts of the customers: as many tasks as the lines ask for, not as the session's partitions give."""
+    from custaris.plans import customer360 as C
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+                     [(k, "c", 0, 0.0, "BUILDING") for k in (1, 2, 3)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+                   [(k, 1 + k % 2, "O", 1.0, datetime(2024, 1, 1 + k), "1") for k in range(8)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                     [(k % 6, p, 1, 1, 1.0, 10.0, 0.0, 0.0, "N", "O", datetime(2024, 2, 1)) for k in range(24) for p in (k % 5, 7, None)]),
+        "events": ("event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+                   [(1, datetime(2024, 1, 1), 5, "error", 0.0, "{}")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(C, "LINES_A_TASK", 6)
+    got = C.build_customer360(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(ck#\d+L?, l_partkey#\d+L?, 12\)", plan)
+    parts = {c: {p for k in range(24) for p in (k % 5, 7) if 1 + k % 6 % 2 == c} for c in (1, 2, 3)}
+    assert {r.CustomerID: r.UniqueProducts for r in got.collect()} == {c: len(p) for c, p in parts.items()}
