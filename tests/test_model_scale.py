@@ -135,3 +135,17 @@ def test_pairs_of_customers_and_parts_are_dealt_like_the_lines(spark, tmp_path,
     assert re.search(r"hashpartitioning\(ck#\d+L?, l_partkey#\d+L?, 12\)", plan)
     parts = {c: {p for k in range(24) for p in (k % 5, 7) if 1 + k % 6 % 2 == c} for c in (1, 2, 3)}
     assert {r.CustomerID: r.UniqueProducts for r in got.collect()} == {c: len(p) for c, p in parts.items()}
+
+
+def test_a_step_of_kmeans_is_one_stage(spark):
+    """A step reads the packed rows once and moves one vector a task: no shuffle, no second job."""
+    rows = spark.range(0, 5000, 1, 3).selectExpr("array(id * 1.0D, id * 2.0D) AS x", "id AS row")
+    blocks, sc = KM._blocks(rows).select("x", "n"), spark.sparkContext
+    sc.setJobGroup("one-step", "")
+    try:
+        got = KM.summed(blocks, lambda b: {0: KM._matrix(b).sum(0), 3: np.ones(1)}, 4, 1)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0].tolist() == [12_497_500, 24_995_000, 0, 0] and got[3].tolist() == [blocks.count(), 0, 0, 0]
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("one-step")]
+    assert [len(j.stageIds) for j in jobs] == [1]
