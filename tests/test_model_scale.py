@@ -149,3 +149,37 @@ def test_a_step_of_kmeans_is_one_stage(spark):
     assert got[0].tolist() == [12_497_500, 24_995_000, 0, 0] and got[3].tolist() == [blocks.count(), 0, 0, 0]
     jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("one-step")]
     assert [len(j.stageIds) for j in jobs] == [1]
+
+
+def _star(spark, home):
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+                     [(k, "c", 0, 0.0, "BUILDING") for k in range(1, 6)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+                   [(k or None, 1 + k % 4, "O", 1.0, datetime(2024, 1, 1 + k % 28), "1") for k in [*range(40), 3, 3]]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                     [(k % 37 if k % 11 else None, p, 1, 1, float(k), 10.0 * k, 0.1, 0.0, "R", "O", datetime(2024, 2, 1))
+                      for k in range(120) for p in (k % 5, 7, None)]),
+        "events": ("event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+                   [(1, datetime(2024, 1, 1), 5, "error", 0.0, "{}")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{home}/{name}.parquet")
+
+
+def test_scans_of_large_tables_write_to_few_shares(spark, tmp_path, monkeypatch):
+    """No scan of lines or orders is shuffled to more than SHARES tasks at once, and the rows are those of the direct way."""
+    from custaris.plans import customer360 as C
+    _star(spark, tmp_path)
+    monkeypatch.setattr(C, "LINES_A_TASK", 20)
+    direct = C.build_customer360(spark, str(tmp_path))
+    monkeypatch.setattr(C, "SHARES", 5, raising=False)
+    got = C.build_customer360(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for key, to in (("l_orderkey", "ok"), ("o_orderkey", "order")):
+        assert set(re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", plan)) == {"5"}
+        assert set(re.findall(rf"hashpartitioning\({to}#\d+L?, (\d+)\)", plan)) == {"18"}
+    assert sorted(map(str, got.collect())) == sorted(map(str, direct.collect()))
