@@ -10,7 +10,7 @@ from ..operators import models as M
 from ..sources import requests as RQ
 from ..streaming import scoring as ST
 from .catalog import c360, finish, register
-from .training import churn_run, revenue_run
+from .training import churn_run, revenue_run, side_by_side
 
 
 def score_batch(spark, sf, rows, keep=()):
@@ -84,8 +84,7 @@ def r04(spark, sf):
     """Churn result plus the customer's segment from the K-Means model (unknown id → 'Segment i')."""
     from . import q_segment as QS
     from ..operators import segment as SG
-    seg = QS.segments(spark, sf)
-    names = QS._names(spark, sf)
+    (seg, names), _ = side_by_side(lambda: (QS.segments(spark, sf), QS._names(spark, sf)), lambda: churn_run(spark, sf))
     rows = c360(spark, sf)
     # the segment model first, the raw row carried along; the churn model then reads the same rows
     feats = seg.prep.transform(rows.withColumn("raw", F.struct(*rows.columns)), keep=["raw"]).fillna(0.0, subset=seg.cols)
@@ -100,7 +99,7 @@ def r04(spark, sf):
 @register("r06_scoring_trace")
 def r06(spark, sf):
     """Received fields, key scaled features and the churn / revenue results per customer."""
-    r, rv = churn_run(spark, sf), revenue_run(spark, sf)
+    r, rv = side_by_side(lambda: churn_run(spark, sf), lambda: revenue_run(spark, sf))
     received = ["Frequency", "MonetaryTotal", "CustomerTenureDays", "ReturnRatio"]
     shown = ["Frequency", "MonetaryTotal", "EngagementScore"]
     rows = c360(spark, sf)
