@@ -51,6 +51,15 @@ def test_draws_are_poisson_and_follow_the_key():
     assert (RF.draws(key[::-1], 42, 3)[::-1] == k).all() and (RF.draws(key, 42, 4) != k).any()
 
 
+def test_rows_of_one_key_are_drawn_apart():
+    key = np.array([-9, 5, 5, 5, 8, *[11] * 4000])
+    got = RF.apart(key)
+    assert len(set(got.tolist())) == len(key) and (got[[0, 1, 4, 5]] == key[[0, 1, 4, 5]].astype(np.uint64)).all()
+    k = RF.draws(got, 42, 0)[5:]
+    assert k.mean() == pytest.approx(1, abs=0.08) and k.var() == pytest.approx(1, abs=0.15)
+    assert len(RF.apart(key[:0])) == 0
+
+
 def test_a_node_has_its_share_of_the_features_and_joined_leaves_differ():
     rng = np.random.default_rng(2)
     bins = rng.integers(0, 9, (3000, 9)).astype(np.uint8)
