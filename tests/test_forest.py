@@ -123,7 +123,8 @@ def test_both_tuners_bin_the_rows_once(spark, monkeypatch, name, key):
     df, calls, bin_rows = table(spark, 120), [], B.bin_rows
     monkeypatch.setattr(B, "bin_rows", lambda *a: calls.append(1) or bin_rows(*a))
     monkeypatch.setattr(T, "N_RANDOM_TRIALS", 2)
-    got = T.both_tuners(lambda points: M.search(df, name, points), {key: [2, 3], "max_depth": [2]}, {key: M.whole(2, 4), "max_depth": M.whole(1, 2)})
+    binned = M.Binned(df, "features", "Churn", "CustomerID", "weight")
+    got = T.both_tuners(lambda points: M.search(df, name, points, binned=binned), {key: [2, 3], "max_depth": [2]}, {key: M.whole(2, 4), "max_depth": M.whole(1, 2)})
     assert len(calls) == 1 and [len(got[k]) for k in ("grid", "random")] == [2, 2]
     best = max(s for _, s in got["grid"] + got["random"])
     assert got["params"] in [p for p, s in got[got["tuner"]] if s == best]
